@@ -59,10 +59,16 @@ def html_safe(json_text: Column) -> Column:
 
 
 def json_string(value: Column) -> Column:
-    """Quoted JSON text of a string; NULL stays NULL."""
-    wrapped = F.to_json(F.struct(value.alias("v")))
-    quoted = F.substring(wrapped, F.lit(6), F.length(wrapped) - 6)
-    return F.when(value.isNotNull(), html_safe(lower_control_escapes(quoted)))
+    """Quoted JSON text of a string; NULL stays NULL.
+
+    The brackets of a one-element array are trimmed off: the quotes protect the
+    value. Only a value with rare control characters takes the second branch.
+    """
+    def encoded():
+        return html_safe(F.btrim(F.to_json(F.array(value)), F.lit("[]")))
+
+    return F.when(value.rlike(RARE_CONTROLS), lower_control_escapes(encoded())).otherwise(
+        F.when(value.isNotNull(), encoded()))
 
 
 def json_object(fields: list[tuple[str, Column]], depth: int | None = None) -> Column:
@@ -90,15 +96,15 @@ def json_array(items: Column, depth: int | None = None) -> Column:
     )
 
 
+# Control characters without a short escape whose hex code has a letter.
+RARE_CONTROLS = r"[\x0B\x0E\x0F\x1A-\x1F]"
+RARE_CODES = (0x0B, 0x0E, 0x0F, *range(0x1A, 0x20))
+
+
 def lower_control_escapes(json_text: Column) -> Column:
-    """``\\u001F`` -> ``\\u001f`` for the control characters that have a letter."""
+    """``\\u001F`` -> ``\\u001f``: the JSON writer uses upper-case hex, the ledger
+    lower-case. An escaped backslash in front is not an escape of the character."""
     out = json_text
-    for code in list(range(0x0A, 0x10)) + list(range(0x1A, 0x20)):
-        upper, lower = f"\\u{code:04X}", f"\\u{code:04x}"
-        if upper != lower:
-            # an even number of backslashes before it would be an escaped backslash
-            out = F.when(
-                out.contains(upper),
-                F.regexp_replace(out, r"(?<!\\)((?:\\\\)*)\\u" + f"{code:04X}", r"$1\\u" + f"{code:04x}"),
-            ).otherwise(out)
+    for code in RARE_CODES:
+        out = F.regexp_replace(out, r"(?<!\\)((?:\\\\)*)\\u" + f"{code:04X}", r"$1\\u" + f"{code:04x}")
     return out
