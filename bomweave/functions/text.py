@@ -68,6 +68,22 @@ def mentions_any(value: Column, keys, ignore_case: bool = False) -> Column:
     return value.rlike(("(?i)" if ignore_case else "") + pattern)
 
 
+def names_after(keys, lead: str) -> str:
+    """Regex for any key (ignoring case) right after ``lead``. A lead that fails
+    fast, such as a line start or a quote, keeps the prefilter cheap."""
+    return f"(?im){lead}(?:" + "|".join(re.escape(k) for k in minimal_keys(keys)) + ")"
+
+
+# White space that can stand in front of the first word of a line.
+LINE_START = rf"^[{WS_CLASS.replace(chr(92) + 'n', '')}]*+"
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once: inside ``when`` and lambdas a
+    repeated expression is evaluated again at every mention."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def first_match(value: Column, mapping: dict, key="key", payload="value") -> Column:
     """Struct of the first dictionary entry contained in ``value`` (or NULL).
 

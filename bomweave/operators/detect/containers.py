@@ -19,12 +19,14 @@ def dockerfile(path: Column, content: Column, dims: D.Dictionaries, long_line_st
     )
     extensions = D.string_array(dims.copied_weight_extensions)
 
-    instructions = F.filter(
-        R.numbered_lines(
-            X.lines_of(content, long_line_stop),
-            lambda line, n: F.struct(n.alias("n"), X.trim(line).alias("line"), F.lower(X.trim(line)).alias("low")),
+    numbered = R.numbered_lines(
+        X.lines_of(content, long_line_stop), lambda line, n: F.struct(n.alias("n"), line.alias("line"))
+    )
+    instructions = F.transform(
+        F.filter(numbered, lambda e: e["line"].rlike(rf"(?i)^[{X.WS_CLASS}]*+(?:from|copy|add|run) ")),
+        lambda e: F.struct(
+            e["n"].alias("n"), X.trim(e["line"]).alias("line"), F.lower(X.trim(e["line"])).alias("low")
         ),
-        lambda e: e["low"].rlike("^(?:from|copy|add|run) "),
     )
 
     def base_image(e):

@@ -34,7 +34,7 @@ def requirements(path: Column, content: Column, dims: D.Dictionaries, long_line_
         lambda e: F.map_contains_key(table, e["name"]),
     )
     return R.when_mentioned(
-        X.mentions_any(content, dims.libraries, ignore_case=True),
+        content.rlike(X.names_after(dims.libraries, X.LINE_START)),
         F.transform(entries, lambda e: R.finding(
             R.REQUIREMENTS, e["name"],
             F.when(e["version"] == "", "unknown").otherwise(e["version"]),
@@ -52,24 +52,24 @@ def package_json(path: Column, content: Column, dims: D.Dictionaries) -> Column:
     case, as the reader this stays compatible with does.
     """
     table = D.library_map(dims)
-    top = F.try_variant_get(F.try_parse_json(content), "$", "map<string,variant>")
 
-    def section(name):
+    def section(top, name):
         value = F.get(F.map_values(F.map_filter(top, lambda k, _: F.lower(k) == name)), F.lit(0))
-        empty = value.isNull() | F.is_variant_null(value)
-        entries = F.try_variant_get(value, "$", "map<string,variant>")
-        kinds = F.transform(F.map_values(entries), lambda v: F.schema_of_variant(v))
-        valid = empty | (entries.isNotNull() & ~F.exists(kinds, lambda k: ~k.isin("STRING", "VOID")))
-        return empty, entries, F.coalesce(valid, F.lit(False))
+        return X.let(value, lambda v: F.struct(
+            (v.isNull() | F.is_variant_null(v)).alias("empty"),
+            F.try_variant_get(v, "$", "map<string,variant>").alias("entries"),
+        ))
 
-    no_deps, deps, deps_ok = section("dependencies")
-    no_dev, dev, dev_ok = section("devdependencies")
+    def is_valid(part):
+        kinds = F.transform(F.map_values(part["entries"]), lambda v: F.schema_of_variant(v))
+        strings = part["entries"].isNotNull() & ~F.exists(kinds, lambda k: ~k.isin("STRING", "VOID"))
+        return part["empty"] | F.coalesce(strings, F.lit(False))
 
-    def hits(entries, empty, number):
+    def hits(part, number):
         pairs = F.array_sort(F.map_entries(F.map_filter(
-            entries, lambda k, _: F.map_contains_key(table, F.lower(k))
+            part["entries"], lambda k, _: F.map_contains_key(table, F.lower(k))
         )), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
-        return F.when(empty, R.no_findings()).otherwise(F.transform(pairs, lambda e, i: R.finding(
+        return F.when(part["empty"], R.no_findings()).otherwise(F.transform(pairs, lambda e, i: R.finding(
             R.PACKAGE_JSON, e["key"],
             F.regexp_replace(F.coalesce(F.try_variant_get(e["value"], "$", "string"), F.lit("")), r"^\^?~?", ""),
             "Node.js (npm)",
@@ -77,11 +77,14 @@ def package_json(path: Column, content: Column, dims: D.Dictionaries) -> Column:
             path, line_no=F.lit(number), seq=i,
         )))
 
-    return R.when_mentioned(
-        X.mentions_any(content, dims.libraries, ignore_case=True),
-        F.when(deps_ok & dev_ok, F.concat(hits(deps, no_deps, 1), hits(dev, no_dev, 2)))
-        .otherwise(R.no_findings()),
-    )
+    def found(parts):
+        main, dev = parts["main"], parts["dev"]
+        return F.when(is_valid(main) & is_valid(dev), F.concat(hits(main, 1), hits(dev, 2))).otherwise(R.no_findings())
+
+    document = F.try_variant_get(F.try_parse_json(content), "$", "map<string,variant>")
+    parts = X.let(document, lambda top: F.struct(
+        section(top, "dependencies").alias("main"), section(top, "devdependencies").alias("dev")))
+    return R.when_mentioned(content.rlike(X.names_after(dims.libraries, '"')), X.let(parts, found))
 
 
 def go_mod(path: Column, content: Column, dims: D.Dictionaries, long_line_stop=False) -> Column:
@@ -115,7 +118,7 @@ def go_mod(path: Column, content: Column, dims: D.Dictionaries, long_line_stop=F
         lambda e: e["hit"].isNotNull(),
     )
     return R.when_mentioned(
-        X.mentions_any(content, dims.go_modules, ignore_case=True),
+        X.let(F.lower(content), lambda low: X.contains_any(low, dims.go_modules)),
         F.transform(entries, lambda e: R.finding(
             R.GO_MOD, e["module"], e["version"], "Go (module)",
             F.coalesce(F.element_at(table, e["hit"]["library"])["risk"], F.lit("Medium")),
@@ -153,8 +156,8 @@ def pyproject(path: Column, content: Column, dims: D.Dictionaries) -> Column:
         lambda e: (e["name"] != "python") & F.map_contains_key(table, e["name"]),
     )
     return R.when_mentioned(
-        X.mentions_any(content, dims.libraries, ignore_case=True)
-        & X.contains_any(content, TOML_SECTIONS),
+        X.contains_any(content, TOML_SECTIONS)
+        & content.rlike(X.names_after(dims.libraries, X.LINE_START)),
         F.transform(entries, lambda e: R.finding(
             R.PYPROJECT, e["name"], e["version"], "Python (Poetry/PEP)",
             F.element_at(table, e["name"])["risk"], F.element_at(table, e["name"])["desc"],

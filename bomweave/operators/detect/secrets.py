@@ -21,8 +21,8 @@ def env_file(path: Column, content: Column, dims: D.Dictionaries, long_line_stop
         ("prefix", "platform"),
     )
 
-    def parse(line, n):
-        entry = X.trim(line)
+    def parse(numbered):
+        n, entry = numbered["n"], X.trim(numbered["line"])
         parts = F.split(entry, "=", 2)
         return F.struct(
             n.alias("n"),
@@ -31,9 +31,12 @@ def env_file(path: Column, content: Column, dims: D.Dictionaries, long_line_stop
             F.btrim(X.trim(F.get(parts, F.lit(1))), F.lit("\"'")).alias("value"),
         )
 
-    entries = F.filter(
-        R.numbered_lines(X.lines_of(content, long_line_stop), parse), lambda e: e["ok"]
+    assignments = F.filter(
+        R.numbered_lines(X.lines_of(content, long_line_stop),
+                         lambda line, n: F.struct(n.alias("n"), line.alias("line"))),
+        lambda e: e["line"].contains("="),
     )
+    entries = F.filter(F.transform(assignments, parse), lambda e: e["ok"])
 
     def secret(e, description, seq):
         return R.finding(

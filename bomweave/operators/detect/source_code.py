@@ -45,14 +45,14 @@ def python_imports(path: Column, content: Column, dims: D.Dictionaries, long_lin
     modules = F.transform(X.lines_of(content, long_line_stop), lambda line: F.lower(F.concat(
         F.regexp_extract(line, IMPORT, 1), F.regexp_extract(line, IMPORT, 2)
     )))
-    first_use = F.filter(
+    first_use = X.let(modules, lambda per_line: F.filter(
         F.transform(libraries, lambda lib: F.struct(
-            F.array_position(modules, lib["name"]).cast("int").alias("n"), lib.alias("lib")
+            F.array_position(per_line, lib["name"]).cast("int").alias("n"), lib.alias("lib")
         )),
         lambda e: e["n"] > 0,
-    )
+    ))
     return R.when_mentioned(
-        content.contains("import") & X.mentions_any(content, dims.libraries, ignore_case=True),
+        content.rlike(X.names_after(dims.libraries, r"^[\t\f\r ]*+(?:import|from)[\t\f\r ]++")),
         F.transform(first_use, lambda e: R.finding(
             R.PY_SOURCE, e["lib"]["name"], "imported", "Source Code (.py import)", e["lib"]["risk"],
             F.concat(e["lib"]["desc"], F.lit(" (detected via import statement)")),
@@ -68,7 +68,7 @@ def python_literals(path: Column, content: Column, dims: D.Dictionaries, long_li
     lines = F.filter(
         R.numbered_lines(X.lines_of(content, long_line_stop),
                          lambda line, n: F.struct(n.alias("n"), line.alias("line"))),
-        lambda e: X.mentions_any(e["line"], dims.models + [SECRET_PREFIX]),
+        lambda e: e["line"].rlike("[\"']") & X.contains_any(e["line"], dims.models + [SECRET_PREFIX]),
     )
 
     def of_literal(e, literal, i):
@@ -99,16 +99,16 @@ def go_literals(path: Column, content: Column, dims: D.Dictionaries) -> Column:
     or without a leading package clause, yields nothing; other syntax errors are
     not recognised.
     """
-    tokens = F.regexp_extract_all(content, F.lit(GO_TOKEN), 0)
-    broken = F.exists(tokens, lambda t: t.isin('"', "`", "'")) | F.exists(
-        F.array_remove(F.zip_with(
-            tokens, F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))),
-            lambda a, b: (a == "/") & F.coalesce(b, F.lit("")).startswith("*"),
-        ), False),
-        lambda x: x,
-    )
-    code = F.array_join(F.filter(tokens, lambda t: ~(t.startswith("//") | t.startswith("/*"))), " ")
-    has_package = code.rlike(r"^\s*package\s+[\p{L}_][\p{L}\p{N}_]*")
+    def is_readable(tokens):
+        broken = F.exists(tokens, lambda t: t.isin('"', "`", "'")) | F.exists(
+            F.zip_with(
+                tokens, F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))),
+                lambda a, b: (a == "/") & F.coalesce(b, F.lit("")).startswith("*"),
+            ),
+            lambda x: x,
+        )
+        code = F.array_join(F.filter(tokens, lambda t: ~(t.startswith("//") | t.startswith("/*"))), " ")
+        return ~broken & code.rlike(r"^\s*package\s+[\p{L}_][\p{L}\p{N}_]*")
 
     def of_literal(token, line, column):
         value = F.btrim(token, F.lit('"'))
@@ -139,8 +139,11 @@ def go_literals(path: Column, content: Column, dims: D.Dictionaries) -> Column:
         F.lit(1).alias("line"), F.lit(1).alias("col"),
         F.array().cast(f"array<{FINDING}>").alias("found"),
     )
-    folded = F.aggregate(tokens, start, step, lambda acc: acc["found"])
+    def found(tokens):
+        folded = F.aggregate(tokens, start, step, lambda acc: acc["found"])
+        return F.when(is_readable(tokens), folded).otherwise(R.no_findings())
+
     return R.when_mentioned(
         X.contains_any(content, dims.models + [SECRET_PREFIX]),
-        F.when(~broken & has_package, folded).otherwise(R.no_findings()),
+        X.let(F.regexp_extract_all(content, F.lit(GO_TOKEN), 0), found),
     )

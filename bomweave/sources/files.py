@@ -11,12 +11,13 @@ from __future__ import annotations
 import os
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dims as D
 from ..operators.policy import POLICY_FILE
 from ..operators.scan import kind_tests
+from ..schemas import FILES
 
 LISTING = "project string, commit_sha string, root string, path string, is_dir boolean"
 READ_BATCH = 256
@@ -100,6 +101,23 @@ def read_trees(trees: DataFrame, dims: D.Dictionaries = D.DEFAULT, policy_file:
     )
 
 
+def spread(table: DataFrame, *keys: str) -> DataFrame:
+    """Share out a stored table that comes in fewer partitions than there are
+    cores, such as one small file. A table that is split already is left alone.
+    Only for a table as read: looking at the partitions of a longer plan would
+    run its shuffles. Rows go by a hash of ``keys``, so a recomputed task puts
+    every row in the same place."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    if table.rdd.getNumPartitions() >= cores:
+        return table
+    return table.repartition(cores, *keys)
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """A landed ``files`` table."""
+    return spread(spark.read.schema(FILES).parquet(path), "project", "path")
+
+
 def land_files(files: DataFrame, target: str) -> None:
     """Append to a landed ``files`` table, which batch and stream scans read."""
     files.write.mode("append").parquet(target)
