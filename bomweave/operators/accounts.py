@@ -212,17 +212,19 @@ def hashed_at_rest(keys: DataFrame) -> DataFrame:
 
 
 def resolved_keys(requests: DataFrame, api_keys: DataFrame, key_column: str = "api_key") -> DataFrame:
-    """Requests with the account of their key; unknown or empty keys drop out."""
+    """Requests with the account of their key; unknown or empty keys drop out.
+
+    ``requests`` should be light (ids and keys): it is shuffled by key.
+    """
     accounts = api_keys.filter(F.col("token_hash").isNotNull()).select(
         "token_hash", F.col("user_id"),
         F.coalesce("subscription_tier", F.lit(FREE)).alias("tier"),
         F.coalesce("scans_this_month", F.lit(0)).alias("scans_this_month"),
     )
-    return (
-        requests.filter(absent(F.col(key_column)).isNotNull())
-        .withColumn("token_hash", key_hash(F.col(key_column)))
-        .join(accounts, "token_hash")
-    )
+    asked = requests.filter(absent(F.col(key_column)).isNotNull()).withColumn(
+        "token_hash", key_hash(F.col(key_column)))
+    # One key may send most of the requests.
+    return salted_join(asked, accounts, ["token_hash"], requests.columns, how="inner")
 
 
 def account_view(users: DataFrame, api_keys: DataFrame) -> DataFrame:

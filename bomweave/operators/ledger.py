@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
+from .skew import salted_join
 
 HISTORY_ROWS = 25
 
@@ -24,10 +25,10 @@ def upsert_projects(projects: DataFrame, names: DataFrame, created_at) -> DataFr
 
 
 def history(drills: DataFrame, projects: DataFrame) -> DataFrame:
-    """Ledger rows with their project name."""
-    return drills.select("project_id", "user_id", "commit_sha", "crypto_hash", "created_at").join(
-        projects.select(F.col("id").alias("project_id"), F.col("name").alias("project_name")), "project_id"
-    ).select("project_name", "user_id", "commit_sha", "crypto_hash", "created_at")
+    """Ledger rows with their project name. The documents are not read."""
+    rows = drills.select("project_id", "user_id", "commit_sha", "crypto_hash", "created_at")
+    names = projects.select(F.col("id").alias("project_id"), F.col("name").alias("project_name"))
+    return salted_join(rows, names, ["project_id"], ["crypto_hash", "created_at"], how="inner").select("project_name", "user_id", "commit_sha", "crypto_hash", "created_at")
 
 
 def latest(history_rows: DataFrame, user_id=None, rows: int = HISTORY_ROWS) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,16 +81,16 @@ def admit(attempts: DataFrame, days: int = WINDOW_DAYS, quota: int = QUOTA,
 def _replayer(days: int, quota: int):
     def replay(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["created_at", "attempt_id"], kind="stable")
-        window = pd.Timedelta(days=days)
-        recent: list = []
+        window = days * 86_400_000_000
+        # Fewer than ``quota`` accepted in the window means: the quota-th newest
+        # accepted attempt has left it. So that one timestamp decides.
+        newest: deque = deque(maxlen=quota)
         decisions = []
-        for tier, now in zip(group["tier"], group["created_at"]):
-            recent = [t for t in recent if t > now - window]
-            ok = tier != FREE_TIER or len(recent) < quota
+        instants = group["created_at"].astype("datetime64[us]").astype("int64")
+        for paid, now in zip(group["tier"] != FREE_TIER, instants):
+            ok = bool(paid) or len(newest) < quota or newest[0] <= now - window
             if ok:
-                recent.append(now)
-                # More than ``quota`` entries change nothing: keep the newest.
-                recent = recent[-quota:]
+                newest.append(now)
             decisions.append(ok)
         return group.assign(accepted=decisions)
 

@@ -6,16 +6,18 @@ Each is a set of ordered parts over the flat report tables (see
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import absent, json_array, json_object, json_string, rfc3339, serial_number, text
+from ..functions.storage import materialise
 from ..operators import measures
 from ..operators.assembly import assembled, part, union_parts
 from ..operators.scan import KEYS, ORDER
-from ..functions.storage import materialise
 from ..operators.skew import PAGE_ROWS, first_of_group, paged
-from .scan_report import ScanReport
+from .scan_report import Branding, ScanReport
 
 
 def _depth(indent: bool, depth: int) -> int | None:
@@ -225,21 +227,56 @@ SECTION_4 = (
 BIAS = "- **Bias Monitoring:** `[REQUIRES MANUAL INPUT]`\n\n"
 
 
-def dependency_line() -> Column:
-    license = F.coalesce(
-        F.concat(F.lit(" [License: "), absent(F.col("license")), F.lit("]")), F.lit(""))
+def dependency_line(get=F.col) -> Column:
+    """One line of section 2(a); ``get`` reads a field of a row or of an array entry."""
+    license = F.coalesce(F.concat(F.lit(" [License: "), absent(get("license")), F.lit("]")), F.lit(""))
     return F.concat(
-        F.lit("- **"), text(F.col("name")), F.lit("** (v"), text(F.col("version")), F.lit(")"), license,
-        F.lit(": "), text(F.col("description")), F.lit(" (Risk: "), text(F.col("risk_level")), F.lit(")\n"),
+        F.lit("- **"), text(get("name")), F.lit("** (v"), text(get("version")), F.lit(")"), license,
+        F.lit(": "), text(get("description")), F.lit(" (Risk: "), text(get("risk_level")), F.lit(")\n"),
     )
 
 
-def annex_iv(report: ScanReport, generated_at: Column, max_rows: int = PAGE_ROWS) -> DataFrame:
-    """Annex IV markdown per scan: ``project, commit_sha, page, is_paged, markdown``."""
-    stats, deps = report.statistics(), report.dependencies
-    product, policy_file = report.branding.product, report.branding.policy_file
-    stamp = rfc3339(generated_at)
-    commit = text(F.col("commit_sha"))
+def cost_lines(get=F.col) -> Column:
+    return F.concat(
+        F.lit("- **Resource:** "), text(get("resource")), F.lit("\n  - **Finding:** "),
+        text(get("description")), F.lit("\n  - **Severity:** "), text(get("severity")), F.lit("\n"))
+
+
+def register_line(get=F.col) -> Column:
+    return F.concat(
+        F.lit("| "), text(get("name")), F.lit(" (v"), text(get("version")), F.lit(") | "),
+        text(get("risk_level")), F.lit(" | "), text(get("location")), F.lit(" | `[REQUIRES INPUT]` |\n"))
+
+
+def violation_line(get=F.col) -> Column:
+    return F.concat(
+        F.when(get("severity") == "Blocker", "- 🚫 [").otherwise("- ⚠️ ["), text(get("rule")), F.lit("] "),
+        text(get("description")), F.lit(" ("), text(get("location")), F.lit(")\n"))
+
+
+def ecosystem_head(ecosystem: Column) -> Column:
+    return F.concat(F.lit("\n**"), ecosystem, F.lit(":**\n"))
+
+
+def license_line(license: Column, components: Column) -> Column:
+    return F.concat(F.lit("  - "), license, F.lit(": "), components.cast("string"), F.lit(" component(s)\n"))
+
+
+@dataclass(frozen=True)
+class AnnexFrame:
+    """The text between the lists, from the columns of ``scan_statistics``."""
+
+    head: Column
+    licensing: Column
+    hardware: Column
+    risk: Column
+    policy: Column
+    closing: Column
+
+
+def annex_frame(system_name: Column, generated_at: Column, branding: Branding) -> AnnexFrame:
+    product, policy_file = branding.product, branding.policy_file
+    stamp, commit = rfc3339(generated_at), text(F.col("commit_sha"))
 
     def number(name):
         return F.col(name).cast("string")
@@ -248,81 +285,140 @@ def annex_iv(report: ScanReport, generated_at: Column, max_rows: int = PAGE_ROWS
         return F.when(condition, value).otherwise(F.lit(""))
 
     broken = F.col("blockers") + F.col("warnings")
-    head = F.concat(
-        F.lit(TITLE), F.lit("*Generated: "), stamp, F.lit("*\n\n"), F.lit(SECTION_1),
-        F.lit("- **System Name:** "), text(F.col("system_name" if "system_name" in stats.columns else "project")),
-        F.lit("\n- **Version / Commit SHA:** `"), commit,
-        F.lit("`\n- **Total Files Scanned:** "), number("scanned_files"),
-        F.lit("\n- **AI Components Detected:** "), number("components"), F.lit("\n"),
-        F.lit(PURPOSE), F.lit(SECTION_2 + "\n" + SECTION_2A),
-        only_if(F.col("components") == 0, F.lit(NO_DEPENDENCIES + "\n\n")),
-    )
-    licensing = F.concat(
-        only_if(F.col("components") > 0, F.lit("\n")), F.lit(SECTION_2B),
-        F.lit("- **Components with license data:** "), number("licensed"), F.lit(" / "), number("components"),
-        F.lit("\n- **High-risk components missing license:** "), number("unlicensed_high_risk"), F.lit("\n"),
-        only_if(F.col("licensed") > 0, F.lit("- **License distribution:**\n")),
-    )
-    hardware = F.concat(
-        F.lit("\n" + SECTION_2C), only_if(F.col("cost_findings") == 0, F.lit(NO_HARDWARE + "\n\n")))
-    risk = F.concat(
-        only_if(F.col("cost_findings") > 0, F.lit("\n")), F.lit(SECTION_3),
-        F.lit("**Current Automated Posture:** "), F.col("compliance_status"), F.lit("\n\n" + SECTION_3A),
-        F.when(F.col("register_rows") > 0, F.lit(REGISTER_HEAD)).otherwise(F.lit(NO_HIGH_RISK)),
-    )
-    policy_head = F.concat(
-        only_if(F.col("register_rows") > 0, F.lit("\n")),
-        only_if(F.col("exposed_secrets") > 0, F.concat(
-            F.lit("⚠️ **CRITICAL:** "), number("exposed_secrets"),
-            F.lit(" exposed secret(s) detected in source code. Immediate remediation required.\n\n"))),
-        F.lit(SECTION_3B),
-        F.when(broken == 0, F.lit(
-            f"- [x] No policy violations detected (or no `{policy_file}` policy file configured)\n\n"
-        )).otherwise(F.concat(
-            F.lit("- **Blockers:** "), number("blockers"), F.lit("\n- **Warnings:** "), number("warnings"),
-            F.lit("\n\n"))),
-    )
-    closing = F.concat(
-        only_if(broken > 0, F.lit("\n")), F.lit(SECTION_3C),
-        F.when(F.col("compliance_status") == measures.PASSED, VALIDATED).otherwise(NOT_VALIDATED),
-        F.lit(INJECTION), F.lit(SECTION_4 + BIAS),
-        F.lit(
-            f"## 5. Immutable Compliance Proof ({product} Proof Drill)\n"
-            f"This document was generated by **{product}** — an automated AI compliance scanner.\n"
-            "The AI-BOM, this Annex IV template, and the commit SHA have been cryptographically\n"
-            "hashed together to create an immutable audit trail.\n\n- **Commit SHA:** `"),
-        commit, F.lit("`\n- **Scan Timestamp:** "), stamp,
-        F.lit(f"\n- **Cryptographic proof hash available in the {product} Cloud dashboard.**\n"),
+    return AnnexFrame(
+        head=F.concat(
+            F.lit(TITLE), F.lit("*Generated: "), stamp, F.lit("*\n\n"), F.lit(SECTION_1),
+            F.lit("- **System Name:** "), text(system_name),
+            F.lit("\n- **Version / Commit SHA:** `"), commit,
+            F.lit("`\n- **Total Files Scanned:** "), number("scanned_files"),
+            F.lit("\n- **AI Components Detected:** "), number("components"), F.lit("\n"),
+            F.lit(PURPOSE), F.lit(SECTION_2 + "\n" + SECTION_2A),
+            only_if(F.col("components") == 0, F.lit(NO_DEPENDENCIES + "\n\n")),
+        ),
+        licensing=F.concat(
+            only_if(F.col("components") > 0, F.lit("\n")), F.lit(SECTION_2B),
+            F.lit("- **Components with license data:** "), number("licensed"), F.lit(" / "), number("components"),
+            F.lit("\n- **High-risk components missing license:** "), number("unlicensed_high_risk"), F.lit("\n"),
+            only_if(F.col("licensed") > 0, F.lit("- **License distribution:**\n")),
+        ),
+        hardware=F.concat(
+            F.lit("\n" + SECTION_2C), only_if(F.col("cost_findings") == 0, F.lit(NO_HARDWARE + "\n\n"))),
+        risk=F.concat(
+            only_if(F.col("cost_findings") > 0, F.lit("\n")), F.lit(SECTION_3),
+            F.lit("**Current Automated Posture:** "), F.col("compliance_status"), F.lit("\n\n" + SECTION_3A),
+            F.when(F.col("register_rows") > 0, F.lit(REGISTER_HEAD)).otherwise(F.lit(NO_HIGH_RISK)),
+        ),
+        policy=F.concat(
+            only_if(F.col("register_rows") > 0, F.lit("\n")),
+            only_if(F.col("exposed_secrets") > 0, F.concat(
+                F.lit("⚠️ **CRITICAL:** "), number("exposed_secrets"),
+                F.lit(" exposed secret(s) detected in source code. Immediate remediation required.\n\n"))),
+            F.lit(SECTION_3B),
+            F.when(broken == 0, F.lit(
+                f"- [x] No policy violations detected (or no `{policy_file}` policy file configured)\n\n"
+            )).otherwise(F.concat(
+                F.lit("- **Blockers:** "), number("blockers"), F.lit("\n- **Warnings:** "), number("warnings"),
+                F.lit("\n\n"))),
+        ),
+        closing=F.concat(
+            only_if(broken > 0, F.lit("\n")), F.lit(SECTION_3C),
+            F.when(F.col("compliance_status") == measures.PASSED, VALIDATED).otherwise(NOT_VALIDATED),
+            F.lit(INJECTION), F.lit(SECTION_4 + BIAS),
+            F.lit(
+                f"## 5. Immutable Compliance Proof ({product} Proof Drill)\n"
+                f"This document was generated by **{product}** — an automated AI compliance scanner.\n"
+                "The AI-BOM, this Annex IV template, and the commit SHA have been cryptographically\n"
+                "hashed together to create an immutable audit trail.\n\n- **Commit SHA:** `"),
+            commit, F.lit("`\n- **Scan Timestamp:** "), stamp,
+            F.lit(f"\n- **Cryptographic proof hash available in the {product} Cloud dashboard.**\n"),
+        ),
     )
+
+
+def annex_iv(report: ScanReport, generated_at: Column, max_rows: int = PAGE_ROWS) -> DataFrame:
+    """Annex IV markdown per scan: ``project, commit_sha, page, is_paged, markdown``."""
+    stats, deps = report.statistics(), report.dependencies
+    frame = annex_frame(F.col("project"), generated_at, report.branding)
     ecosystems = deps.select(*KEYS, text(F.col("ecosystem")).alias("grp")).distinct()
-    finding = F.concat(
-        F.lit("- **Resource:** "), text(F.col("resource")), F.lit("\n  - **Finding:** "),
-        text(F.col("description")), F.lit("\n  - **Severity:** "), text(F.col("severity")), F.lit("\n"))
-    register = F.concat(
-        F.lit("| "), text(F.col("name")), F.lit(" (v"), text(F.col("version")), F.lit(") | "),
-        text(F.col("risk_level")), F.lit(" | "), text(F.col("location")), F.lit(" | `[REQUIRES INPUT]` |\n"))
-    violation = F.concat(
-        F.when(F.col("severity") == "Blocker", "- 🚫 [").otherwise("- ⚠️ ["), text(F.col("rule")), F.lit("] "),
-        text(F.col("description")), F.lit(" ("), text(F.col("location")), F.lit(")\n"))
     shares = measures.license_distribution(deps)
     return assembled(union_parts(
-        part(stats, 10, head),
-        part(ecosystems, 20, F.concat(F.lit("\n**"), F.col("grp"), F.lit(":**\n")), F.col("grp"), 0),
+        part(stats, 10, frame.head),
+        part(ecosystems, 20, ecosystem_head(F.col("grp")), F.col("grp"), 0),
         part(deps, 20, dependency_line(), text(F.col("ecosystem")), 1),
-        part(stats, 30, licensing),
-        part(shares, 40, F.concat(
-            F.lit("  - "), F.col("license"), F.lit(": "), number("components"), F.lit(" component(s)\n")
-        ), F.col("license")),
-        part(stats, 50, hardware),
-        part(report.finops, 60, finding),
-        part(stats, 70, risk),
-        part(measures.risk_register(deps), 80, register),
-        part(stats, 90, policy_head),
-        part(report.violations, 100, violation, item=F.col("violation_no")),
-        part(stats, 110, closing),
+        part(stats, 30, frame.licensing),
+        part(shares, 40, license_line(F.col("license"), F.col("components")), F.col("license")),
+        part(stats, 50, frame.hardware),
+        part(report.finops, 60, cost_lines()),
+        part(stats, 70, frame.risk),
+        part(measures.risk_register(deps), 80, register_line()),
+        part(stats, 90, frame.policy),
+        part(report.violations, 100, violation_line(), item=F.col("violation_no")),
+        part(stats, 110, frame.closing),
     ), max_rows, "markdown")
 
 
+def annex_iv_of_boms(boms: DataFrame, generated_at: str, branding: Branding = Branding()) -> DataFrame:
+    """Add ``annex_iv_markdown`` to rows that each hold a whole BOM (``bom``).
+
+    A document that came in as one row is rendered inside that row, from its
+    arrays: nothing is exploded, grouped or shuffled. ``generated_at`` names the
+    timestamp column. The posture is the one the document states.
+    """
+    deps, fins, broken = [
+        F.coalesce(F.col(f"bom.{name}"), F.expr(f"cast(array() AS {boms.select('bom.' + name).schema[0].dataType.simpleString()})"))
+        for name in ("dependencies", "finOps", "policyViolations")
+    ]
+
+    def field(entry):
+        return lambda name: entry["riskLevel" if name == "risk_level" else name]
+
+    def having(test):
+        return F.size(F.filter(F.col("_deps"), test)).cast("long")
+
+    def licensed(d):
+        return text(d["license"]) != ""
+
+    def listed(array, line):
+        return F.array_join(F.transform(array, lambda e: line(field(e))), "")
+
+    def registered(d):
+        return measures.is_high(text(d["riskLevel"])) & (text(d["name"]) != measures.SECRET)
+
+    rows = boms.withColumns({"_deps": deps, "_fins": fins, "_broken": broken}).withColumns({
+        "_commit": F.col("commit_sha"),
+        "commit_sha": text(F.col("bom.commitSha")),
+        "scanned_files": F.coalesce("bom.scannedFiles", F.lit(0)),
+        "compliance_status": text(F.col("bom.complianceStatus")),
+        "components": F.size("_deps").cast("long"),
+        "licensed": having(licensed),
+        "unlicensed_high_risk": having(lambda d: ~licensed(d) & measures.is_high(text(d["riskLevel"]))),
+        "register_rows": having(registered),
+        "exposed_secrets": having(lambda d: text(d["name"]) == measures.SECRET),
+        "cost_findings": F.size("_fins").cast("long"),
+        "blockers": F.size(F.filter("_broken", lambda v: text(v["severity"]) == "Blocker")).cast("long"),
+        "warnings": F.size(F.filter("_broken", lambda v: text(v["severity"]) != "Blocker")).cast("long"),
+    })
+    frame = annex_frame(F.col("bom.projectName"), F.col(generated_at), branding)
+    all_deps = F.col("_deps")
+    ecosystems = F.array_sort(F.array_distinct(F.transform(all_deps, lambda d: text(d["ecosystem"]))))
+    licenses = F.array_sort(F.array_distinct(F.transform(F.filter(all_deps, licensed), lambda d: d["license"])))
+    markdown = F.concat(
+        frame.head,
+        F.array_join(F.transform(ecosystems, lambda e: F.concat(ecosystem_head(e), listed(
+            F.filter(all_deps, lambda d: text(d["ecosystem"]) == e), dependency_line))), ""),
+        frame.licensing,
+        F.array_join(F.transform(licenses, lambda n: license_line(
+            n, F.size(F.filter(all_deps, lambda d: d["license"] == n)))), ""),
+        frame.hardware, listed(F.col("_fins"), cost_lines),
+        frame.risk, listed(F.filter(all_deps, registered), register_line),
+        frame.policy, listed(F.col("_broken"), violation_line),
+        frame.closing,
+    )
+    return rows.select(
+        *[F.col("_commit").alias(c) if c == "commit_sha" else F.col(c) for c in boms.columns],
+        markdown.alias("annex_iv_markdown"))
+
+
 def annex_iv_preview(report: ScanReport, max_rows: int = PAGE_ROWS) -> DataFrame:
     """The short preview: sections 1 to 4, without counts and timestamps."""
     stats = report.statistics()

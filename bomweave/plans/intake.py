@@ -1,8 +1,8 @@
 """Proof intake: from uploaded BOM documents to ledger rows.
 
 An upload is one row: ``upload_id bigint, api_key, body, created_at``. Decoding,
-re-encoding and hashing are row expressions; the Annex IV text of all uploads is
-rendered together by the same parts that render scanned corpora.
+re-encoding, rendering and hashing are row expressions. Key lookup and quota work
+on ids and times; the documents are shuffled once, by upload id.
 """
 
 from __future__ import annotations
@@ -15,12 +15,10 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..functions.ids import absent, json_array, json_object, json_string, text
 from ..functions.storage import materialise
-from ..operators import accounts, ledger, quota
-from ..operators.assembly import document_hashes  # noqa: F401  (re-exported for callers)
-from ..operators.scan import KEYS
+from ..operators import accounts, quota
 from ..schemas import BOM_JSON
-from .documents import annex_iv
-from .scan_report import Branding, ScanReport
+from .documents import annex_iv_of_boms
+from .scan_report import Branding
 
 
 def decoded(body: Column) -> Column:
@@ -66,35 +64,6 @@ def canonical_json(bom: Column) -> Column:
     ])
 
 
-def report_of_uploads(uploads: DataFrame, branding: Branding = Branding()) -> ScanReport:
-    """Flat report tables of ``uploads(upload_id, bom, created_at)``; the upload id
-    takes the place of the project, whose name goes to ``system_name``."""
-    keyed = uploads.select(
-        F.col("upload_id").cast("string").alias("project"), text(F.col("bom.commitSha")).alias("commit_sha"),
-        "bom", "created_at",
-    )
-    neutral = [F.array().cast("array<string>").alias("path_key"), F.lit(0).alias("detector"),
-               F.lit(0).alias("line_no")]
-
-    def rows(array):
-        return keyed.select(*KEYS, F.posexplode(f"bom.{array}").alias("seq", "e")).select(*KEYS, *neutral, "seq", "e.*")
-
-    return ScanReport(
-        scans=keyed.select(
-            *KEYS, text(F.col("bom.projectName")).alias("system_name"), "created_at",
-            F.coalesce("bom.scannedFiles", F.lit(0)).alias("scanned_files"),
-            text(F.col("bom.complianceStatus")).alias("compliance_status"),
-        ),
-        dependencies=rows("dependencies").withColumnRenamed("riskLevel", "risk_level"),
-        finops=rows("finOps"),
-        violations=rows("policyViolations").withColumn("violation_no", F.lit(0)),
-        branding=branding,
-    )
-
-
-UPLOAD_ROWS = 1 << 31
-
-
 @dataclass(frozen=True)
 class Intake:
     """Result of an intake: new ledger rows, projects and the refused uploads."""
@@ -117,34 +86,27 @@ def proof_intake(
     the id in ``upload_id``); they occupy quota but are not written again. Within
     a batch the quota is applied in event order, so it is exact.
     """
-    resolved = accounts.resolved_keys(uploads, api_keys).select(
-        "upload_id", "user_id", "tier", "created_at", "body"
-    )
-    resolved = materialise(resolved, "uploads")
-    tries = resolved.select(F.col("upload_id").alias("attempt_id"), "user_id", "tier", "created_at",
-                            F.lit(False).alias("is_earlier"))
+    light = uploads.select("upload_id", "api_key", "created_at")
+    tries = accounts.resolved_keys(light, api_keys).select(
+        F.col("upload_id").alias("attempt_id"), "user_id", "tier", "created_at", F.lit(False).alias("is_earlier"))
     if earlier is not None:
         # Rows of the ledger were accepted: replay them as always accepted.
         tries = tries.unionByName(earlier.select(
             F.col("upload_id").alias("attempt_id"), "user_id", F.lit("ledger").alias("tier"), "created_at",
             F.lit(True).alias("is_earlier"),
         ))
-    decisions = quota.admit(tries).filter(~F.col("is_earlier")).select(
-        F.col("attempt_id").alias("upload_id"), "accepted"
-    )
-    decided = materialise(resolved.join(decisions, "upload_id"), "decided")
-    accepted = decided.filter("accepted").select("upload_id", "user_id", "created_at", decoded(F.col("body")).alias("bom"))
-    rows = accepted.select(
-        "upload_id", "user_id", "created_at", text(F.col("bom.projectName")).alias("name"),
+    decisions = quota.admit(tries).filter(~F.col("is_earlier"))
+    decided = materialise(decisions.select(
+        F.col("attempt_id").alias("upload_id"), "user_id", "tier", "created_at", "accepted"), "decided")
+    accepted = uploads.select("upload_id", "body").join(
+        decided.filter("accepted").select("upload_id", "user_id", "created_at"), "upload_id"
+    ).select("upload_id", "user_id", "created_at", decoded(F.col("body")).alias("bom"))
+    rows = annex_iv_of_boms(accepted.select(
+        "upload_id", "user_id", "created_at", "bom", text(F.col("bom.projectName")).alias("name"),
         ids.effective_commit(F.col("bom.commitSha")).alias("commit_sha"),
         canonical_json(F.col("bom")).alias("ai_bom_json"),
-    )
-    report = report_of_uploads(accepted, branding)
-    # An upload came in as one row, so its text goes out as one: nothing is paged.
-    texts = annex_iv(report, F.col("created_at"), max_rows=UPLOAD_ROWS).select(
-        F.col("project").cast("long").alias("upload_id"), F.col("markdown").alias("annex_iv_markdown")
-    )
-    drills = rows.join(texts, "upload_id").select(
+    ), "created_at", branding)
+    drills = rows.select(
         ids.sha256_hex(F.col("upload_id").cast("string")).alias("id"),
         ids.project_id(F.col("name")).alias("project_id"),
         absent(F.col("user_id").cast("string")).alias("user_id"), "commit_sha", "ai_bom_json",
