@@ -5,8 +5,8 @@ the events of an account in one task, the fold is expressed with aggregates and
 chunked running values (``skew.running``):
 
 * a checkout makes the account ``pro`` and names its customer;
-* a cancellation applies when it names the customer of the latest checkout, and
-  only the first such cancellation after that checkout removes the account;
+* the first cancellation of that customer after a checkout removes the account,
+  unless the user's next checkout comes first;
 * after the last removal, the state is a handful of ``max_by`` / ``min_by``
   aggregates over the remaining events.
 """
@@ -63,30 +63,33 @@ def key_requests(events: DataFrame) -> DataFrame:
 
 
 def removals(events: DataFrame, chunk: str = "day") -> DataFrame:
-    """``user_id, removed``: the step (time, event) of every effective removal."""
-    opened = checkouts(events)
-    owners = opened.select("user_id", "customer_id").distinct()
-    # A customer belongs to few users; its cancellations may be many.
-    closing = salted_join(cancellations(events), owners, ["customer_id"], STEP, how="inner")
+    """``user_id, removed``: the step (time, event) of every effective removal.
+
+    Looked up from the checkouts: the next cancellation of the customer removes
+    the account, unless the user's next checkout comes first. Both are running
+    minima from the end, so customers are never paired with their cancellations.
+    """
     step = F.struct(*STEP)
-    timeline = opened.select(
-        "user_id", "customer_id", *STEP, F.struct(*STEP, "customer_id").alias("checkout"),
-        F.lit(False).alias("closes"),
-    ).unionByName(closing.select(
-        "user_id", "customer_id", *STEP, F.lit(None).cast(
-            opened.select(F.struct(*STEP, "customer_id").alias("c")).schema["c"].dataType
-        ).alias("checkout"),
-        F.lit(True).alias("closes"),
-    ))
-    placed = running(
-        timeline, ["user_id"], "received_at", STEP, {"latest": (F.col("checkout"), "max")}, chunk
+    opened = checkouts(events)
+    unset = F.lit(None).cast(opened.select(step.alias("s")).schema["s"].dataType)
+    by_customer = opened.select("customer_id", "user_id", *STEP, unset.alias("cancel")).unionByName(
+        cancellations(events).select(
+            "customer_id", F.lit(None).cast(opened.schema["user_id"].dataType).alias("user_id"), *STEP,
+            step.alias("cancel"),
+        )
     )
-    return (
-        placed.filter(F.col("closes") & (F.col("latest.customer_id") == F.col("customer_id")))
-        .groupBy("user_id", F.struct("latest.received_at", "latest.event_id").alias("opened"))
-        .agg(F.min(step).alias("removed"))
-        .select("user_id", "removed")
+    ahead = running(
+        by_customer, ["customer_id"], "received_at", STEP, {"removed": (F.col("cancel"), "min")}, chunk,
+        exclusive=True, backward=True,
+    ).filter(F.col("user_id").isNotNull()).select("user_id", *STEP, "removed")
+    placed = running(
+        ahead, ["user_id"], "received_at", STEP, {"next_checkout": (step, "min")}, chunk,
+        exclusive=True, backward=True,
     )
+    return placed.filter(
+        F.col("removed").isNotNull()
+        & (F.col("next_checkout").isNull() | (F.col("removed") < F.col("next_checkout")))
+    ).select("user_id", "removed")
 
 
 def account_state(events: DataFrame, chunk: str = "day") -> DataFrame:

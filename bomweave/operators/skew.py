@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import materialise
+
 SALTS_SETTING = "bomweave.join.salts"
 DEFAULT_SALTS = 16
 PAGE_ROWS = 50_000
@@ -83,41 +85,61 @@ def first_of_group(df: DataFrame, keys, order, flag: str) -> DataFrame:
     )
 
 
+def numbered(df: DataFrame, keys, order, name: str = "position", max_rows: int = PAGE_ROWS) -> DataFrame:
+    """Position of every row in its group, in ``order``, without sorting a large
+    group in one task: rows are numbered inside bounded pages, and a page starts
+    after the rows of the pages before it. ``order`` must be unique in a group."""
+    pages = materialise(paged(df, keys, order, max_rows).drop("is_paged"), "numbered")
+    before = Window.partitionBy(*keys).orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    starts = pages.groupBy(*keys, "page").agg(F.count(F.lit(1)).alias("_n")).select(
+        *keys, "page", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(*keys, "page").orderBy(*order)
+    return (
+        pages.withColumn("_inner", F.row_number().over(inside)).join(starts, [*keys, "page"])
+        .withColumn(name, F.col("_start") + F.col("_inner")).drop("_start", "_inner", "page")
+    )
+
+
 def running(df: DataFrame, keys, time, order, aggregates: dict[str, tuple[Column, str]],
-            chunk: str = "day", exclusive: bool = False) -> DataFrame:
-    """Running ``sum`` / ``max`` per key in ``order``, in two levels.
+            chunk: str = "day", exclusive: bool = False, backward: bool = False) -> DataFrame:
+    """Running ``sum`` / ``max`` / ``min`` per key in ``order``, in two levels.
 
     Rows are grouped in (key, time chunk). The chunk totals are aggregated
     map-side and scanned per key: one row per chunk, bounded by the time span and
     not by the data. Inside a chunk an ordinary running window completes the
     value. A hot key is therefore spread over as many tasks as it has chunks.
 
-    ``aggregates`` maps an output name to (column, "sum" | "max"). ``order`` must
-    start with ``time``. With ``exclusive`` the current row is left out.
+    ``aggregates`` maps an output name to (column, function). ``order`` must start
+    with ``time``. With ``exclusive`` the current row is left out; ``backward``
+    runs from the end, so that values come from later rows.
     """
-    combine = {"sum": F.sum, "max": F.max}
+    combine = {"sum": F.sum, "max": F.max, "min": F.min}
+
+    def ordered(columns):
+        return [F.desc(c) for c in columns] if backward else [F.asc(c) for c in columns]
+
     rows = df.withColumn("_chunk", F.date_trunc(chunk, F.col(time)))
     totals = rows.groupBy(*keys, "_chunk").agg(
         *[combine[how](col).alias(f"_t_{name}") for name, (col, how) in aggregates.items()]
     )
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy(*ordered(["_chunk"])).rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(
         *keys, "_chunk",
         *[combine[how](f"_t_{name}").over(before).alias(f"_c_{name}")
           for name, (_, how) in aggregates.items()],
     )
     end = -1 if exclusive else Window.currentRow
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(*ordered(order)).rowsBetween(Window.unboundedPreceding, end)
     local = rows.select("*", *[
         combine[how](col).over(inside).alias(f"_l_{name}") for name, (col, how) in aggregates.items()
     ])
     joined = local.join(carried, [*keys, "_chunk"], "left")
     for name, (_, how) in aggregates.items():
         carry, here = F.col(f"_c_{name}"), F.col(f"_l_{name}")
-        value = (
-            F.coalesce(carry, F.lit(0)) + F.coalesce(here, F.lit(0)) if how == "sum"
-            else F.greatest(carry, here)
-        )
+        value = {
+            "sum": lambda: F.coalesce(carry, F.lit(0)) + F.coalesce(here, F.lit(0)),
+            "max": lambda: F.greatest(carry, here),
+            "min": lambda: F.least(carry, here),
+        }[how]()
         joined = joined.withColumn(name, value).drop(f"_c_{name}", f"_l_{name}")
     return joined.drop("_chunk")
-

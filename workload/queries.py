@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from bomweave.functions import ids
 from bomweave.operators import accounts, enrich, ledger, measures, policy, quota, scan
+from bomweave.functions.storage import materialise
 from bomweave.operators.assembly import document_hashes
+from bomweave.operators.skew import numbered, salted_join
 from bomweave.plans import documents, intake
 from bomweave.plans.scan_report import Branding, scan_report
 from bomweave.schemas import BOM_JSON
@@ -136,17 +138,8 @@ def all_findings(spark, sf):
 
 @query("walk_order", O.with_(O.ctes(O.ALL_KINDS), f"SELECT project, commit_sha, path, detector, name, location, position FROM (SELECT *, row_number() OVER (PARTITION BY project, commit_sha ORDER BY string_split(path, '/'), detector, line_no, seq) AS position FROM ({O.union(O.ALL_KINDS)}))"))
 def walk_order(spark, sf):
-    """Report position of every finding: a distributed running count, chunked by
-    the first path element, so that a large project is not numbered in one task."""
-    from pyspark.sql import Window
-
-    found = scan.findings(files(spark, sf)).withColumn("chunk", F.get("path_key", F.lit(0)))
-    before = Window.partitionBy(*KEYS).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    inside = Window.partitionBy(*KEYS, "chunk").orderBy(*scan.ORDER)
-    offsets = found.groupBy(*KEYS, "chunk").agg(F.count(F.lit(1)).alias("n")).select(
-        *KEYS, "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    numbered = found.withColumn("inner", F.row_number().over(inside)).join(offsets, [*KEYS, "chunk"])
-    return numbered.select(*KEYS, "path", "detector", "name", "location", (F.col("offset") + F.col("inner")).alias("position"))
+    found = materialise(scan.findings(files(spark, sf)), "findings")
+    return numbered(found, KEYS, scan.ORDER).select(*KEYS, "path", "detector", "name", "location", "position")
 
 
 # --- scan ---------------------------------------------------------------------
@@ -286,8 +279,6 @@ for _name in policy.RULES:
 
 @query("allow_list_misses", O.with_([O.VOLUME, O.VOLUME_POLICIES], "SELECT d.project, name, version, license, location FROM deps d JOIN pol USING (project) WHERE (len(allowed_models) > 0 AND name = 'Hardcoded Model' AND NOT contains(lower(version), allowed_models[1])) OR (len(allowed_licenses) > 0 AND license IS NOT NULL AND lower(license) <> lower(allowed_licenses[1]))"))
 def allow_list_misses(spark, sf):
-    from bomweave.operators.skew import salted_join
-
     joined = salted_join(volume(spark, sf), volume_policies(spark, sf), ["project"], ["location"], how="inner")
     return joined.filter(
         policy.misses_model_list(F.col("name"), F.col("version"), F.col("ecosystem"), F.col("allowed_models"))
