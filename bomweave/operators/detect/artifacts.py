@@ -19,7 +19,9 @@ def weight_file(path: Column, dims: D.Dictionaries) -> Column:
     ))
 
 
-def kubernetes_gpu(path: Column, content: Column) -> Column:
+def kubernetes_gpu(path: Column, content: Column, long_line_stop=False) -> Column:
+    if long_line_stop:
+        content = F.array_join(X.lines_of(content, True), "\n")
     wasteful = X.let(F.lower(content), lambda low: (
         X.contains_any(low, D.GPU_RESOURCE_KEYS) & ~X.contains_any(low, D.GPU_SHARING_KEYS)
     ))

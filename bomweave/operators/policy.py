@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.ids import text
 from .enrich import is_model
-from .scan import KEYS, ORDER
+from .scan import KEYS, ORDER, keyed
 from .skew import salted_join
 
 POLICY_FILE = ".aibom.yml"
@@ -60,7 +60,7 @@ def policies(files: DataFrame, policy_file: str = POLICY_FILE) -> DataFrame:
         return F.get(F.transform(hits, lambda e: e["value"]), F.size(hits) - 1)
 
     return (
-        files.filter(F.col("path") == policy_file)
+        keyed(files).filter(F.col("path") == policy_file)
         .groupBy(*KEYS).agg(F.max("content").alias("content"))
         .select(*KEYS, parsed_policy(F.col("content")).alias("_entries"))
         .select(

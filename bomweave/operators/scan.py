@@ -29,8 +29,13 @@ def visible(path: Column) -> Column:
     return ~F.exists(folders, lambda d: d.startswith(".") & ~d.isin(".", ".."))
 
 
+def keyed(files: DataFrame) -> DataFrame:
+    """A scan without commit has the empty one: NULL keys would not join."""
+    return files.withColumn("commit_sha", F.coalesce("commit_sha", F.lit("")))
+
+
 def visible_files(files: DataFrame) -> DataFrame:
-    return files.filter(visible(F.col("path")))
+    return keyed(files).filter(visible(F.col("path")))
 
 
 def kind_tests(path: Column, dims: D.Dictionaries = D.DEFAULT) -> dict[str, Column]:
@@ -76,7 +81,7 @@ def _build(kind: str, dims: D.Dictionaries, stop: bool) -> Column:
         ),
         "env_file": lambda: secrets.env_file(path, content, dims, stop),
         "weights": lambda: artifacts.weight_file(path, dims),
-        "kubernetes": lambda: artifacts.kubernetes_gpu(path, content),
+        "kubernetes": lambda: artifacts.kubernetes_gpu(path, content, stop),
         "helm": lambda: artifacts.helm_values(path, content, dims),
         "terraform": lambda: artifacts.terraform_gpu(path, content, dims),
     }[kind]()
@@ -122,6 +127,7 @@ def findings(
     return (
         visible_files(files)
         .filter(applicable)
+        .withColumn("content", F.coalesce("content", F.lit("")))
         .select(*KEYS, "path", F.explode(all_found).alias("f"))
         .select(*KEYS, "path", F.split("path", "/").alias("path_key"), "f.*")
     )

@@ -385,7 +385,7 @@ def annex_iv_of_boms(boms: DataFrame, generated_at: str, branding: Branding = Br
         return measures.is_high(text(d["riskLevel"])) & (text(d["name"]) != measures.SECRET)
 
     rows = boms.withColumns({"_deps": deps, "_fins": fins, "_broken": broken}).withColumns({
-        "_commit": F.col("commit_sha"),
+        "_commit": F.col("commit_sha") if "commit_sha" in boms.columns else F.lit(None),
         "commit_sha": text(F.col("bom.commitSha")),
         "scanned_files": F.coalesce("bom.scannedFiles", F.lit(0)),
         "compliance_status": text(F.col("bom.complianceStatus")),
