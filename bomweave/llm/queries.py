@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, token_counts
-from .common import read, sha256_hex
+from . import bpe, lines, token_counts, toxicity
+from .common import fold_of, read, sha256_hex
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -72,3 +72,20 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+
+TOXICITY_FOLDS = 5
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel:
+    """Learnt outside of the held-out fold."""
+    return toxicity.fit(docs, labels, learn=fold_of(F.col("doc_id"), TOXICITY_FOLDS) != 0)
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity_model(docs, read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", (fold_of(F.col("doc_id"), TOXICITY_FOLDS) == 0).alias("held_out"), F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
