@@ -1,13 +1,16 @@
 """Toxicity classifier with a counterfactual penalty.
 
-A logistic regression over the distinct words of a text. Identity terms in labelled
-texts are swapped for others of their group, and the squared change of the logit is
-added to the loss, so that a group's mention alone moves no score.
+A logistic regression over the distinct words of a text and over word beginnings
+(inflected insults share their stem, so it also counts how many distinct words have
+it). Identity terms in labelled texts are swapped for others of their group, and the
+squared change of the logit is added to the loss, so that a group's mention alone
+moves no score.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,9 +22,12 @@ from pyspark.sql import functions as F
 from .common import broadcast, by_slices
 
 WORD = re.compile(r"[^\W\d_]+")
-TRAINING_ROWS = 20_000
+TRAINING_ROWS = 8_000
 MAX_FEATURES = 256
 LEAST_DOCUMENTS = 3
+LEAST_GAIN = 4.0
+STEMS = (3, 4, 5, 6)  # lengths of word beginnings
+STEM_COUNTS = (1, 2, 4)  # at least so many distinct words with the beginning
 RIDGE = 0.05
 COUNTERFACTUAL = 10.0
 
@@ -46,16 +52,26 @@ def words_of(text: str | None) -> set[str]:
     return set(WORD.findall((text or "").lower()))
 
 
+def features_of(words: set[str]) -> set[int]:
+    """Hashes of the words and of their beginnings, these once for each count reached."""
+    found = set(map(word_hash, words))
+    stems = Counter([w[:k] for w in words for k in STEMS if len(w) > k])
+    for stem, n in stems.items():
+        h = xxhash.xxh3_64_intdigest(stem.encode(), 1)
+        found.update([h ^ level for level in STEM_COUNTS if n >= level])
+    return found
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Weights of at most ``MAX_FEATURES`` words and of the identity terms, by word hash."""
+    """Weights of at most ``MAX_FEATURES`` features and of the identity terms, by hash."""
 
     bias: float
     weights: dict[int, float]
 
     def score(self, words) -> float:
         known = self.weights
-        logit = self.bias + sum(sorted(known[h] for h in map(word_hash, words) if h in known))
+        logit = self.bias + sum(sorted(known[h] for h in features_of(words) & known.keys()))
         return float(1 / (1 + np.exp(-np.clip(logit, -40, 40))))
 
 
@@ -75,9 +91,9 @@ class Swaps:
         return (words - terms) | {self.other(t, step) for t in terms} if terms else None
 
 
-def _candidates(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, float]:
-    """Hashes of the words whose document frequency differs most between the labels,
-    and the z score that chance alone hardly reaches with so many words."""
+def _candidates(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """Hashes of the features whose document frequency differs most between the labels,
+    and by more than chance alone would make it with so many features."""
     names, at = np.unique(np.concatenate(rows), return_inverse=True)
     toxic = np.repeat(labels, [len(r) for r in rows])
     n1, n0 = labels.sum(), len(labels) - labels.sum()
@@ -89,7 +105,7 @@ def _candidates(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray,
     z[both < LEAST_DOCUMENTS] = 0
     best = np.lexsort((names, -np.abs(z)))[:MAX_FEATURES]
     least = float(np.sqrt(2 * np.log(max(2, len(names)))))
-    return np.sort(names[best[np.abs(z[best]) >= least]]), least
+    return np.sort(names[best[np.abs(z[best]) >= least]])
 
 
 def _incidence(rows: list[np.ndarray], features: np.ndarray) -> np.ndarray:
@@ -113,7 +129,7 @@ def _newton(x: np.ndarray, y: np.ndarray, penalty: np.ndarray) -> tuple[np.ndarr
     return w, 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
 
 
-def _fit(x: np.ndarray, y: np.ndarray, change: np.ndarray, strength: float, least: float, use: list[int]):
+def _fit(x: np.ndarray, y: np.ndarray, change: np.ndarray, strength: float, use: list[int]):
     """Forward selection: as long as some word explains what is left of the labels,
     take it in. Words that merely accompany others (copies) stay out. Returns the
     columns taken and their weights; ``use`` are taken from the start."""
@@ -121,10 +137,10 @@ def _fit(x: np.ndarray, y: np.ndarray, change: np.ndarray, strength: float, leas
     while True:
         penalty = squares[np.ix_(use, use)] + np.diag([1e-9] + [RIDGE] * (len(use) - 1))
         w, p = _newton(x[:, use], y, penalty)
-        gain = np.abs(x.T @ (y - p)) / np.sqrt(1 + (x * x).T @ (p * (1 - p)))
+        gain = np.abs(x.T @ (y - p)) / np.sqrt(0.25 + (x * x).T @ (p * (1 - p)))
         gain[use] = 0
         best = int(gain.argmax())
-        if gain[best] < least:
+        if gain[best] < LEAST_GAIN:
             return use, w
         use = [*use, best]
 
@@ -155,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id: str
         for i, t in zip(ids.to_pylist(), texts.to_pylist()):
             words = words_of(t)
             other = swaps.swapped(words, int(i))
-            rows.append([None if w is None else np.sort(np.array(list(map(word_hash, w)), np.uint64)).view(np.int64)
+            rows.append([None if w is None else np.sort(np.array(list(features_of(w)), np.uint64)).view(np.int64)
                          for w in (words, other)])
         return pa.StructArray.from_arrays(
             [pa.array([r[k] for r in rows], pa.list_(pa.int64())) for k in (0, 1)], names=["words", "swapped"])
@@ -171,14 +187,14 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id: str
     rows = [np.asarray(v.values.to_numpy(zero_copy_only=False)).view(np.uint64) for v in table.column("words")]
     swapped = [None if not v.is_valid else v.values.to_numpy(zero_copy_only=False).view(np.uint64)
                for v in table.column("swapped")]
-    candidates, least = _candidates(rows, y)
+    candidates = _candidates(rows, y)
     terms = np.array([word_hash(t) for t in swaps.group], np.uint64)
     present = np.unique(np.concatenate([r[np.isin(r, terms)] for r in rows]))
     features = np.unique(np.concatenate([candidates, present]))
     pairs = [(r, s) for r, s in zip(rows, swapped) if s is not None]
     change = _incidence([r for r, _ in pairs], features) - _incidence([s for _, s in pairs], features)
     start = [0, *(1 + np.flatnonzero(np.isin(features, present)))]
-    use, w = _fit(_incidence(rows, features), y, change, strength, least, start)
+    use, w = _fit(_incidence(rows, features), y, change, strength, start)
     return ToxicityModel(float(w[0]), {int(features[k - 1]): float(v) for k, v in zip(use[1:], w[1:])})
 
 
