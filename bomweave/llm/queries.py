@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, token_counts, toxicity
+from . import bpe, language, lines, token_counts, toxicity
 from .common import fold_of, read, sha256_hex
 
 QUERIES: dict = {}
@@ -89,3 +89,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select(
         "doc_id", (fold_of(F.col("doc_id"), TOXICITY_FOLDS) == 0).alias("held_out"), F.col("toxicity").alias("score"),
         (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
+LANGUAGE_FOLDS, LANGUAGE_HELD_OUT = 4, 2
+
+
+@query
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = fold_of(F.col("doc_id"), LANGUAGE_FOLDS)
+    model = language.fit(docs, learn=fold != LANGUAGE_HELD_OUT)
+    return language.identify(docs.drop("lang"), model).select(
+        "doc_id", (fold == LANGUAGE_HELD_OUT).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
