@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, lines, token_counts, toxicity
+from . import bpe, language, lines, token_counts, topk, toxicity
 from .common import fold_of, read, sha256_hex
 
 QUERIES: dict = {}
@@ -101,3 +101,27 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.fit(docs, learn=fold != LANGUAGE_HELD_OUT)
     return language.identify(docs.drop("lang"), model).select(
         "doc_id", (fold == LANGUAGE_HELD_OUT).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+@query
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5, scale=256.0)
+
+
+SQL["op1_top_k"] = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS value
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_sum(list_transform(list_zip(q.value, c.value), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+         vec_id, score
+  FROM scored
+)
+SELECT * FROM ranked WHERE rank <= 5
+"""
