@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, lines, token_counts, topk, toxicity
+from . import bpe, language, lines, token_counts, topk, toxicity, vectors
 from .common import fold_of, read, sha256_hex
 
 QUERIES: dict = {}
@@ -125,3 +125,8 @@ WITH v AS (
 )
 SELECT * FROM ranked WHERE rank <= 5
 """
+
+
+@query
+def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), least=0.9)
