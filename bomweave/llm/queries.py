@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, lines, token_counts, topk, toxicity, vectors
+from . import bpe, language, lines, repeats, token_counts, topk, toxicity, vectors
 from .common import fold_of, read, sha256_hex
 
 QUERIES: dict = {}
@@ -130,3 +130,10 @@ SELECT * FROM ranked WHERE rank <= 5
 @query
 def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), least=0.9)
+
+
+@query
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeats.remove_repeats(docs, window=400).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))

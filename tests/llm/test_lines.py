@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 
-from bomweave.llm import lines
+from bomweave.llm import filters, lines
 
 BLANKS = " \t\n\x0b\x0c\r"
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -60,10 +60,10 @@ def test_empty(spark):
 def test_filters_never_lose_a_repeat():
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 1 << 63, (3000, 2)).astype(np.uint64)
-    whole = lines.SeenFilters(1 << 16)
+    whole = filters.SeenFilters(1 << 16)
     for part in (keys[:1000], keys[500:2000], keys[2000:]):
-        one = lines.SeenFilters(1 << 16)
+        one = filters.SeenFilters(1 << 16)
         one.add(part)
         whole.merge(one.once, one.twice)
-    assert lines.maybe(whole.twice, keys[500:1000]).all()
-    assert lines.maybe(whole.twice, keys[2000:]).mean() < 0.1
+    assert filters.maybe(whole.twice, keys[500:1000]).all()
+    assert filters.maybe(whole.twice, keys[2000:]).mean() < 0.1
