@@ -27,7 +27,7 @@ MAX_LISTS = 8_192
 FIT_ROWS = 16_384  # sample for centroids and codewords
 SUBSPACE = 8  # components coded by one byte
 CODEWORDS = 256
-BORDER = 0.2  # lists are probed up to this distance from their border
+BORDER = 0.1  # lists are probed up to this distance from their border; a link is found from either side
 BLOCK_ROWS = 1_024
 PAIRS_AT_ONCE = 1 << 16
 
