@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, lines, repeats, token_counts, topk, toxicity, vectors
+from . import bpe, language, lines, mixing, repeats, token_counts, topk, toxicity, vectors
 from .common import fold_of, read, sha256_hex
 
 QUERIES: dict = {}
@@ -137,3 +137,65 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return repeats.remove_repeats(docs, window=400).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
+MIX_ENTROPY, MIX_LIMIT = 0.99, 2.0
+
+
+@query
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    drawn = mixing.mix(docs, entropy=MIX_ENTROPY, limit=MIX_LIMIT)
+    return drawn.select("doc_id", "source", "mix_pass", mixing.tokens_of(F.col("text")).alias("n_tokens"))
+
+
+_SPREAD = ("ln(list_sum(list_transform(p, lambda x: pow(x, {a})))) - list_sum(list_transform(p, lambda x: pow(x, {a}) * {a} * ln(x)))"
+           " / list_sum(list_transform(p, lambda x: pow(x, {a})))")
+_ENTROPY_MET = f"({_SPREAD} >= {MIX_ENTROPY} * ln(len(p)) - 1e-9)"
+_LIMIT_MET = f"(pow(list_max(p) / list_min(p), 1 - {{a}}) <= {MIX_LIMIT} + 1e-9)"
+
+SQL["op7_mixing"] = rf"""
+WITH RECURSIVE sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS n_tokens,
+         CAST('0x' || substr(md5('1|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS place
+  FROM documents
+), totals AS (
+  SELECT source, CAST(sum(n_tokens) AS BIGINT) AS total FROM sized GROUP BY source HAVING sum(n_tokens) > 0
+), shares AS (
+  SELECT list(total / everything ORDER BY total) AS p, max(total) AS most
+  FROM (SELECT total, sum(total) OVER () AS everything FROM totals)
+), bisect AS (
+  SELECT 0 AS i, 0::DOUBLE AS elo, 1::DOUBLE AS ehi, 0::DOUBLE AS rlo, 1::DOUBLE AS rhi
+  UNION ALL
+  SELECT i + 1,
+         CASE WHEN {_ENTROPY_MET.format(a="((elo + ehi) / 2)")} THEN (elo + ehi) / 2 ELSE elo END,
+         CASE WHEN {_ENTROPY_MET.format(a="((elo + ehi) / 2)")} THEN ehi ELSE (elo + ehi) / 2 END,
+         CASE WHEN {_LIMIT_MET.format(a="((rlo + rhi) / 2)")} THEN rlo ELSE (rlo + rhi) / 2 END,
+         CASE WHEN {_LIMIT_MET.format(a="((rlo + rhi) / 2)")} THEN (rlo + rhi) / 2 ELSE rhi END
+  FROM bisect, shares WHERE i < 60
+), chosen AS (
+  SELECT greatest(CASE WHEN {_ENTROPY_MET.format(a="1")} THEN 1 ELSE elo END,
+                  CASE WHEN {_LIMIT_MET.format(a="0")} THEN 0 ELSE rhi END) AS a, most
+  FROM bisect, shares WHERE i = 60
+), passes AS (
+  SELECT source, total, CAST(floor(pow(most / total, 1 - a)) AS BIGINT) AS whole,
+         CAST(floor((pow(most / total, 1 - a) - floor(pow(most / total, 1 - a))) * total) AS BIGINT) AS rest
+  FROM totals, chosen
+), plan AS (
+  SELECT *, CAST('0x' || substr(md5('1|' || coalesce(source, '') || '|' || whole || '|factor'), 1, 8) AS BIGINT) % 2048 * 2 + 1 AS factor,
+         CAST('0x' || substr(md5('1|' || coalesce(source, '') || '|' || whole || '|shift'), 1, 8) AS BIGINT) % 4096 AS shift
+  FROM passes
+), ranked AS (
+  SELECT s.doc_id, s.source, s.n_tokens, s.place // 4096 AS inside, p.whole, p.rest,
+         (s.place % 4096 * p.factor + p.shift) % 4096 AS rank
+  FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source WHERE s.n_tokens > 0
+), drawn AS (
+  SELECT *, sum(n_tokens) OVER (PARTITION BY source ORDER BY rank, inside, doc_id
+                                RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= rest AS extra
+  FROM ranked
+), copies AS (
+  SELECT doc_id, source, n_tokens, whole + CAST(extra AS INTEGER) AS copies FROM drawn
+  UNION ALL SELECT doc_id, source, n_tokens, 1 FROM sized WHERE n_tokens = 0
+)
+SELECT doc_id, source, CAST(unnest(range(copies)) AS INTEGER) AS mix_pass, n_tokens FROM copies
+"""
