@@ -24,7 +24,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         edges = _step(_step(edges, larger=True), larger=False)
         edges = materialise(edges, "links")
-        now = edges.agg(F.count("u"), F.sum("u"), F.sum("v"), F.sum(F.hash("u", "v").cast("long"))).first()
+        now = edges.agg(F.count("u"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.hash("v", "u").cast("long"))).first()
         if now == state:
             break
         state = now

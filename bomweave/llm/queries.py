@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, lines, mixing, repeats, token_counts, topk, toxicity, vectors
+from . import bpe, language, lines, mixing, near, repeats, token_counts, topk, toxicity, vectors
 from .common import fold_of, read, sha256_hex
 
 QUERIES: dict = {}
@@ -199,3 +199,8 @@ WITH RECURSIVE sized AS (
 )
 SELECT doc_id, source, CAST(unnest(range(copies)) AS INTEGER) AS mix_pass, n_tokens FROM copies
 """
+
+
+@query
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), words=2, percent=80)
