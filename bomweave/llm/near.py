@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import materialise
@@ -174,8 +174,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id: str
     nothing, have a null component, and are kept. Links at the threshold are missed
     with a probability of (1 - 0.8^6)^40, 5 in a million; closer ones hardly ever.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    return _labelled(docs, words, percent, id, text, filter_bits).select(
+        F.col("id").alias(id), F.col("n").alias("n_shingles"), "component_id", "kept")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text",
+                         filter_bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns. Rows with
+    equal id and text are one document and stay or go together."""
+    kept = _labelled(docs, words, percent, id, text, filter_bits).filter("kept").select("k1", "k2")
+    keyed = docs.withColumns(dict(zip(("_k1", "_k2"), _row_keys(id, text))))
+    return keyed.join(kept, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left_semi").drop("_k1", "_k2")
+
+
+def _row_keys(id: str, text: str) -> list[Column]:
+    """Two hashes that stand for a row's id and text."""
+    return [F.xxhash64(F.col(id), F.col(text)), F.xxhash64(F.lit("row"), F.col(text), F.col(id))]
+
+
+def _labelled(docs: DataFrame, words: int, percent: int, id: str, text: str, filter_bits: int) -> DataFrame:
+    """(id, k1, k2, n, component_id, kept) of every row."""
+    k1, k2 = _row_keys(id, text)
+    rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), k1.alias("k1"), k2.alias("k2"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,28 +203,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id: str
             for part in slices(texts):
                 sets = shingle_sets([t or b"" for t in part.to_pylist()], words)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(at, len(part)), pa.array([len(s) for s in sets], pa.int64()),
+                    *(batch.column(c).slice(at, len(part)) for c in (0, 2, 3)), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_node(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary())],
-                    names=["id", "n", "node", "sketch"])
+                    names=["id", "k1", "k2", "n", "node", "sketch"])
                 at += len(part)
 
-    sketched = materialise(rows.mapInArrow(sketch, "id long, n long, node binary, sketch binary"), "near-sketches")
+    sketched = materialise(rows.mapInArrow(
+        sketch, "id long, k1 long, k2 long, n long, node binary, sketch binary"), "near-sketches")
     nodes = materialise(sketched.filter("id IS NOT NULL AND node IS NOT NULL").groupBy("node").agg(
         F.min("id").alias("low"), F.max("n").alias("n"), F.max("sketch").alias("sketch")), "near-nodes")
     shared = _shared_keys(nodes, filter_bits)
     involved = materialise(nodes.join(shared.select("node").distinct(), "node"), "near-involved")
-    links = _links(shared, involved, _texts(rows, involved, words), words, percent)
+    links = _links(shared, involved, _texts(rows.select("id", "text"), involved, words), words, percent)
     reached = components(links, "a", "b").withColumnRenamed("id", "node").withColumnRenamed("component_id", "label")
     reached = nodes.select("node", "low").join(reached, "node")
     lowest = reached.groupBy("label").agg(F.min("low").alias("component_id"))
     joined = materialise(reached.join(materialise(lowest, "near-lowest"), "label").select("node", "component_id"), "near-components")
     alone = materialise(nodes.select("node", "low"), "near-lows")
-    result = sketched.select("id", "n", "node").join(alone, "node", "left").join(joined, "node", "left")
+    result = sketched.drop("sketch").join(alone, "node", "left").join(joined, "node", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "low", "id"))
-    return result.select(
-        F.col("id").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id"),
-        F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return result.select("id", "k1", "k2", "n", component.alias("component_id"),
+                         F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
 def _shared_keys(nodes: DataFrame, filter_bits: int) -> DataFrame:

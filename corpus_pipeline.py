@@ -1,4 +1,8 @@
-"""A corpus pipeline over ``documents``: each stage works on all its predecessor kept."""
+"""A corpus pipeline over ``documents``: each stage works on all its predecessor kept.
+
+The stages take ``(spark, docs, sf_dir)`` and return the columns of ``documents``, the
+last one the encoded corpus.
+"""
 
 from __future__ import annotations
 
@@ -6,18 +10,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bomweave.functions.storage import materialise
-from bomweave.llm import bpe
-from bomweave.llm.queries import tokenizer_path
+from bomweave.llm import bpe, lines, mixing, near, toxicity
+from bomweave.llm.queries import MIX_ENTROPY, MIX_LIMIT, tokenizer_path
+
+TOXIC = 0.5
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a score of 0.5 or more go. The classifier learns from all labels."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model).filter(F.col("toxicity") < TOXIC).select(docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines stay in the first document that has them. A document without any line left
+    stays as an empty one."""
+    done = lines.line_dedup(docs)
+    return done.withColumns({"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: five words, similarity 0.8."""
+    return near.drop_near_duplicates(docs, words=5, percent=80)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; those of small sources come up to twice (as equal rows)."""
+    return mixing.mix(docs, entropy=MIX_ENTROPY, limit=MIX_LIMIT).select(docs.columns)
 
 
-def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """BPE ids of every text that is left."""
-    encoded = bpe.encode(docs.select("doc_id", "text"), tokenizer_path("word_bpe_49k.json"))
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    encoded = bpe.encode(docs.select("doc_id", "source", "text"), tokenizer_path("word_bpe_49k.json"))
+    return encoded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [
-    ("encoding", encoding),
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("near-duplicates", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("encoding", encode),
 ]
 
 # the classifier, the sketches and the encoder are not expressible in SQL
@@ -28,5 +61,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other; each result is written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return STAGES[-1][1](spark, docs, sf_dir)

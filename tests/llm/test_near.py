@@ -72,6 +72,29 @@ def test_equals_all_pairs(spark, words, percent):
     assert rows_of(got) == plain(rows, words, percent)
 
 
+def test_drop(spark):
+    rows = corpus(2, n=60, group=10)
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, kept string")
+    got = near.drop_near_duplicates(docs.repartition(3), words=2)
+    keep = [(d, t) for (d, t), k in zip(rows, _kept(rows)) if k]
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted(keep, key=repr)
+
+
+def _kept(rows):
+    marked = plain([(d, t) for d, t in rows], 2, 80)
+    by = {}
+    for doc, _, component, kept in marked:
+        by.setdefault(doc, []).append(kept)
+    return [all(by[d]) if len(set(by[d])) == 1 else _own(rows, d, t) for d, t in rows]
+
+
+def _own(rows, doc, text):
+    """Whether this text's component has ``doc`` as its least id (ids with two texts)."""
+    others = [(d, t) for d, t in rows if (d, t) == (doc, text) or d != doc]
+    return next(k for d, _, _, k in plain(others, 2, 80) if d == doc)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert near.near_duplicates(docs).collect() == []
