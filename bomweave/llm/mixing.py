@@ -82,15 +82,13 @@ def plan(sized: DataFrame, entropy: float, limit: float, budget: int | None, see
     every = totals.agg(F.sort_array(F.collect_list("_total")).alias("_t"), F.sum("_total").alias("_all"))
     shares = F.transform("_t", lambda t: t / F.col("_all"))
     ratio = None if budget is None else F.lit(float(budget)) / F.col("_all")
-    every = every.select(F.col("_all"), F.array_max("_t").alias("_most"), shares.alias("_p")).withColumn(
+    every = every.select("_all", F.array_max("_t").alias("_most"), shares.alias("_p")).withColumn(
         "_a", exponent(F.col("_p"), entropy, limit, ratio)).withColumn(
         "_z", _total(F.col("_p"), lambda p: F.pow(p, F.col("_a"))))
-    weight = F.pow(F.col("_total") / F.col("_all"), F.col("_a")) / F.col("_z")
-    passes = F.pow(F.col("_most") / F.col("_total"), 1 - F.col("_a")) if budget is None else (
-        F.lit(float(budget)) * weight / F.col("_total"))
-    sources = totals.withColumn("_one", F.lit(1)).join(
-        F.broadcast(every.drop("_p").withColumn("_one", F.lit(1))), "_one").select(  # one row
-        "_source", "_total", weight.alias("_weight"), passes.alias("_passes"), F.col("_a").alias("_exponent"))
+    whole_sum, most, a, z = (F.lit(v) for v in every.select("_all", "_most", "_a", "_z").first())
+    weight = F.pow(F.col("_total") / whole_sum, a) / z
+    passes = F.pow(most / F.col("_total"), 1 - a) if budget is None else F.lit(float(budget)) * weight / F.col("_total")
+    sources = totals.select("_source", "_total", weight.alias("_weight"), passes.alias("_passes"), a.alias("_exponent"))
     whole = F.floor("_passes").cast("long")
     sources = sources.withColumn("_whole", whole).withColumn(
         "_rest", F.floor((F.col("_passes") - F.col("_whole")) * F.col("_total")).cast("long"))
