@@ -21,23 +21,14 @@ WS_CLASS = r"\t\n\x0B\f\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3
 RE_SPACE = r"[\t\n\f\r ]"
 RE_NON_SPACE = r"[^\t\n\f\r ]"
 
-LONG_LINE_BYTES = 65_536
-
 
 def trim(value: Column) -> Column:
     return F.btrim(value, F.lit(WHITE_SPACE))
 
 
-def lines_of(content: Column, stop_at_long_line: bool = False) -> Column:
-    """Array of lines. With ``stop_at_long_line`` everything from the first line
-    of 64 KiB or more is ignored, as buffered line scanners do."""
-    lines = F.split(content, "\n")
-    if not stop_at_long_line:
-        return lines
-    too_long = F.array_position(
-        F.transform(lines, lambda x: F.octet_length(x) >= LONG_LINE_BYTES), True
-    )
-    return F.when(too_long > 0, F.slice(lines, F.lit(1), (too_long - 1).cast("int"))).otherwise(lines)
+def lines_of(content: Column) -> Column:
+    """Array of lines."""
+    return F.split(content, "\n")
 
 
 def is_significant(line: Column) -> Column:
@@ -70,8 +61,11 @@ def mentions_any(value: Column, keys, ignore_case: bool = False) -> Column:
 
 def names_after(keys, lead: str) -> str:
     """Regex for any key (ignoring case) right after ``lead``. A lead that fails
-    fast, such as a line start or a quote, keeps the prefilter cheap."""
-    return f"(?im){lead}(?:" + "|".join(re.escape(k) for k in minimal_keys(keys)) + ")"
+    fast, such as a line start or a quote, keeps the prefilter cheap. As the match is
+    anchored, only a key that begins with another one adds nothing."""
+    keys = list(dict.fromkeys(k.lower() for k in keys))
+    shortest = [k for k in keys if not any(o != k and k.startswith(o) for o in keys)]
+    return f"(?im){lead}(?:" + "|".join(map(re.escape, shortest)) + ")"
 
 
 # White space that can stand in front of the first word of a line.

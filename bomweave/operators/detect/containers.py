@@ -13,14 +13,14 @@ BASE_IMAGE, WEIGHT_COPY, PIP_INSTALL = 0, 1, 2
 IMAGE_FIELD = rf"^[^{X.WS_CLASS}]+[{X.WS_CLASS}]+([^{X.WS_CLASS}]+)"
 
 
-def dockerfile(path: Column, content: Column, dims: D.Dictionaries, long_line_stop=False) -> Column:
+def dockerfile(path: Column, content: Column, dims: D.Dictionaries) -> Column:
     libraries = D.struct_array(
         [(n, r, d) for n, (r, d) in sorted(dims.libraries.items())], ("name", "risk", "desc")
     )
     extensions = D.string_array(dims.copied_weight_extensions)
 
     numbered = R.numbered_lines(
-        X.lines_of(content, long_line_stop), lambda line, n: F.struct(n.alias("n"), line.alias("line"))
+        X.lines_of(content), lambda line, n: F.struct(n.alias("n"), line.alias("line"))
     )
     instructions = F.transform(
         F.filter(numbered, lambda e: e["line"].rlike(rf"(?i)^[{X.WS_CLASS}]*+(?:from|copy|add|run) ")),

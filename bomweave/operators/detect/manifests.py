@@ -17,7 +17,7 @@ TOML_VERSION = rf'version{X.RE_SPACE}*={X.RE_SPACE}*"([^"]+)"'
 TOML_SECTIONS = ("[tool.poetry.dependencies]", "[project.dependencies]")
 
 
-def requirements(path: Column, content: Column, dims: D.Dictionaries, long_line_stop=False) -> Column:
+def requirements(path: Column, content: Column, dims: D.Dictionaries) -> Column:
     table = D.library_map(dims)
 
     def parse(line, line_no):
@@ -30,7 +30,7 @@ def requirements(path: Column, content: Column, dims: D.Dictionaries, long_line_
 
     # Blank and comment lines yield the empty name, which no dictionary holds.
     entries = F.filter(
-        R.numbered_lines(X.lines_of(content, long_line_stop), parse),
+        R.numbered_lines(X.lines_of(content), parse),
         lambda e: F.map_contains_key(table, e["name"]),
     )
     return R.when_mentioned(
@@ -87,12 +87,12 @@ def package_json(path: Column, content: Column, dims: D.Dictionaries) -> Column:
     return R.when_mentioned(content.rlike(X.names_after(dims.libraries, '"')), X.let(parts, found))
 
 
-def go_mod(path: Column, content: Column, dims: D.Dictionaries, long_line_stop=False) -> Column:
+def go_mod(path: Column, content: Column, dims: D.Dictionaries) -> Column:
     """The require-block state is not carried line by line: the (trimmed) text is
     cut in front of every line that changes the state, and the first line of each
     piece says whether its lines are inside a block."""
     table = D.library_map(dims)
-    trimmed = F.array_join(F.transform(X.lines_of(content, long_line_stop), X.trim), "\n")
+    trimmed = F.array_join(F.transform(X.lines_of(content), X.trim), "\n")
     pieces = F.split(trimmed, r"(?md)(?=^require \($|^\)$|^require [^(\n]*$)")
 
     def candidates(piece):

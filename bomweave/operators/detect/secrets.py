@@ -14,7 +14,7 @@ PLACEHOLDER = "your-key-here"
 SECRET_BYTES = 20
 
 
-def env_file(path: Column, content: Column, dims: D.Dictionaries, long_line_stop=False) -> Column:
+def env_file(path: Column, content: Column, dims: D.Dictionaries) -> Column:
     names = D.string_map(dims.secret_key_names)
     prefixes = D.struct_array(
         [(p, dims.secret_prefixes[p]) for p in D.first_match_order(dims.secret_prefixes)],
@@ -32,7 +32,7 @@ def env_file(path: Column, content: Column, dims: D.Dictionaries, long_line_stop
         )
 
     assignments = F.filter(
-        R.numbered_lines(X.lines_of(content, long_line_stop),
+        R.numbered_lines(X.lines_of(content),
                          lambda line, n: F.struct(n.alias("n"), line.alias("line"))),
         lambda e: e["line"].contains("="),
     )

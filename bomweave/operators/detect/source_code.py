@@ -36,13 +36,13 @@ def is_secret(value: Column) -> Column:
     return value.startswith(SECRET_PREFIX) & (F.octet_length(value) > SECRET_BYTES)
 
 
-def python_imports(path: Column, content: Column, dims: D.Dictionaries, long_line_stop=False) -> Column:
+def python_imports(path: Column, content: Column, dims: D.Dictionaries) -> Column:
     """First import of each library in the file: the position of its name in the
     per-line array of imported modules, so no grouping is needed."""
     libraries = D.struct_array(
         [(n, r, d) for n, (r, d) in sorted(dims.libraries.items())], ("name", "risk", "desc")
     )
-    modules = F.transform(X.lines_of(content, long_line_stop), lambda line: F.lower(F.concat(
+    modules = F.transform(X.lines_of(content), lambda line: F.lower(F.concat(
         F.regexp_extract(line, IMPORT, 1), F.regexp_extract(line, IMPORT, 2)
     )))
     first_use = X.let(modules, lambda per_line: F.filter(
@@ -61,12 +61,12 @@ def python_imports(path: Column, content: Column, dims: D.Dictionaries, long_lin
     )
 
 
-def python_literals(path: Column, content: Column, dims: D.Dictionaries, long_line_stop=False) -> Column:
+def python_literals(path: Column, content: Column, dims: D.Dictionaries) -> Column:
     """Quoted literals that hold a model identifier or look like a key. One
     literal can give both findings."""
     suspicious = X.contains_any(content, dims.models + [SECRET_PREFIX])
     lines = F.filter(
-        R.numbered_lines(X.lines_of(content, long_line_stop),
+        R.numbered_lines(X.lines_of(content),
                          lambda line, n: F.struct(n.alias("n"), line.alias("line"))),
         lambda e: e["line"].rlike("[\"']") & X.contains_any(e["line"], dims.models + [SECRET_PREFIX]),
     )
@@ -108,7 +108,7 @@ def go_literals(path: Column, content: Column, dims: D.Dictionaries) -> Column:
             lambda x: x,
         )
         code = F.array_join(F.filter(tokens, lambda t: ~(t.startswith("//") | t.startswith("/*"))), " ")
-        return ~broken & code.rlike(r"^\s*package\s+[\p{L}_][\p{L}\p{N}_]*")
+        return ~broken & code.rlike(r"^\x{FEFF}?\s*package\s+[\p{L}_][\p{L}\p{N}_]*")
 
     def of_literal(token, line, column):
         value = F.btrim(token, F.lit('"'))

@@ -66,22 +66,22 @@ def file_kinds(files: DataFrame, dims: D.Dictionaries = D.DEFAULT) -> DataFrame:
     return visible_files(files).select(*KEYS, "path", F.explode(kinds).alias("kind"))
 
 
-def _build(kind: str, dims: D.Dictionaries, stop: bool) -> Column:
+def _build(kind: str, dims: D.Dictionaries) -> Column:
     path, content = F.col("path"), F.col("content")
     return {
-        "requirements": lambda: manifests.requirements(path, content, dims, stop),
+        "requirements": lambda: manifests.requirements(path, content, dims),
         "package_json": lambda: manifests.package_json(path, content, dims),
-        "go_mod": lambda: manifests.go_mod(path, content, dims, stop),
+        "go_mod": lambda: manifests.go_mod(path, content, dims),
         "pyproject": lambda: manifests.pyproject(path, content, dims),
-        "dockerfile": lambda: containers.dockerfile(path, content, dims, stop),
+        "dockerfile": lambda: containers.dockerfile(path, content, dims),
         "go_source": lambda: source_code.go_literals(path, content, dims),
         "py_source": lambda: F.concat(
-            source_code.python_imports(path, content, dims, stop),
-            source_code.python_literals(path, content, dims, stop),
+            source_code.python_imports(path, content, dims),
+            source_code.python_literals(path, content, dims),
         ),
-        "env_file": lambda: secrets.env_file(path, content, dims, stop),
+        "env_file": lambda: secrets.env_file(path, content, dims),
         "weights": lambda: artifacts.weight_file(path, dims),
-        "kubernetes": lambda: artifacts.kubernetes_gpu(path, content, stop),
+        "kubernetes": lambda: artifacts.kubernetes_gpu(path, content),
         "helm": lambda: artifacts.helm_values(path, content, dims),
         "terraform": lambda: artifacts.terraform_gpu(path, content, dims),
     }[kind]()
@@ -90,17 +90,17 @@ def _build(kind: str, dims: D.Dictionaries, stop: bool) -> Column:
 _columns: dict = {}
 
 
-def detector_column(kind: str, dims: D.Dictionaries = D.DEFAULT, stop_at_long_line: bool = False) -> Column:
+def detector_column(kind: str, dims: D.Dictionaries = D.DEFAULT) -> Column:
     """The ``array<finding>`` expression of a file kind over ``path, content``.
 
     Expressions of the default dictionaries are kept: building one takes hundreds
     of JVM calls, and it refers to columns by name only.
     """
     if dims is not D.DEFAULT:
-        return _build(kind, dims, stop_at_long_line)
-    key = (id(SparkContext._jvm), kind, stop_at_long_line)
+        return _build(kind, dims)
+    key = (SparkContext._active_spark_context.applicationId, kind)
     if key not in _columns:
-        _columns[key] = _build(kind, dims, stop_at_long_line)
+        _columns[key] = _build(kind, dims)
     return _columns[key]
 
 
@@ -108,7 +108,6 @@ def findings(
     files: DataFrame,
     dims: D.Dictionaries = D.DEFAULT,
     kinds: list[str] | None = None,
-    stop_at_long_line: bool = False,
 ) -> DataFrame:
     """All findings of the corpus, dependencies and cost findings alike.
 
@@ -121,7 +120,7 @@ def findings(
     found = []
     for kind in wanted:
         applicable = applicable | tests[kind]
-        column = detector_column(kind, dims, stop_at_long_line)
+        column = detector_column(kind, dims)
         found.append(F.when(tests[kind], column).otherwise(R.no_findings()))
     all_found = found[0] if len(found) == 1 else F.concat(*found)
     return (

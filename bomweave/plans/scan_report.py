@@ -53,13 +53,12 @@ def scan_report(
     policies: DataFrame | None = None,
     dims: D.Dictionaries = D.DEFAULT,
     branding: Branding = Branding(),
-    stop_at_long_line: bool = False,
     write_findings: bool = True,
 ) -> ScanReport:
     """Scan, enrich and evaluate. The findings are written once, because both the
     dependency and the cost branch read them; the files are read once for them,
     once for the path-only file count and once for the root policy files."""
-    found = scan.findings(files, dims, stop_at_long_line=stop_at_long_line)
+    found = scan.findings(files, dims)
     if write_findings:
         found = materialise(found, "findings")
     deps = enrich.enriched(scan.dependencies(found), registry, dims)

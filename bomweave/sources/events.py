@@ -7,21 +7,19 @@ from pyspark.sql import functions as F
 
 from ..schemas import WEBHOOK_EVENT
 
-MAX_BODY_BYTES = 65_536
-
 
 def parsed_events(payloads: DataFrame, column: str = "value") -> DataFrame:
-    """``billing_events`` from JSON payloads, one per row. Bodies over the size
-    limit, or without an id, are not events."""
+    """``billing_events`` from JSON payloads, one per row, of any size. Bodies without
+    an id are not events. A customer may be an id or, expanded, an object with one."""
     event = F.from_json(F.col(column), WEBHOOK_EVENT)
+    customer = F.col("e.data.object.customer")
     return (
-        payloads.filter(F.octet_length(F.col(column)) <= MAX_BODY_BYTES)
-        .select(event.alias("e"))
+        payloads.select(event.alias("e"))
         .filter(F.col("e.id").isNotNull())
         .select(
             F.col("e.id").alias("event_id"), F.col("e.type").alias("event_type"),
             F.element_at("e.data.object.metadata", "user_id").alias("user_id"),
-            F.col("e.data.object.customer").alias("customer_id"),
+            F.when(customer.startswith("{"), F.get_json_object(customer, "$.id")).otherwise(customer).alias("customer_id"),
             F.col("e.data.object.attempt_count").alias("attempt_count"),
             F.timestamp_seconds("e.created").alias("received_at"),
         )

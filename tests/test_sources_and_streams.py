@@ -19,7 +19,7 @@ from test_ledger_and_accounts import ATTEMPT, EVENT, START, fold, made_attempts,
 
 def test_ingest_of_a_tree(spark, tmp_path):
     tree = {
-        ".env": "OPENAI_API_KEY=sk-1234567890abcdefghijklmnop\n", "_b.py": "import torch\n", ".git/requirements.txt": "torch",
+        ".env": "OPENAI_API_KEY=sk-" + "m4" * 13 + "\n", "_b.py": "import torch\n", ".git/requirements.txt": "torch",
         "src/deep/er/app.py": "m = 'gpt-4'\n", "src/.hidden/a.py": "import jax\n", "w/model.PT": "weights", "README.md": "x",
         ".aibom.yml": "blocked_models:\n- gpt-4\n", "bin.py": "import keras\n",
     }
