@@ -7,10 +7,10 @@ between similar sets.
 
 *Candidates.* Bands of register values are keys. Two Bloom filters drop keys seen once;
 what remains is grouped by key. Equal sets are one node from the start. Instead of all
-pairs under a key, each round picks a few hubs per key and tests them against the
-other nodes of the key that are not yet in the hub's component. A hub is then done
-with that key. A key is settled when the nodes left under it are in one component, so
-no link that could join components stays untested.
+pairs under a key, only its least node is tested against the others. Keys whose nodes
+are then still in different components are settled exactly: their nodes are compared
+block by block inside tasks, which return one link per pair of components. No link
+that could join components stays untested, and no table of pairs arises.
 
 *Test.* The likelihood of the register comparisons gives an estimate of the
 similarity; pairs that are far below the threshold go. The rest is confirmed on the
@@ -38,9 +38,9 @@ REGISTERS = BAND_ROWS * BANDS
 BASE = 1.001  # ratio of neighbouring register values
 RATE = 20.0  # of the exponential distribution
 LARGEST = (1 << 16) - 1
-ESTIMATE_SLACK = 0.15  # over five standard deviations of the estimate
+ESTIMATE_SLACK = 0.12  # over four and a half standard deviations of the estimate
 MOST_BROADCAST_ROWS = 1_000_000
-HUBS_GROWTH = 4
+PROBE_BLOCK, TARGET_BLOCK = 128, 1_024
 AT_ONCE = 1 << 11
 
 _seeds: list[np.ndarray] = []
@@ -268,32 +268,74 @@ def _texts(rows: DataFrame, involved: DataFrame, words: int) -> DataFrame:
     return materialise(rows.join(wanted, "id").select("node", "text").mapInArrow(own, "node binary, text string"), "near-texts")
 
 
+def _labelled_keys(shared: DataFrame, label: DataFrame | None) -> DataFrame:
+    """(key, node, label, lowest) of keys whose nodes are in different components."""
+    rows = shared.withColumn("label", F.col("node")) if label is None else shared.join(label, "node", "left").select(
+        "key", "node", F.coalesce("_label", "node").alias("label"))
+    rows = materialise(rows, "near-labelled") if label is not None else rows
+    keys = rows.groupBy("key").agg(F.min("label").alias("lowest"), F.max("label").alias("highest")).filter(
+        "lowest <> highest").select("key", "lowest")
+    return materialise(rows.join(materialise(keys, "near-open"), "key"), "near-left")
+
+
 def _links(shared: DataFrame, involved: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Confirmed links (a, b) that join the same components as all links would."""
-    known, label, hubs = None, None, 1
-    left = shared.withColumn("label", F.col("node"))
-    while True:
-        keys = left.groupBy("key").agg(F.min("label").alias("lowest"), F.max("label").alias("highest")).filter(
-            "lowest <> highest").select("key", "lowest")
-        left = materialise(left.join(materialise(keys, "near-open"), "key"), "near-left")
-        if left.isEmpty():
-            break
-        # first the least node, later nodes outside of the component that is likely the largest
-        slot = F.pmod(F.xxhash64("node"), F.lit(hubs))
-        chosen = left if label is None else left.filter("label <> lowest")
-        pick = F.min if label is None else F.max
-        hub = materialise(chosen.groupBy("key", slot.alias("slot")).agg(pick(F.struct("label", "node")).alias("hub")).select(
-            "key", F.col("hub.node").alias("hub"), F.col("hub.label").alias("hub_label")), "near-hubs")
-        pairs = left.join(hub, "key").filter("label <> hub_label").select(
-            F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        found = _confirmed(materialise(pairs, "near-pairs"), involved, texts, words, percent)
-        known = found if known is None else materialise(known.unionByName(found).distinct(), "near-links")
-        label = components(known, "a", "b").select(F.col("id").alias("node"), F.col("component_id").alias("_label"))
-        done = hub.select("key", F.col("hub").alias("node"))
-        left = left.select("key", "node").join(done, ["key", "node"], "left_anti").join(
-            materialise(label, "near-labels"), "node", "left").select("key", "node", F.coalesce("_label", "node").alias("label"))
-        hubs *= HUBS_GROWTH
-    return shared.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0) if known is None else known
+    open_keys = _labelled_keys(shared, None)
+    hub = materialise(open_keys.groupBy("key").agg(F.min("node").alias("hub")), "near-hubs")
+    pairs = open_keys.join(hub, "key").filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    found = _confirmed(materialise(pairs, "near-pairs"), involved, texts, words, percent)
+    label = materialise(components(found, "a", "b").select(
+        F.col("id").alias("node"), F.col("component_id").alias("_label")), "near-labels")
+    return found.unionByName(_between(_labelled_keys(shared, label), involved, texts, words, percent))
+
+
+def _between(left: DataFrame, involved: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between components that share a key, at least one per pair of components
+    that has any. The nodes of all keys with the same lowest label form a group; nodes
+    of other labels are probes in it. Groups are cut into blocks of probes and targets."""
+    group = materialise(left.select(F.col("lowest").alias("owner"), "node", "label").distinct(), "near-groups")
+    probe = F.col("label") != F.col("owner")
+    sizes = materialise(group.groupBy("owner").agg(
+        F.ceil(F.sum(probe.cast("int")) / PROBE_BLOCK).cast("int").alias("probes"),
+        F.ceil(F.count("node") / TARGET_BLOCK).cast("int").alias("targets")), "near-group-sizes")
+    if sizes.count() <= MOST_BROADCAST_ROWS:
+        sizes = F.broadcast(sizes)
+
+    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+        placed = rows.join(sizes, "owner").withColumn(f"_{own}", F.pmod(F.xxhash64("node"), F.col(own)).cast("int")).withColumn(
+            f"_{other}", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        full = placed.join(involved.select("node", "n", "sketch"), "node").join(texts, "node")
+        return full.select(*[F.col(c).alias(c) for c in ("owner", "_probes", "_targets", "node", "label", "n", "sketch", "text")])
+
+    def test(probes: pa.Table, targets: pa.Table) -> pa.Table:
+        links: dict[tuple, tuple] = {}
+        if probes.num_rows and targets.num_rows:
+            sides = [(t.column("node").to_pylist(), t.column("label").to_pylist(), t.column("n").to_numpy().astype(float),
+                      _sketches(t.column("sketch"))) for t in (probes, targets)]
+            sets = [shingle_sets([x.encode() for x in t.column("text").to_pylist()], words) for t in (probes, targets)]
+            (node, label, size, sketch), (nodes, labels, sizes_, sketches) = sides
+            labels = np.array(labels, object)
+            for i in range(len(node)):
+                at = np.flatnonzero((labels != label[i]) & (100 * np.minimum(size[i], sizes_) >= percent * np.maximum(size[i], sizes_)))
+                equal = (sketches[at] == sketch[i]).mean(1) if len(at) else np.zeros(0)
+                at = at[equal >= percent / 100 - ESTIMATE_SLACK - 0.05]
+                guess = estimate(np.broadcast_to(sketch[i], (len(at), REGISTERS)), sketches[at], np.full(len(at), size[i]), sizes_[at])
+                for j in at[guess >= percent / 100 - ESTIMATE_SLACK]:
+                    pair = (label[i], labels[j])
+                    if pair not in links and _linked(sets[0][i], sets[1][j], percent):
+                        links[pair] = (node[i], nodes[j])
+        rows = list(links.values())
+        return pa.table({"a": pa.array([min(r) for r in rows], pa.binary()), "b": pa.array([max(r) for r in rows], pa.binary())})
+
+    keys = ["owner", "_probes", "_targets"]
+    found = dealt(group.filter(probe), "probes", "targets").groupBy(*keys).cogroup(
+        dealt(group, "targets", "probes").groupBy(*keys)).applyInArrow(test, "a binary, b binary")
+    return materialise(found, "near-between")
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def _confirmed(pairs: DataFrame, involved: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -318,10 +360,7 @@ def _confirmed(pairs: DataFrame, involved: DataFrame, texts: DataFrame, words: i
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 first, second = (shingle_sets([t.encode() for t in part.column(c).to_pylist()], words) for c in (2, 3))
-                good = []
-                for x, y in zip(first, second):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    good.append(100 * both >= percent * (len(x) + len(y) - both))
+                good = [_linked(x, y, percent) for x, y in zip(first, second)]
                 yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     joined = close.join(texts.select(F.col("node").alias("a"), F.col("text").alias("t_a")), "a").join(
