@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import materialise
 from .common import broadcast, by_slices
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -91,29 +92,28 @@ class Swaps:
         return (words - terms) | {self.other(t, step) for t in terms} if terms else None
 
 
-def _candidates(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+def _candidates(found: DataFrame, n1: float, n0: float, always: list[int]) -> list[int]:
     """Hashes of the features whose document frequency differs most between the labels,
-    and by more than chance alone would make it with so many features."""
-    names, at = np.unique(np.concatenate(rows), return_inverse=True)
-    toxic = np.repeat(labels, [len(r) for r in rows])
-    n1, n0 = labels.sum(), len(labels) - labels.sum()
-    d1 = np.bincount(at, weights=toxic, minlength=len(names))
-    both = np.bincount(at, minlength=len(names))
-    share = both / (n1 + n0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        z = np.nan_to_num((d1 / n1 - (both - d1) / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0)))
-    z[both < LEAST_DOCUMENTS] = 0
-    best = np.lexsort((names, -np.abs(z)))[:MAX_FEATURES]
-    least = float(np.sqrt(2 * np.log(max(2, len(names)))))
-    return np.sort(names[best[np.abs(z[best]) >= least]])
-
-
-def _incidence(rows: list[np.ndarray], features: np.ndarray) -> np.ndarray:
+    and by more than chance alone would make it with so many features; and those of
+    ``always`` that occur. ``found`` has (_label, words)."""
+    counts = materialise(found.select("_label", F.explode("words").alias("h")).groupBy("h").agg(
+        F.count("h").alias("both"), F.sum("_label").alias("d1")), "toxicity-counts")
+    least = float(np.sqrt(2 * np.log(max(2, counts.count()))))
+    share = F.col("both") / (n1 + n0)
+    spread = F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
+    z = F.abs(F.col("d1") / n1 - (F.col("both") - F.col("d1")) / n0) / spread
+    best = counts.filter((F.col("both") >= LEAST_DOCUMENTS) & (F.col("both") < n1 + n0)).withColumn("z", z).filter(
+        F.col("z") >= least).orderBy(F.desc("z"), "h").limit(MAX_FEATURES)
+    present = counts.filter(F.col("h").isin(always))
+    return sorted({r["h"] for r in best.select("h").collect()} | {r["h"] for r in present.select("h").collect()})
+
+
+def _incidence(rows: list[list[int]], features: np.ndarray) -> np.ndarray:
     """0/1 matrix with a leading column of ones."""
     x = np.zeros((len(rows), len(features) + 1), np.float64)
     x[:, 0] = 1
     for i, row in enumerate(rows):
-        x[i, 1 + np.flatnonzero(np.isin(features, row, assume_unique=True))] = 1
+        x[i, 1 + np.searchsorted(features, np.array(row, np.int64))] = 1
     return x
 
 
@@ -179,23 +179,23 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id: str
     # bounded by max_rows, so the texts stay where they are
     sample = docs.join(F.broadcast(usable), F.col(id) == F.col("_id")).select(
         "_label", featurised(F.xxhash64("_id"), F.col(text)).alias("f"))
-    table = sample.select("_label", "f.words", "f.swapped").toArrow()
-    y = table.column("_label").to_numpy().astype(np.float64)
-    rate = (y.sum() + 0.5) / (len(y) + 1)
-    if len(y) == 0 or y.min() == y.max():
+    found = materialise(sample.select("_label", "f.words", "f.swapped"), "toxicity-sample")
+    n, positive = found.agg(F.count("_label"), F.coalesce(F.sum("_label"), F.lit(0.0))).first()
+    if positive in (0, n):
+        rate = (positive + 0.5) / (n + 1)
         return ToxicityModel(float(np.log(rate / (1 - rate))), {})
-    rows = [np.asarray(v.values.to_numpy(zero_copy_only=False)).view(np.uint64) for v in table.column("words")]
-    swapped = [None if not v.is_valid else v.values.to_numpy(zero_copy_only=False).view(np.uint64)
-               for v in table.column("swapped")]
-    candidates = _candidates(rows, y)
-    terms = np.array([word_hash(t) for t in swaps.group], np.uint64)
-    present = np.unique(np.concatenate([r[np.isin(r, terms)] for r in rows]))
-    features = np.unique(np.concatenate([candidates, present]))
+    terms = [int(np.uint64(word_hash(t)).astype(np.int64)) for t in swaps.group]
+    features = _candidates(found, positive, n - positive, terms)
+    chosen = F.array(*[F.lit(h) for h in features]).cast("array<bigint>")
+    table = found.select("_label", *[F.array_intersect(c, chosen).alias(c) for c in ("words", "swapped")]).toArrow()
+    y = table.column("_label").to_numpy()
+    rows, swapped = (table.column(c).to_pylist() for c in ("words", "swapped"))
+    features = np.array(features, np.int64)
     pairs = [(r, s) for r, s in zip(rows, swapped) if s is not None]
     change = _incidence([r for r, _ in pairs], features) - _incidence([s for _, s in pairs], features)
-    start = [0, *(1 + np.flatnonzero(np.isin(features, present)))]
+    start = [0, *(1 + np.flatnonzero(np.isin(features, terms)))]
     use, w = _fit(_incidence(rows, features), y, change, strength, start)
-    return ToxicityModel(float(w[0]), {int(features[k - 1]): float(v) for k, v in zip(use[1:], w[1:])})
+    return ToxicityModel(float(w[0]), {int(features[k - 1].view(np.uint64)): float(v) for k, v in zip(use[1:], w[1:])})
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
