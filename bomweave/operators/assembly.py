@@ -2,8 +2,9 @@
 
 A document is first a table of ordered *parts* (text fragments). A part is made
 by a narrow expression or a small join; only the last step groups parts, and it
-groups them by page. Documents up to ``PAGE_ROWS`` parts are one row; larger ones
-come as several rows whose texts, in ``page`` order, are the document.
+groups them by page. A page starts where the text before it passes another
+``PAGE_BYTES``; the texts of a document's pages, in ``page`` order, are the document.
+Parts are never cut.
 """
 
 from __future__ import annotations
@@ -14,10 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ids import proof_hash
-from ..functions.storage import materialise
 from .scan import KEYS
-from .skew import PAGE_ROWS, paged
+from .skew import PAGE_BYTES, paged
 
 PART_ORDER = ["section", "grp", "rank", "path_key", "detector", "line_no", "seq", "item"]
 
@@ -47,12 +46,11 @@ def union_parts(*parts: DataFrame) -> DataFrame:
     return out
 
 
-def assembled(parts: DataFrame, max_rows: int = PAGE_ROWS, name: str = "text") -> DataFrame:
-    """``project, commit_sha, page, is_paged, <name>``."""
-    table = materialise(parts, "parts")
-    rows = paged(table, KEYS, PART_ORDER, max_rows)
+def assembled(parts: DataFrame, page_bytes: int = PAGE_BYTES, name: str = "text") -> DataFrame:
+    """``project, commit_sha, page, <name>``."""
+    rows = paged(parts, KEYS, PART_ORDER, F.octet_length("text"), page_bytes)
     ordered = F.array_sort(F.collect_list(F.struct(*PART_ORDER, "text")))
-    return rows.groupBy(*KEYS, "page", "is_paged").agg(
+    return rows.groupBy(*KEYS, "page").agg(
         F.array_join(F.transform(ordered, lambda p: p["text"]), "").alias(name)
     )
 
@@ -60,14 +58,10 @@ def assembled(parts: DataFrame, max_rows: int = PAGE_ROWS, name: str = "text") -
 def document_hashes(documents: DataFrame, text: str = "bom_json") -> DataFrame:
     """``project, commit_sha, crypto_hash`` of assembled documents.
 
-    One-row documents hash in place. A paged document is hashed page by page in
-    page order: SHA-256 is sequential, so one task reads its pages as a stream
-    and keeps the running digest only.
+    SHA-256 is sequential: pages come in page order as a stream, and a task keeps the
+    running digest only. One document is therefore one task's reading, however large.
     """
     commit = F.coalesce(F.nullif("commit_sha", F.lit("")), F.lit("local-dev-uncommitted"))
-    whole = documents.filter(~F.col("is_paged")).select(
-        *KEYS, proof_hash(commit, F.col(text)).alias("crypto_hash")
-    )
 
     def digests(batches):
         current, digest = None, None
@@ -83,10 +77,9 @@ def document_hashes(documents: DataFrame, text: str = "bom_json") -> DataFrame:
         if current is not None:
             yield pd.DataFrame([(*current, digest.hexdigest())], columns=[*KEYS, "crypto_hash"])
 
-    streamed = (
-        documents.filter("is_paged").withColumn("_commit", commit)
+    return (
+        documents.withColumn("_commit", commit)
         .select(*KEYS, "page", "_commit", text)
         .repartition(*KEYS).sortWithinPartitions(*KEYS, "page")
         .mapInPandas(digests, "project string, commit_sha string, crypto_hash string")
     )
-    return whole.unionByName(streamed)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,9 +13,9 @@ from .skew import running, salted_join
 FREE_TIER = "free"
 QUOTA = 10
 WINDOW_DAYS = 30
-# Users with more attempts than this are replayed window by window instead of
-# in one group; the result is the same.
-HOT_USER_ROWS = 200_000
+# Identity and order of an attempt inside the replay: ids may repeat.
+ATTEMPT = ["_user", "_row", "attempt_id", "created_at"]
+IN_ORDER = ["created_at", "attempt_id", "_row"]
 
 
 def usage_as_of(ledger: DataFrame, as_of, days: int = WINDOW_DAYS, user="user_id", time="created_at") -> DataFrame:
@@ -54,149 +52,100 @@ def rolling_usage(ledger: DataFrame, days: int = WINDOW_DAYS, user="user_id", ti
     )
 
 
-def admit(attempts: DataFrame, days: int = WINDOW_DAYS, quota: int = QUOTA,
-          hot_rows: int = HOT_USER_ROWS) -> DataFrame:
+def admit(attempts: DataFrame, days: int = WINDOW_DAYS, quota: int = QUOTA) -> DataFrame:
     """``accepted`` per attempt, in order of (created_at, attempt_id).
 
     An attempt is accepted when its tier is not the free one or when fewer than
     ``quota`` accepted attempts of the user lie in the last ``days``. Refused
-    attempts do not count; accepted ones of any tier do.
-
-    Ordinary users are replayed one group each. The groups are bounded by
-    ``hot_rows``; users beyond it take ``_admit_by_window``.
+    attempts do not count; accepted ones of any tier do. A missing tier is the free
+    one, a missing user is a user of its own, ids may repeat, and a free attempt
+    without a time is refused.
+
+    The replay goes one quota window at a time, for all users at once. What is
+    accepted in one window of ``days`` cannot expire before the next one begins.
+    Inside a window the free tier therefore sees a capacity that is known up front:
+    the quota, less the rolling count of attempts of other tiers (always accepted,
+    see ``_capacity``), less the occupants of the previous window that have not
+    expired yet. An accepted attempt is then always among the first ``quota``
+    attempts, after one of the at most ``quota + 1`` expiry times, whose capacity
+    reaches some level. A top-k per (user, expiry, level), which Spark limits
+    map-side, finds these candidates; only they are replayed, a bounded number per
+    user. There is a round per window that has attempts.
     """
-    table = materialise(attempts, "attempts")
-    sizes = (
-        table.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > hot_rows).select("user_id", F.lit(True).alias("_hot"))
-    )
-    sized = salted_join(table, sizes, ["user_id"], ["attempt_id"])
-    ordinary = sized.filter(F.col("_hot").isNull()).drop("_hot")
-    hot = sized.filter("_hot").drop("_hot")
-    schema = T.StructType(list(table.schema.fields) + [T.StructField("accepted", T.BooleanType())])
-    replayed = ordinary.groupBy("user_id").applyInPandas(_replayer(days, quota), schema)
-    return replayed.unionByName(_admit_by_window(hot, days, quota))
-
-
-def _replayer(days: int, quota: int):
-    def replay(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["created_at", "attempt_id"], kind="stable")
-        window = days * 86_400_000_000
-        # Fewer than ``quota`` accepted in the window means: the quota-th newest
-        # accepted attempt has left it. So that one timestamp decides.
-        newest: deque = deque(maxlen=quota)
-        decisions = []
-        instants = group["created_at"].astype("datetime64[us]").astype("int64")
-        for paid, now in zip(group["tier"] != FREE_TIER, instants):
-            ok = bool(paid) or len(newest) < quota or newest[0] <= now - window
-            if ok:
-                newest.append(now)
-            decisions.append(ok)
-        return group.assign(accepted=decisions)
-
-    return replay
-
-
-def _admit_by_window(attempts: DataFrame, days: int, quota: int) -> DataFrame:
-    """Exact replay of users too large for one group, one quota window at a time.
-
-    What is accepted in one window of ``days`` cannot expire before the next one
-    begins. Inside a window the free tier therefore sees a capacity that is known
-    up front: the quota, less the rolling count of attempts of other tiers (always
-    accepted, see ``_capacity``), less the occupants of the previous window that
-    have not expired yet. An accepted attempt is then always among the first
-    ``quota`` attempts, after one of the at most ``quota + 1`` expiry times, whose
-    capacity reaches some level. A top-k per (user, expiry, level), which Spark
-    limits map-side, finds these candidates; only they are replayed. The rounds
-    follow the time span, not the data.
-    """
-    kind = attempts.schema["created_at"].dataType
-    bounds = attempts.agg(
-        F.min("created_at").cast("string").alias("lo"), F.max("created_at").cast("string").alias("hi")
-    ).first()
-    if bounds["lo"] is None:
-        return attempts.withColumn("accepted", F.lit(False))
-    free = materialise(_capacity(attempts, days, quota), "quota-capacity")
-    first, last = pd.Timestamp(bounds["lo"]), pd.Timestamp(bounds["hi"])
-
-    def instant(value):
-        return F.lit(str(value)).cast(kind)
-
-    rounds, start, held = [], first, None
-    while start <= last:
-        end = start + pd.Timedelta(days=days)
-        part = free.filter((F.col("created_at") >= instant(start)) & (F.col("created_at") < instant(end)))
-        won = materialise(_window_round(part, held, instant(start), days, quota), "quota-window")
-        rounds.append(won.select("user_id", "attempt_id"))
-        held = won.select(
-            "user_id", (F.col("created_at") + F.expr(f"INTERVAL {days} DAYS")).alias("opens")
-        )
-        start = end
-    chosen = rounds[0]
-    for more in rounds[1:]:
-        chosen = chosen.unionByName(more)
+    table = materialise(attempts.withColumns({
+        "_user": F.coalesce(F.concat(F.lit("="), F.col("user_id").cast("string")), F.lit("")),
+        "_row": F.monotonically_increasing_id(),
+        "_free": F.coalesce(F.col("tier"), F.lit(FREE_TIER)) == FREE_TIER,
+    }), "attempts")
+    free = materialise(_capacity(table, days, quota), "quota-capacity")
+    seconds = days * 86_400
+    number = F.floor(F.unix_timestamp("created_at") / seconds)
+    windows = [r["w"] for r in free.select(number.alias("w")).distinct().orderBy("w").collect()]
+    chosen, held, before = free.select("_row").limit(0), None, None
+    for window in windows:
+        part = free.filter(number == window)
+        won = materialise(_window_round(
+            part, held if before == window - 1 else None, F.timestamp_seconds(F.lit(window * seconds)), days, quota), "quota-window")
+        chosen = chosen.unionByName(won.select("_row"))
+        held = won.select("_user", (F.col("created_at") + F.expr(f"INTERVAL {days} DAYS")).alias("opens"))
+        before = window
     return (
-        attempts.join(chosen.withColumn("_won", F.lit(True)), ["user_id", "attempt_id"], "left")
-        .withColumn("accepted", (F.col("tier") != FREE_TIER) | F.coalesce("_won", F.lit(False)))
-        .drop("_won")
+        table.join(chosen.withColumn("_won", F.lit(True)), "_row", "left")
+        .withColumn("accepted", ~F.col("_free") | F.coalesce("_won", F.lit(False)))
+        .select(*attempts.columns, "accepted")
     )
 
 
 def _capacity(attempts: DataFrame, days: int, quota: int) -> DataFrame:
     """Free-tier attempts with ``cap``: quota less other-tier attempts in the window."""
-    columns = ["user_id", "attempt_id", "created_at"]
-    is_free = F.col("tier") == FREE_TIER
-    here = attempts.select(
-        *columns, is_free.alias("free"), F.lit(1).alias("turn"), F.when(is_free, 0).otherwise(1).alias("change"),
-    )
-    leaves = attempts.filter(~is_free).select(
-        "user_id", "attempt_id", (F.col("created_at") + F.expr(f"INTERVAL {days} DAYS")).alias("created_at"),
-        F.lit(False).alias("free"), F.lit(0).alias("turn"), F.lit(-1).alias("change"),
+    timed = attempts.filter(F.col("created_at").isNotNull())
+    here = timed.select(
+        *ATTEMPT, F.col("_free").alias("free"), F.lit(1).alias("turn"), F.when(F.col("_free"), 0).otherwise(1).alias("change"),
     )
+    leaves = timed.filter(~F.col("_free")).withColumn(
+        "created_at", F.col("created_at") + F.expr(f"INTERVAL {days} DAYS")).select(
+        *ATTEMPT, F.lit(False).alias("free"), F.lit(0).alias("turn"), F.lit(-1).alias("change"))
     counted = running(
-        here.unionByName(leaves), ["user_id"], "created_at", ["created_at", "turn", "attempt_id"],
+        here.unionByName(leaves), ["_user"], "created_at", ["created_at", "turn", "attempt_id", "_row"],
         {"used": (F.col("change"), "sum")},
     )
     return counted.filter("free").select(
-        *columns, F.greatest(F.lit(0), F.lit(quota) - F.col("used")).cast("int").alias("cap")
+        *ATTEMPT, F.greatest(F.lit(0), F.lit(quota) - F.col("used")).cast("int").alias("cap")
     ).filter(F.col("cap") > 0)
 
 
 def _window_round(part: DataFrame, held: DataFrame | None, start, days: int, quota: int) -> DataFrame:
-    """Accepted free-tier attempts of one window: ``user_id, attempt_id, created_at``."""
-    columns = ["user_id", "attempt_id", "created_at"]
-    users = part.select("user_id").distinct().withColumn("opens", start)
+    """Accepted free-tier attempts of one window."""
+    kind = part.schema["created_at"].dataType
+    users = part.select("_user").distinct().withColumn("opens", start.cast(kind))
     # At most quota + 1 openings per user: at once, and as occupants expire.
     openings = users if held is None else users.unionByName(held)
-    per_user = openings.groupBy("user_id").agg(F.sort_array(F.collect_set("opens")).alias("openings"))
+    per_user = openings.groupBy("_user").agg(F.sort_array(F.collect_set("opens")).alias("openings"))
     # Without other tiers the capacity is always the full quota: one level does.
-    mixed = part.groupBy("user_id").agg((F.min("cap") < quota).alias("mixed"))
-    rows = salted_join(part, per_user.join(mixed, "user_id"), ["user_id"], ["attempt_id"], how="inner")
+    mixed = part.groupBy("_user").agg((F.min("cap") < quota).alias("mixed"))
+    rows = salted_join(part, per_user.join(mixed, "_user"), ["_user"], ["_row"], how="inner")
     levels = F.when(F.col("mixed"), F.sequence(F.lit(1), F.col("cap"))).otherwise(F.array("cap"))
     rows = rows.withColumn("opens", F.explode("openings")).filter(F.col("created_at") >= F.col("opens"))
     rows = rows.withColumn("level", F.explode(levels))
-    first = Window.partitionBy("user_id", "opens", "level").orderBy("created_at", "attempt_id")
+    first = Window.partitionBy("_user", "opens", "level").orderBy(*IN_ORDER)
     candidates = (
         rows.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= quota)
-        .select(*columns, "cap").distinct()
-        .withColumn("opens", F.lit(None).cast(part.schema["created_at"].dataType))
+        .select(*ATTEMPT, "cap").distinct().withColumn("opens", F.lit(None).cast(kind))
     )
     if held is not None:
         candidates = candidates.unionByName(held.select(
-            "user_id", F.lit(None).cast("long").alias("attempt_id"),
-            F.lit(None).cast(part.schema["created_at"].dataType).alias("created_at"),
-            F.lit(None).cast("int").alias("cap"), "opens",
-        ))
+            "_user", *[F.lit(None).cast(part.schema[c].dataType).alias(c) for c in (*ATTEMPT[1:], "cap")], "opens"))
 
     def assign(group: pd.DataFrame) -> pd.DataFrame:
         # At most quota occupants and (quota + 1) * quota * quota candidates.
         occupied = list(group["opens"].dropna())
-        tries = group[group["opens"].isna()].sort_values(["created_at", "attempt_id"], kind="stable")
+        tries = group[group["_row"].notna()].sort_values(IN_ORDER, kind="stable")
         won = []
-        for attempt, now, cap in zip(tries["attempt_id"], tries["created_at"], tries["cap"]):
+        for row in tries.itertuples(index=False, name=None):
+            cap, now = row[4], row[3]
             if len(won) + sum(1 for t in occupied if t > now) < cap:
-                won.append((group["user_id"].iloc[0], attempt, now))
-        return pd.DataFrame(won, columns=columns)
+                won.append(row[:4])
+        return pd.DataFrame(won, columns=ATTEMPT)
 
-    schema = T.StructType([part.schema[c] for c in columns])
-    return candidates.groupBy("user_id").applyInPandas(assign, schema)
+    schema = T.StructType([part.schema[c] for c in ATTEMPT])
+    return candidates.groupBy("_user").applyInPandas(assign, schema)

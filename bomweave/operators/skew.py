@@ -4,7 +4,7 @@ One project, user or source may hold a third of all rows. Three idioms cover the
 engine's needs without ever collecting such a group into one task:
 
 * ``salted_join``    - per-key facts joined to many rows of a hot key;
-* ``paged``          - ordered groups cut into bounded pages;
+* ``placed``         - positions in ordered groups, from which bounded pages are cut;
 * ``running``        - ordered running aggregates, cut at time chunks.
 """
 
@@ -17,9 +17,7 @@ from ..functions.storage import materialise
 
 SALTS_SETTING = "bomweave.join.salts"
 DEFAULT_SALTS = 16
-PAGE_ROWS = 50_000
-# sub-pages per range partition are numbered below this
-SUB_PAGES = 1 << 32
+PAGE_BYTES = 8 << 20
 
 
 def salts_of(df: DataFrame) -> int:
@@ -41,34 +39,34 @@ def salted_join(many: DataFrame, facts: DataFrame, keys, spread_by, how="left",
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
-def paged(df: DataFrame, keys, order, max_rows: int = PAGE_ROWS) -> DataFrame:
-    """Add ``page`` (long) and ``is_paged``: pages follow ``order`` inside a key
-    and hold at most ``max_rows`` rows, so a page can safely become one row.
+def placed(df: DataFrame, keys, order, size: Column, name: str) -> DataFrame:
+    """Add ``name`` (long): the sum of ``size`` over the rows before a row in its group,
+    in ``order``, which must be unique in a group.
 
-    Groups within the bound form page 0. Larger ones are range partitioned on
-    key and order, which splits a hot key over many tasks, and cut into pages
-    inside each partition. ``df`` is read twice: pass a table, not a long plan.
+    Rows are range partitioned on key and order, which spreads a hot key over many
+    tasks; a row's place is the total of the parts before its own plus the running
+    sum inside. It depends on the rows only, not on where the ranges are cut.
     """
-    large = (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > max_rows).select(*keys, F.lit(True).alias("is_paged"))
-    )
-    tagged = salted_join(df, large, keys, order).withColumn(
-        "is_paged", F.coalesce("is_paged", F.lit(False))
-    )
-    small = tagged.filter(~F.col("is_paged")).withColumn("page", F.lit(0).cast("long"))
-    split = (
-        tagged.filter("is_paged")
-        .repartitionByRange(*keys, *order)
-        .withColumn("_part", F.spark_partition_id())
-    )
-    inside = Window.partitionBy(*keys, "_part").orderBy(*order)
-    split = split.withColumn(
-        "page",
-        F.col("_part").cast("long") * SUB_PAGES
-        + F.floor((F.row_number().over(inside) - 1) / F.lit(max_rows)).cast("long"),
-    ).drop("_part")
-    return small.unionByName(split)
+    rows = df.withColumn("_size", size.cast("long")).repartitionByRange(*keys, *order).withColumn(
+        "_part", F.spark_partition_id())
+    table = materialise(rows, "placed")
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = table.groupBy(*keys, "_part").agg(F.sum("_size").alias("_n")).select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    same = (F.col("_part") == F.col("_p"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return table.withColumn("_inner", F.coalesce(F.sum("_size").over(inside), F.lit(0))).join(starts, same).withColumn(
+        name, F.col("_start") + F.col("_inner")).drop("_start", "_inner", "_part", "_size", "_p", *[f"_k_{k}" for k in keys])
+
+
+def paged(df: DataFrame, keys, order, size: Column, page_size: int = PAGE_BYTES) -> DataFrame:
+    """Add ``page`` (long): a group's rows in ``order`` are cut where their sizes add up to
+    another ``page_size``, so that a page can safely become one row. A group of any
+    size is cut by the same rule; small ones are page 0."""
+    return placed(df, keys, order, size, "_before").withColumn(
+        "page", F.floor(F.col("_before") / F.lit(page_size)).cast("long")).drop("_before")
 
 
 def first_of_group(df: DataFrame, keys, order, flag: str) -> DataFrame:
@@ -85,19 +83,10 @@ def first_of_group(df: DataFrame, keys, order, flag: str) -> DataFrame:
     )
 
 
-def numbered(df: DataFrame, keys, order, name: str = "position", max_rows: int = PAGE_ROWS) -> DataFrame:
+def numbered(df: DataFrame, keys, order, name: str = "position") -> DataFrame:
     """Position of every row in its group, in ``order``, without sorting a large
-    group in one task: rows are numbered inside bounded pages, and a page starts
-    after the rows of the pages before it. ``order`` must be unique in a group."""
-    pages = materialise(paged(df, keys, order, max_rows).drop("is_paged"), "numbered")
-    before = Window.partitionBy(*keys).orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
-    starts = pages.groupBy(*keys, "page").agg(F.count(F.lit(1)).alias("_n")).select(
-        *keys, "page", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(*keys, "page").orderBy(*order)
-    return (
-        pages.withColumn("_inner", F.row_number().over(inside)).join(starts, [*keys, "page"])
-        .withColumn(name, F.col("_start") + F.col("_inner")).drop("_start", "_inner", "page")
-    )
+    group in one task. ``order`` must be unique in a group."""
+    return placed(df, keys, order, F.lit(1), name).withColumn(name, F.col(name) + 1)
 
 
 def running(df: DataFrame, keys, time, order, aggregates: dict[str, tuple[Column, str]],

@@ -12,11 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import absent, json_array, json_object, json_string, rfc3339, serial_number, text
-from ..functions.storage import materialise
 from ..operators import measures
 from ..operators.assembly import assembled, part, union_parts
 from ..operators.scan import KEYS, ORDER
-from ..operators.skew import PAGE_ROWS, first_of_group, paged
+from ..operators.skew import PAGE_BYTES, first_of_group, paged
+from ..schemas import DEPENDENCY_JSON
 from .scan_report import Branding, ScanReport
 
 
@@ -68,7 +68,7 @@ def violation_json(indent: bool = False) -> Column:
     ], _depth(indent, 2))
 
 
-def bom_json(report: ScanReport, indent: bool = False, max_rows: int = PAGE_ROWS) -> DataFrame:
+def bom_json(report: ScanReport, indent: bool = False, page_bytes: int = PAGE_BYTES) -> DataFrame:
     """The BOM document as JSON text, in the field order the proof hash uses."""
     stats = report.statistics()
     gap, new = (" ", "\n  ") if indent else ("", "")
@@ -101,29 +101,41 @@ def bom_json(report: ScanReport, indent: bool = False, max_rows: int = PAGE_ROWS
         part(stats, 50, after_fins),
         _elements(report.violations, 60, violation_json(indent), indent, "violation_no"),
         part(stats, 70, tail),
-    ), max_rows, "bom_json")
+    ), page_bytes, "bom_json")
 
 
-def nested_bom(report: ScanReport, max_rows: int = PAGE_ROWS) -> DataFrame:
-    """The BOM as nested arrays: one row per scan, or several ``page`` rows for a
-    scan with more than ``max_rows`` entries (their arrays concatenate in order)."""
+def dependencies_of_pages(documents: DataFrame, column: str = "bom_json") -> DataFrame:
+    """Dependencies of compact BOM documents, page by page: ``project, commit_sha, page,
+    position`` and the fields. A dependency is the only object of strings that starts with
+    a name, and pages never cut one, so no document has to be put together."""
+    text = r'"(?:[^"\\]|\\.)*+"'
+    objects = F.regexp_extract_all(F.col(column), F.lit(r'\{"name":' + text + r'(?:,"[a-zA-Z]++":' + text + r")*+\}"), 0)
+    return documents.select(*KEYS, "page", F.posexplode(objects).alias("position", "_json")).select(
+        *KEYS, "page", "position", F.from_json("_json", DEPENDENCY_JSON).alias("d")).select(
+        *KEYS, "page", "position", "d.name", "d.version", "d.ecosystem", F.col("d.riskLevel").alias("risk_level"),
+        "d.description", "d.location", "d.license")
+
+
+def nested_bom(report: ScanReport, page_bytes: int = PAGE_BYTES) -> DataFrame:
+    """The BOM as nested arrays, in ``page`` rows: a scan's arrays are those of its pages
+    one after the other. A page holds entries of about ``page_bytes``."""
     def entries(df, section, names, item="0"):
         body = F.struct(*[F.col(c) for c in names])
         return df.select(
             *KEYS, F.lit(section).alias("section"), *ORDER, F.expr(item).cast("int").alias("item"),
+            F.octet_length(F.concat_ws("", *names)).alias("_bytes"),
             *[(body if section == s else F.lit(None)).alias(a) for s, a in enumerate(arrays)],
         )
 
     arrays = ["dependencies", "fin_ops", "policy_violations"]
-    rows = materialise(
+    rows = (
         entries(report.dependencies, 0,
                 ["name", "version", "ecosystem", "risk_level", "description", "location", "license"])
         .unionByName(entries(report.finops, 1, ["resource", "severity", "description", "location"]))
-        .unionByName(entries(report.violations, 2, ["rule", "severity", "description", "location"], "violation_no")),
-        "bom-entries",
+        .unionByName(entries(report.violations, 2, ["rule", "severity", "description", "location"], "violation_no"))
     )
     order = ["section", *ORDER, "item"]
-    ordered = paged(rows, KEYS, order, max_rows).groupBy(*KEYS, "page", "is_paged").agg(
+    ordered = paged(rows, KEYS, order, F.col("_bytes"), page_bytes).groupBy(*KEYS, "page").agg(
         F.array_sort(F.collect_list(F.struct(*order, *arrays))).alias("_all")
     )
 
@@ -134,10 +146,9 @@ def nested_bom(report: ScanReport, max_rows: int = PAGE_ROWS) -> DataFrame:
 
     stats = report.statistics().select(*KEYS, "scanned_files", "compliance_status")
     return stats.join(
-        ordered.select(*KEYS, "page", "is_paged", *[of(s, a) for s, a in enumerate(arrays)]), KEYS, "left"
+        ordered.select(*KEYS, "page", *[of(s, a) for s, a in enumerate(arrays)]), KEYS, "left"
     ).select(
-        *KEYS, F.coalesce("page", F.lit(0)).alias("page"),
-        F.coalesce("is_paged", F.lit(False)).alias("is_paged"), "scanned_files",
+        *KEYS, F.coalesce("page", F.lit(0)).alias("page"), "scanned_files",
         *[F.coalesce(a, F.array().cast(rows_type)).alias(a) for a, rows_type in
           ((a, f"array<{rows.schema[a].dataType.simpleString()}>") for a in arrays)],
         "compliance_status",
@@ -172,7 +183,7 @@ def component_json(prefix: str, indent: bool = False) -> Column:
 
 
 def cyclonedx_json(report: ScanReport, generated_at: Column, indent: bool = False,
-                   max_rows: int = PAGE_ROWS) -> DataFrame:
+                   page_bytes: int = PAGE_BYTES) -> DataFrame:
     """CycloneDX 1.5 document per scan."""
     stats = report.statistics()
     gap, new = (" ", "\n  ") if indent else ("", "")
@@ -193,7 +204,7 @@ def cyclonedx_json(report: ScanReport, generated_at: Column, indent: bool = Fals
         part(stats, 10, head),
         _elements(report.dependencies, 20, component_json(report.branding.property_prefix, indent), indent),
         part(stats, 30, tail),
-    ), max_rows, "cyclonedx_json")
+    ), page_bytes, "cyclonedx_json")
 
 
 # --- Annex IV -----------------------------------------------------------------
@@ -335,8 +346,8 @@ def annex_frame(system_name: Column, generated_at: Column, branding: Branding) -
     )
 
 
-def annex_iv(report: ScanReport, generated_at: Column, max_rows: int = PAGE_ROWS) -> DataFrame:
-    """Annex IV markdown per scan: ``project, commit_sha, page, is_paged, markdown``."""
+def annex_iv(report: ScanReport, generated_at: Column, page_bytes: int = PAGE_BYTES) -> DataFrame:
+    """Annex IV markdown per scan: ``project, commit_sha, page, markdown``."""
     stats, deps = report.statistics(), report.dependencies
     frame = annex_frame(F.col("project"), generated_at, report.branding)
     ecosystems = deps.select(*KEYS, text(F.col("ecosystem")).alias("grp")).distinct()
@@ -354,7 +365,7 @@ def annex_iv(report: ScanReport, generated_at: Column, max_rows: int = PAGE_ROWS
         part(stats, 90, frame.policy),
         part(report.violations, 100, violation_line(), item=F.col("violation_no")),
         part(stats, 110, frame.closing),
-    ), max_rows, "markdown")
+    ), page_bytes, "markdown")
 
 
 def annex_iv_of_boms(boms: DataFrame, generated_at: str, branding: Branding = Branding()) -> DataFrame:
@@ -419,7 +430,7 @@ def annex_iv_of_boms(boms: DataFrame, generated_at: str, branding: Branding = Br
         markdown.alias("annex_iv_markdown"))
 
 
-def annex_iv_preview(report: ScanReport, max_rows: int = PAGE_ROWS) -> DataFrame:
+def annex_iv_preview(report: ScanReport, page_bytes: int = PAGE_BYTES) -> DataFrame:
     """The short preview: sections 1 to 4, without counts and timestamps."""
     stats = report.statistics()
     deps = first_of_group(report.dependencies, KEYS, ORDER, "_is_first")
@@ -449,4 +460,4 @@ def annex_iv_preview(report: ScanReport, max_rows: int = PAGE_ROWS) -> DataFrame
         part(stats, 30, hardware),
         part(fins, 40, finding),
         part(stats, 50, closing),
-    ), max_rows, "markdown")
+    ), page_bytes, "markdown")

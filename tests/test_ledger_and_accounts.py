@@ -40,21 +40,35 @@ def made_attempts(seed, users=4, rows=400, hours=24 * 25, mixed=True):
 
 
 @pytest.mark.parametrize("seed,days,limit", [(1, 3, 3), (2, 7, 4), (3, 30, 10)])
-def test_quota_replay_of_ordinary_and_hot_users(spark, seed, days, limit):
+def test_quota_replay(spark, seed, days, limit):
     rows = made_attempts(seed)
-    table = spark.createDataFrame(rows, ATTEMPT)
-    want = replay(rows, days, limit)
-    for hot_rows in (10_000, 60, 0):
-        got = {r["attempt_id"]: r["accepted"] for r in quota.admit(table, days, limit, hot_rows=hot_rows).collect()}
-        assert got == want, hot_rows
+    got = {r["attempt_id"]: r["accepted"] for r in quota.admit(spark.createDataFrame(rows, ATTEMPT), days, limit).collect()}
+    assert got == replay(rows, days, limit)
+
+
+def test_quota_replay_of_odd_rows(spark):
+    """Missing tiers and users, repeated ids, and a lone early time."""
+    rows = [(i % 40, None if i % 7 == 0 else i % 3, None if i % 2 else "free", at) for i, _, _, at in made_attempts(4, rows=150)]
+    rows += [(500, 1, None, dt.datetime(1970, 1, 2)), (501, 1, "free", None), (502, 1, "pro", None)]
+    accepted, want = {}, []
+    for attempt, user, tier, at in sorted((r for r in rows if r[3]), key=lambda r: (r[3], r[0])):
+        mine = accepted.setdefault(user, [])
+        ok = tier == "pro" or sum(t > at - dt.timedelta(days=3) for t in mine) < 4
+        if ok:
+            mine.append(at)
+        want.append((attempt, user, at, ok))
+    want += [(501, 1, None, False), (502, 1, None, True)]
+    got = quota.admit(spark.createDataFrame(rows, ATTEMPT), 3, 4)
+    assert got.columns == ["attempt_id", "user_id", "tier", "created_at", "accepted"]
+    rows_ = [(r["attempt_id"], r["user_id"], r["created_at"], r["accepted"]) for r in got.collect()]
+    assert sorted(rows_, key=repr) == sorted(want, key=repr)
 
 
 def test_ten_accepted_eleventh_refused(spark):
     rows = [(i, 1, "free", START + dt.timedelta(hours=i)) for i in range(11)] + [
         (11, 1, "free", START + dt.timedelta(days=30)), (12, 1, "free", START + dt.timedelta(days=30, minutes=1))]
-    for hot_rows in (100, 0):
-        got = {r["attempt_id"]: r["accepted"] for r in quota.admit(spark.createDataFrame(rows, ATTEMPT), hot_rows=hot_rows).collect()}
-        assert [got[i] for i in range(13)] == [True] * 10 + [False, True, False]
+    got = {r["attempt_id"]: r["accepted"] for r in quota.admit(spark.createDataFrame(rows, ATTEMPT)).collect()}
+    assert [got[i] for i in range(13)] == [True] * 10 + [False, True, False]
 
 
 def test_rolling_usage(spark):
@@ -146,11 +160,11 @@ def test_merge_keeps_other_columns(spark):
 def test_webhook_payloads(spark):
     bodies = [
         '{"id":"evt_1","type":"checkout.session.completed","created":1704067200,"data":{"object":{"customer":"cus_1","metadata":{"user_id":"u1"}}}}',
-        '{"id":"evt_2","type":"invoice.payment_failed","created":1704067201,"data":{"object":{"customer":"cus_1","attempt_count":3}}}',
+        '{"id":"evt_2","type":"invoice.payment_failed","created":1704067201,"data":{"object":{"customer":{"id":"cus_1","name":"n"},"attempt_count":3}}}',
         "broken", '{"id":"evt_3","type":"' + "x" * 70_000 + '"}']
     rows = event_source.parsed_events(spark.createDataFrame([(b,) for b in bodies], "value string")).orderBy("event_id").collect()
     assert [(r["event_id"], r["user_id"], r["customer_id"], r["attempt_count"]) for r in rows] == [
-        ("evt_1", "u1", "cus_1", None), ("evt_2", None, "cus_1", 3)]
+        ("evt_1", "u1", "cus_1", None), ("evt_2", None, "cus_1", 3), ("evt_3", None, None, None)]
     state = accounts.account_state(event_source.parsed_events(spark.createDataFrame([(b,) for b in bodies[:1]], "value string"))).collect()
     assert [r["subscription_tier"] for r in state] == ["pro"]
 

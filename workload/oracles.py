@@ -293,6 +293,22 @@ CYCLONEDX_SELECT = f"""SELECT s.project, s.commit_sha, '{{"bomFormat":"CycloneDX
  || {js('s.project')} || ',"version":' || {js('s.commit_sha')} || '}}}},"components":[' || coalesce(cj, '') || ']}}' AS cyclonedx_json
 FROM stats s LEFT JOIN (SELECT project, commit_sha, string_agg({COMPONENT}, ',' ORDER BY {WALK}) AS cj FROM deps GROUP BY ALL) d USING (project, commit_sha)"""
 
+def first_page(select: str) -> str:
+    """Documents of the driver tables are far below a page."""
+    return f"SELECT *, CAST(0 AS BIGINT) AS page FROM ({select})"
+
+
+def _flat(fields, table, order):
+    row = " || '|' || ".join(f"coalesce({f}, '')" for f in fields)
+    return f"(SELECT project, commit_sha, string_agg({row}, ';' ORDER BY {order}) AS x FROM {table} GROUP BY ALL)"
+
+
+NESTED_SELECT = f"""SELECT project, commit_sha, CAST(0 AS BIGINT) AS page, scanned_files, compliance_status,
+ coalesce(d.x, '') AS dependencies, coalesce(f.x, '') AS fin_ops, coalesce(v.x, '') AS policy_violations FROM stats
+LEFT JOIN {_flat(["name", "version", "ecosystem", "risk_level", "description", "location", "license"], "deps", WALK)} d USING (project, commit_sha)
+LEFT JOIN {_flat(["resource", "severity", "description", "location"], "fins", WALK)} f USING (project, commit_sha)
+LEFT JOIN {_flat(["rule", "severity", "vdesc", "location"], "vios", WALK + ", vno")} v USING (project, commit_sha)"""
+
 NL = "chr(10)"
 DEP_LINE = "'- **' || name || '** (v' || version || ')' || CASE WHEN coalesce(license, '') = '' THEN '' ELSE ' [License: ' || license || ']' END || ': ' || description || ' (Risk: ' || risk_level || ')'"
 

@@ -16,7 +16,6 @@ from bomweave.operators.assembly import document_hashes
 from bomweave.operators.skew import numbered, salted_join
 from bomweave.plans import documents, intake
 from bomweave.plans.scan_report import Branding, scan_report
-from bomweave.schemas import BOM_JSON
 
 from . import adapters as A
 from . import oracles as O
@@ -355,30 +354,31 @@ def run_overrides(spark, sf):
 # --- documents ------------------------------------------------------------------
 
 
-@query("bom_documents", O.report(O.BOM_SELECT))
+@query("bom_documents", O.report(O.first_page(O.BOM_SELECT)))
 def bom_documents(spark, sf):
-    return documents.bom_json(full_report(spark, sf)).select(*KEYS, "bom_json")
+    return documents.bom_json(full_report(spark, sf)).select(*KEYS, "page", "bom_json")
 
 
-@query("nested_boms", O.report("SELECT project, commit_sha, scanned_files, components, cost_findings, blockers + warnings AS violations, compliance_status, coalesce(f.locs, '') AS dependency_locations FROM stats LEFT JOIN (SELECT project, commit_sha, string_agg(location, '|' ORDER BY pk, detector, line_no, seq) AS locs FROM deps GROUP BY ALL) f USING (project, commit_sha)"))
+@query("nested_boms", O.report(O.NESTED_SELECT))
 def nested_boms(spark, sf):
+    def flat(array, fields):
+        return F.array_join(F.transform(array, lambda e: F.concat_ws("|", *[F.coalesce(e[f], F.lit("")) for f in fields])), ";").alias(array)
+
     return documents.nested_bom(full_report(spark, sf)).select(
-        *KEYS, "scanned_files", F.size("dependencies").alias("components"), F.size("fin_ops").alias("cost_findings"),
-        F.size("policy_violations").alias("violations"), "compliance_status",
-        F.array_join(F.transform("dependencies", lambda d: d["location"]), "|").alias("dependency_locations"))
+        *KEYS, "page", "scanned_files", "compliance_status",
+        flat("dependencies", ["name", "version", "ecosystem", "risk_level", "description", "location", "license"]),
+        flat("fin_ops", ["resource", "severity", "description", "location"]),
+        flat("policy_violations", ["rule", "severity", "description", "location"]))
 
 
 @query("bom_json_round_trip", O.report("SELECT project, commit_sha, name, version, ecosystem, risk_level, description, location, license FROM deps"))
 def bom_json_round_trip(spark, sf):
-    texts = documents.bom_json(full_report(spark, sf))
-    return texts.select(F.from_json("bom_json", BOM_JSON).alias("bom")).select(
-        F.col("bom.projectName").alias("project"), F.col("bom.commitSha").alias("commit_sha"), F.explode("bom.dependencies").alias("d")
-    ).select(*KEYS, "d.name", "d.version", "d.ecosystem", F.col("d.riskLevel").alias("risk_level"), "d.description", "d.location", "d.license")
+    return documents.dependencies_of_pages(documents.bom_json(full_report(spark, sf))).drop("page", "position")
 
 
-@query("cyclonedx_documents", O.report(O.CYCLONEDX_SELECT))
+@query("cyclonedx_documents", O.report(O.first_page(O.CYCLONEDX_SELECT)))
 def cyclonedx_documents(spark, sf):
-    return documents.cyclonedx_json(full_report(spark, sf), generated_at()).select(*KEYS, "cyclonedx_json")
+    return documents.cyclonedx_json(full_report(spark, sf), generated_at()).select(*KEYS, "page", "cyclonedx_json")
 
 
 @query("cyclonedx_serials", O.with_([O.BASE], f"SELECT project, commit_sha, {O.SERIAL} AS serial_number FROM vis GROUP BY project, commit_sha"))
@@ -387,14 +387,14 @@ def cyclonedx_serials(spark, sf):
         *KEYS, ids.serial_number(F.col("project"), F.col("commit_sha")).alias("serial_number"))
 
 
-@query("annex_iv", O.report(O.annex_select()))
+@query("annex_iv", O.report(O.first_page(O.annex_select())))
 def annex_iv(spark, sf):
-    return documents.annex_iv(full_report(spark, sf), generated_at()).select(*KEYS, "markdown")
+    return documents.annex_iv(full_report(spark, sf), generated_at()).select(*KEYS, "page", "markdown")
 
 
-@query("annex_iv_preview", O.report(O.preview_select()))
+@query("annex_iv_preview", O.report(O.first_page(O.preview_select())))
 def annex_iv_preview(spark, sf):
-    return documents.annex_iv_preview(full_report(spark, sf)).select(*KEYS, "markdown")
+    return documents.annex_iv_preview(full_report(spark, sf)).select(*KEYS, "page", "markdown")
 
 
 @query("proof_hashes", O.report(f"SELECT project, commit_sha, sha256(commit_sha || bom_json) AS crypto_hash FROM ({O.BOM_SELECT})"))
