@@ -31,18 +31,39 @@ def history(drills: DataFrame, projects: DataFrame) -> DataFrame:
     return salted_join(rows, names, ["project_id"], ["crypto_hash", "created_at"], how="inner").select("project_name", "user_id", "commit_sha", "crypto_hash", "created_at")
 
 
-def latest(history_rows: DataFrame, user_id=None, rows: int = HISTORY_ROWS) -> DataFrame:
-    """Newest ``rows`` of the ledger, of one tenant or of all."""
+def latest(drills: DataFrame, projects: DataFrame, user_id=None, rows: int = HISTORY_ROWS, since=None) -> DataFrame:
+    """Newest ``rows`` of the ledger, of one tenant or of all, with their projects.
+
+    The rows are picked before the join, as every ledger row has its project. ``since``
+    is a lower bound for ``created_at``; on a ledger that is partitioned by day only
+    the days from then on are read.
+    """
     if user_id is not None:
-        history_rows = history_rows.filter(F.col("user_id") == user_id)
-    return history_rows.orderBy(F.desc("created_at"), "crypto_hash").limit(rows)
+        drills = drills.filter(F.col("user_id") == user_id)
+    if since is not None:
+        drills = recent_days(drills, since).filter(F.col("created_at") >= F.lit(since))
+    newest = drills.orderBy(F.desc("created_at"), "crypto_hash").limit(rows)
+    return history(newest, projects).orderBy(F.desc("created_at"), "crypto_hash")
 
 
-def latest_per_tenant(history_rows: DataFrame, rows: int = HISTORY_ROWS) -> DataFrame:
+def latest_per_tenant(drills: DataFrame, projects: DataFrame, rows: int = HISTORY_ROWS) -> DataFrame:
     """The history page of every tenant at once. Spark limits each group before
-    the shuffle, so a tenant with most of the ledger sends ``rows`` per task."""
+    the shuffle, so a tenant with most of the ledger sends ``rows`` per task; only
+    the rows of the pages are joined with their projects."""
     newest = Window.partitionBy("user_id").orderBy(F.desc("created_at"), "crypto_hash")
-    return history_rows.withColumn("position", F.row_number().over(newest)).filter(F.col("position") <= rows)
+    picked = drills.select("project_id", "user_id", "commit_sha", "crypto_hash", "created_at").withColumn(
+        "position", F.row_number().over(newest)).filter(F.col("position") <= rows)
+    names = projects.select(F.col("id").alias("project_id"), F.col("name").alias("project_name"))
+    return salted_join(picked, names, ["project_id"], ["crypto_hash", "created_at"], how="inner").select(
+        "project_name", "user_id", "commit_sha", "crypto_hash", "created_at", "position")
+
+
+def recent_days(drills: DataFrame, since) -> DataFrame:
+    """Rows of the days from ``since`` on, where the ledger has its day as a column: the
+    filter reaches the partitions of a stored ledger."""
+    if "created_date" not in drills.columns:
+        return drills
+    return drills.filter(F.col("created_date") >= F.to_date(F.lit(since)))
 
 
 def proofs(requests: DataFrame, drills: DataFrame, per_tenant: bool = True) -> DataFrame:

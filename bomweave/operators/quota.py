@@ -23,6 +23,8 @@ def usage_as_of(ledger: DataFrame, as_of, days: int = WINDOW_DAYS, user="user_id
     old side, as ``created_at > now - interval``). The time filter reaches the scan."""
     now = F.lit(as_of)
     since = now - F.expr(f"INTERVAL {days} DAYS")
+    if "created_date" in ledger.columns:  # a stored ledger: reads the days in question only
+        ledger = ledger.filter(F.col("created_date").between(F.to_date(since), F.to_date(now)))
     return (
         ledger.filter((F.col(time) > since) & (F.col(time) <= now))
         .groupBy(user).agg(F.count(F.lit(1)).alias("recent"))

@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from ..functions.ids import absent, effective_commit
 from ..schemas import BOM_JSON, PROOF_DRILLS
 
+DOCUMENT_BUCKETS, DOCUMENT_SPREAD = 64, 16
+DAY_FILES = 8
 
-def write_documents(documents: DataFrame, column: str, target: str) -> None:
-    """Document texts, one row per document page, below ``project=.../``.
 
-    Rows keep ``page``, so a paged document is read back in order.
+def write_documents(documents: DataFrame, column: str, target: str) -> None:
+    """Document texts, one row per document page, below ``bucket=.../``: a bounded number
+    of folders, however many projects there are. Pages of a project are spread over
+    the files of its bucket; rows keep ``page``, so a document is read back in order.
     """
-    documents.select("project", "commit_sha", "page", column).write.mode("append").partitionBy("project").json(target)
+    rows = documents.select("project", "commit_sha", "page", column).withColumn(
+        "bucket", F.pmod(F.xxhash64("project"), F.lit(DOCUMENT_BUCKETS)).cast("int"))
+    rows.repartition("bucket", F.pmod(F.col("page"), F.lit(DOCUMENT_SPREAD))).write.mode("append").partitionBy("bucket").json(target)
 
 
 def read_boms(spark: SparkSession, path: str) -> DataFrame:
@@ -23,11 +28,13 @@ def read_boms(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_drills(drills: DataFrame, target: str) -> None:
-    """Append ledger rows, partitioned by day: the rolling count and the history
-    page read recent days only."""
-    drills.withColumn("commit_sha", effective_commit(F.col("commit_sha"))).withColumn(
+    """Append ledger rows, partitioned by day, so that ``usage_as_of`` and ``latest`` with
+    a bound read recent days only. Rows are dealt by day and a hash of theirs first: a
+    day has a bounded number of files, and a crowded day is not one task."""
+    rows = drills.withColumn("commit_sha", effective_commit(F.col("commit_sha"))).withColumn(
         "user_id", absent(F.col("user_id"))
-    ).withColumn("created_date", F.to_date("created_at")).write.mode("append").partitionBy(
+    ).withColumn("created_date", F.to_date("created_at"))
+    rows.repartition("created_date", F.pmod(F.xxhash64("crypto_hash"), F.lit(DAY_FILES))).write.mode("append").partitionBy(
         "created_date"
     ).option("parquet.bloom.filter.enabled#crypto_hash", "true").parquet(target)
 

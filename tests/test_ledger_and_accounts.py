@@ -201,7 +201,12 @@ def test_intake_and_ledger(spark, tmp_path):
     assert stored.count() == 10 and ledger.verified(stored).filter("hash_ok").count() == 10
     history = ledger.history(stored, done.projects)
     assert history.filter("user_id = '2'").count() == 1
-    assert [r["commit_sha"] for r in ledger.latest(history, "1", 2).collect()] == ["s8", "s7"]
+    assert [r["commit_sha"] for r in ledger.latest(stored, done.projects, "1", 2, since=START).collect()] == ["s8", "s7"]
+    recent = quota.usage_as_of(stored, START + dt.timedelta(hours=12))
+    assert {r["user_id"]: r["recent"] for r in recent.collect()} == {"1": 9, "2": 1}
+    for frame in (recent, ledger.latest(stored, done.projects, since=START)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(created_date" in plan
     mine = stored.filter("user_id = '1'").select("crypto_hash").first()["crypto_hash"]
     ask = spark.createDataFrame([(mine, "2")], "crypto_hash string, user_id string")
     assert ledger.proofs(ask, stored).count() == 0 and ledger.proofs(ask, stored, per_tenant=False).count() == 1

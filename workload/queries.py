@@ -412,17 +412,17 @@ def ledger_history(spark, sf):
 
 @query("latest_ledger", O.with_([O.HISTORY], "SELECT * FROM hist ORDER BY created_at DESC, crypto_hash LIMIT 25"))
 def latest_ledger(spark, sf):
-    return ledger.latest(history(spark, sf))
+    return ledger.latest(drills(spark, sf), projects(spark, sf))
 
 
 @query("latest_ledger_of_tenant", O.with_([O.HISTORY], "SELECT * FROM hist WHERE user_id = '8' ORDER BY created_at DESC, crypto_hash LIMIT 25"))
 def latest_ledger_of_tenant(spark, sf):
-    return ledger.latest(history(spark, sf), "8")
+    return ledger.latest(drills(spark, sf), projects(spark, sf), "8")
 
 
 @query("latest_ledger_per_tenant", O.with_([O.HISTORY], "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, crypto_hash) AS position FROM hist) WHERE position <= 25"))
 def latest_ledger_per_tenant(spark, sf):
-    return ledger.latest_per_tenant(history(spark, sf))
+    return ledger.latest_per_tenant(drills(spark, sf), projects(spark, sf))
 
 
 @query("tenant_rows", f"SELECT user_id, commit_sha, crypto_hash FROM ({A.DRILLS}) WHERE user_id = '8'")
