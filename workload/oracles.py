@@ -403,7 +403,7 @@ AS_OF = "2024-01-29 00:00:00"
 HISTORY = f"hist AS (SELECT p.name AS project_name, d.user_id, d.commit_sha, d.crypto_hash, d.created_at FROM ({A.DRILLS}) d JOIN ({A.PROJECTS}) p ON p.id = d.project_id)"
 
 
-def uploads_sql() -> str:
+def uploads_sql(select: str) -> str:
     u = f"u AS (SELECT u.*, k.user_id, coalesce(k.subscription_tier, 'free') AS tier FROM ({A.UPLOADS}) u JOIN ({A.UPLOAD_KEYS}) k ON k.token_hash = sha256(u.api_key))"
     return f"""WITH RECURSIVE {u},
 a AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at, upload_id) AS rn FROM u),
@@ -416,4 +416,9 @@ k AS (SELECT *, coalesce(nullif(b->>'$.commitSha', ''), 'local-dev-uncommitted')
   || CASE WHEN coalesce(b->>'$.commitSha', '') = '' THEN '' ELSE ',"commitSha":' || to_json(b->>'$.commitSha')::VARCHAR END || ',"scannedFiles":' || coalesce(b->>'$.scannedFiles', '0')
   || ',"dependencies":' || CASE WHEN (b->'$.dependencies') IS NULL THEN 'null' ELSE '[{{"name":"' || (b->>'$.dependencies[0].name') || '","version":"","ecosystem":"","riskLevel":"High","description":"a \\u003cb\\u003e \\u0026 c"}}]' END
   || ',"finOps":' || CASE WHEN (b->'$.finOps') IS NULL THEN 'null' ELSE '[]' END || ',"complianceStatus":' || to_json(coalesce(b->>'$.complianceStatus', ''))::VARCHAR || '}}' AS doc FROM j)
-SELECT sha256(cast(upload_id AS string)) AS id, sha256(coalesce(b->>'$.projectName', '')) AS project_id, cast(user_id AS string) AS user_id, commit AS commit_sha, doc AS ai_bom_json, sha256(commit || doc) AS crypto_hash FROM k"""
+{select}"""
+
+
+DRILLS_SELECT = "SELECT sha256(cast(upload_id AS string)) AS id, sha256(coalesce(b->>'$.projectName', '')) AS project_id, cast(user_id AS string) AS user_id, commit AS commit_sha, doc AS ai_bom_json, sha256(commit || doc) AS crypto_hash, created_at FROM k"
+REFUSED_SELECT = "SELECT a.upload_id, a.user_id, a.tier, a.created_at FROM a JOIN r USING (upload_id) WHERE NOT accepted"
+NEW_PROJECTS_SELECT = "SELECT sha256(name) AS id, name, created_at FROM (SELECT coalesce(b->>'$.projectName', '') AS name, min(created_at) AS created_at FROM k GROUP BY 1)"

@@ -542,8 +542,23 @@ def account_view(spark, sf):
     return accounts.account_view(users, A.frame(spark, sf, A.API_KEYS))
 
 
-@query("proof_intake", O.uploads_sql())
+def taken_in(spark, sf, known=None):
+    return intake.proof_intake(
+        A.frame(spark, sf, A.UPLOADS), A.frame(spark, sf, A.UPLOAD_KEYS),
+        projects(spark, sf) if known is None else known, branding=BRANDING)
+
+
+@query("proof_intake", O.uploads_sql(O.DRILLS_SELECT))
 def proof_intake(spark, sf):
-    done = intake.proof_intake(
-        A.frame(spark, sf, A.UPLOADS), A.frame(spark, sf, A.UPLOAD_KEYS), projects(spark, sf), branding=BRANDING)
-    return done.drills.select("id", "project_id", "user_id", "commit_sha", "ai_bom_json", "crypto_hash")
+    return taken_in(spark, sf).drills.select("id", "project_id", "user_id", "commit_sha", "ai_bom_json", "crypto_hash", "created_at")
+
+
+@query("intake_refused", O.uploads_sql(O.REFUSED_SELECT))
+def intake_refused(spark, sf):
+    return taken_in(spark, sf).refused.select("upload_id", "user_id", "tier", "created_at")
+
+
+@query("intake_projects", O.uploads_sql(O.NEW_PROJECTS_SELECT))
+def intake_projects(spark, sf):
+    """Projects of a ledger that knew none before."""
+    return taken_in(spark, sf, projects(spark, sf).limit(0)).projects.select("id", "name", "created_at")
