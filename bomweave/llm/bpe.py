@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
+from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 from .common import broadcast, by_slices, texts_of
 
 SHORT_WORD = 96
-CACHED_WORDS = 200_000
-NO_RANK = 1 << 60
+CACHED_WORDS = 150_000
+ID_BITS = 20  # a pair is two ids in one int, a merge its rank and the merged id
+ID_MASK = (1 << ID_BITS) - 1
+NO_MERGE = 1 << 62
 _loaded: dict[str, "WordBpe"] = {}
 
 
@@ -46,11 +49,11 @@ class WordBpe:
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model["end_of_word_suffix"] or ""
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.merges: dict[int, int] = {}
         for rank, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             if self._id(left) is not None and self._id(right) is not None:
-                self.merges[self.vocab[left], self.vocab[right]] = (rank, self.vocab[left + right])
+                self.merges[self.vocab[left] << ID_BITS | self.vocab[right]] = rank << ID_BITS | self.vocab[left + right]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"] if t["special"]}
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
@@ -60,59 +63,62 @@ class WordBpe:
         self.blanks = regex.compile(r"\s+")
         # str.split() also cuts at these, the vocabulary's white space does not
         self.separators = regex.compile(r"[\x1c-\x1f]")
-        self.chunks: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.chunks: dict[str, list[int]] = {}
+        self.inner = [self._id(x) for x in self.letters]
+        self.last = [self._id(x + self.end) for x in self.letters]
 
     def _id(self, symbol: str) -> int | None:
         return self.vocab.get(symbol)
 
     def word(self, word: str) -> list[int]:
         """Ids of one pre-token."""
-        symbols = [self.letters[b] for b in word.encode()]
-        symbols[-1] += self.end
-        parts = [i for s in symbols if (i := self._id(s)) is not None]
+        symbols = word.encode()
+        parts = [self.inner[b] for b in symbols[:-1]]
+        parts.append(self.last[symbols[-1]])
+        if None in parts:
+            parts = [p for p in parts if p is not None]
         return self._scan(parts) if len(parts) <= SHORT_WORD else self._heap(parts)
 
     def _scan(self, parts: list[int]) -> list[int]:
-        merges = self.merges
-        none = (NO_RANK, -1)
-        found = [merges.get(pair, none) for pair in zip(parts, parts[1:])]
-        while found:
-            best = min(found)
-            if best is none or best[0] == NO_RANK:
-                break
+        known = self.merges.get
+        found = [known(a << ID_BITS | b, NO_MERGE) for a, b in zip(parts, parts[1:])]
+        while found and (best := min(found)) != NO_MERGE:
             at = found.index(best)
-            parts[at] = best[1]
+            parts[at] = merged = best & ID_MASK
             del parts[at + 1], found[at]
             if at < len(found):
-                found[at] = merges.get((parts[at], parts[at + 1]), none)
+                found[at] = known(merged << ID_BITS | parts[at + 1], NO_MERGE)
             if at:
-                found[at - 1] = merges.get((parts[at - 1], parts[at]), none)
+                found[at - 1] = known(parts[at - 1] << ID_BITS | merged, NO_MERGE)
         return parts
 
     def _heap(self, parts: list[int]) -> list[int]:
-        merges, n = self.merges, len(parts)
+        known, n = self.merges.get, len(parts)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         alive = [True] * n
-        queue = [(merges[p][0], i, p) for i, p in enumerate(zip(parts, parts[1:])) if p in merges]
+        pairs = (a << ID_BITS | b for a, b in zip(parts, parts[1:]))
+        queue = [(known(pair), i, pair) for i, pair in enumerate(pairs) if pair in self.merges]
         heapq.heapify(queue)
         while queue:
-            _, i, pair = heapq.heappop(queue)
+            merge, i, pair = heapq.heappop(queue)
             j = after[i]
-            if not alive[i] or j >= n or (parts[i], parts[j]) != pair:
+            if not alive[i] or j >= n or parts[i] << ID_BITS | parts[j] != pair:
                 continue
-            parts[i], alive[j] = merges[pair][1], False
+            parts[i], alive[j] = merge & ID_MASK, False
             after[i] = after[j]
             if after[j] < n:
                 before[after[j]] = i
             for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < n and (parts[a], parts[b]) in merges:
-                    heapq.heappush(queue, (merges[parts[a], parts[b]][0], a, (parts[a], parts[b])))
+                if a >= 0 and b < n and (merge := known(parts[a] << ID_BITS | parts[b])) is not None:
+                    heapq.heappush(queue, (merge, a, parts[a] << ID_BITS | parts[b]))
         return [p for p, kept in zip(parts, alive) if kept]
 
-    def chunk(self, chunk: str) -> tuple[tuple[int, ...], str]:
-        """Ids and decoded text of a run without white space."""
-        ids = tuple(i for word in self.pattern.findall(chunk) for i in self.word(word))
-        result = ids, self.decode(ids)
+    def chunk(self, chunk: str) -> list[int]:
+        """Ids of a run without white space."""
+        words = self.pattern.findall(chunk)
+        result = self.word(words[0]) if words else []
+        for word in words[1:]:
+            result += self.word(word)
         if len(chunk) <= SHORT_WORD:
             if len(self.chunks) >= CACHED_WORDS:
                 self.chunks.clear()
@@ -126,33 +132,26 @@ class WordBpe:
     def encode(self, text: str) -> tuple[list[int], str]:
         """Ids and decoded text. Special tokens are recognised in the raw text."""
         ids: list[int] = []
-        shown: list[str] = []
         start = 0
         for mark in self.marks.finditer(text):
-            self._plain(text[start:mark.start()], ids, shown)
+            self._plain(text[start:mark.start()], ids)
             ids.append(self.special[mark[0]])
-            shown.append(mark[0])
             start = mark.end()
-        self._plain(text[start:], ids, shown)
-        return ids, " ".join(shown)
+        self._plain(text[start:], ids)
+        return ids, self.decode(ids)
 
-    def _plain(self, text: str, ids: list[int], shown: list[str]) -> None:
+    def _plain(self, text: str, ids: list[int]) -> None:
         if not text:
             return
         text = self.normal(text)
         known = self.chunks.get
-        for chunk in text.split(" ") if self.separators.search(text) else text.split():
-            if chunk:
-                got, decoded = known(chunk) or self.chunk(chunk)
-                if got:
-                    ids += got
-                    shown.append(decoded)
+        for chunk in filter(None, text.split(" ")) if self.separators.search(text) else text.split():
+            ids += known(chunk) or self.chunk(chunk)
 
     def decode(self, ids) -> str:
         """The vocabulary has no decoder: its entries are joined by blanks, and
         unknown ids are left out."""
-        names = self.names
-        return " ".join([names[i] for i in ids if i in names])
+        return " ".join(filter(None, map(self.names.get, ids)))
 
 
 def load(content: bytes) -> WordBpe:
@@ -176,7 +175,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     kind = pa.struct([("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
     @F.arrow_udf("struct<ids:array<int>,decoded:string>")
-    def encoded(texts: pa.Array) -> pa.Array:
+    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = load(content.value)
 
         def part(values: pa.Array) -> pa.Array:
@@ -185,7 +184,11 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
                 [pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.string())],
                 fields=list(kind))
 
-        return by_slices(texts, part)
+        for texts in batches:
+            yield by_slices(texts, part)
+        # the worker lives on for other tasks
+        bpe.chunks.clear()
+        pa.default_memory_pool().release_unused()
 
     result = docs.withColumn("_encoded", encoded(F.col(text)))
     return result.withColumns({"ids": F.col("_encoded.ids"), "decoded": F.col("_encoded.decoded")}).drop("_encoded")

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 4 << 20  # text handled at a time inside a Python task
+SLICE_BYTES = 1 << 20  # text handled at a time inside a Python task
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 from collections import deque
+from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from .bpe import byte_letters
 from .common import broadcast, by_slices
 
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 CACHED_BYTES = 64
 WORDS = regex.compile(rb"[^\x20\x09-\x0D]+")
 _loaded: dict[int, "PieceCounter"] = {}
@@ -129,7 +130,7 @@ def token_counts(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFr
     content = broadcast(docs.sparkSession, Path(vocabulary).read_bytes())
 
     @F.arrow_udf("struct<n_words:bigint,n_tokens:bigint>")
-    def counted(texts: pa.Array) -> pa.Array:
+    def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counter = load(content.value)
 
         def part(values: pa.Array) -> pa.Array:
@@ -137,7 +138,10 @@ def token_counts(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFr
             return pa.StructArray.from_arrays(
                 [pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], names=["n_words", "n_tokens"])
 
-        return by_slices(texts, part)
+        for texts in batches:
+            yield by_slices(texts, part)
+        counter.counts.clear()  # the worker lives on for other tasks
+        pa.default_memory_pool().release_unused()
 
     result = docs.withColumn("_counted", counted(F.col(text)))
     return result.withColumns(
