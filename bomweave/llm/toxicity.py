@@ -182,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id: str
     found = materialise(sample.select("_label", "f.words", "f.swapped"), "toxicity-sample")
     n, positive = found.agg(F.count("_label"), F.coalesce(F.sum("_label"), F.lit(0.0))).first()
     if positive in (0, n):
-        rate = (positive + 0.5) / (n + 1)
+        rate = (positive + 0.5) / (n + 2)  # without labels nothing counts as toxic
         return ToxicityModel(float(np.log(rate / (1 - rate))), {})
     terms = [int(np.uint64(word_hash(t)).astype(np.int64)) for t in swaps.group]
     features = _candidates(found, positive, n - positive, terms)

@@ -73,7 +73,7 @@ def test_without_two_classes(spark, frames, label):
     some = labels.limit(0) if label is None else labels.withColumn("toxic", F.lit(label))
     model = toxicity.fit(docs, some)
     score = toxicity.score(docs.limit(1), model).first()["toxicity"]
-    assert score == 0.5 if label is None else (score > 0.9) == bool(label)
+    assert score == 0.25 if label is None else (score > 0.9) == bool(label)
 
 
 def test_sample_bound(frames):
