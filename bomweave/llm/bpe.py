@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast, by_slices, texts_of
+from .common import broadcast, by_slices, session_for_texts, texts_of
 
 SHORT_WORD = 96
 CACHED_WORDS = 150_000
@@ -171,7 +171,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     gives no ids and an empty text. All other columns and all rows stay, repeated
     ones included; columns called ``ids`` or ``decoded`` are replaced.
     """
-    content = broadcast(docs.sparkSession, Path(tokenizer).read_bytes())
+    content = broadcast(session_for_texts(docs), Path(tokenizer).read_bytes())
     kind = pa.struct([("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
     @F.arrow_udf("struct<ids:array<int>,decoded:string>")

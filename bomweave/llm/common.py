@@ -11,12 +11,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20  # text handled at a time inside a Python task
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+DEFAULT_BATCH, SMALL_BATCH = "67108864b", "4194304b"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def session_for_texts(df: DataFrame) -> SparkSession:
+    """The session of ``df``, with Arrow batches of 4 MiB unless it sets a size itself: with
+    Spark's default, long texts fill some hundred MB a task on both sides."""
+    spark = df.sparkSession
+    if spark.conf.get(BATCH_BYTES, DEFAULT_BATCH) == DEFAULT_BATCH:
+        spark.conf.set(BATCH_BYTES, SMALL_BATCH)
+    return spark
+
+
 def broadcast(spark: SparkSession, value):
     """A broadcast variable for models and vocabularies of a bounded size."""
     return spark.sparkContext.broadcast(value)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast, by_slices
+from .common import broadcast, by_slices, session_for_texts
 
 UNKNOWN = "und"
 TRAINING_ROWS = 500  # per language
@@ -186,7 +186,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     """Add ``lang_pred`` and ``lang_score`` (0 to 1) of every whole text: ``und`` and 0
     for a null text or one without a letter. All rows and other columns stay; columns
     with these names are replaced."""
-    shared = broadcast(docs.sparkSession, model)
+    shared = broadcast(session_for_texts(docs), model)
 
     @F.arrow_udf("struct<lang:string,score:double>")
     def predicted(texts: pa.Array) -> pa.Array:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import materialise
-from .common import broadcast, by_slices, slices
+from .common import broadcast, by_slices, session_for_texts, slices
 from .filters import FILTER_BITS, maybe, seen_twice
 
 WHITE_SPACE = b" \t\n\x0b\x0c\r"
@@ -65,7 +65,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, id: str = "doc_id", text: s
     distinct key keep false suspicions rare. All other columns and all rows stay;
     columns with the names of the new ones are replaced.
     """
-    spark = docs.sparkSession
+    spark = session_for_texts(docs)
     rows = docs.select(F.col(id).cast("long").alias("doc"), F.col(text).alias("text"))
     twice = broadcast(spark, seen_twice(
         rows, lambda batch: (keys for _, keys in _keys(batch, min_chars)), filter_bits))

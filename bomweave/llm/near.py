@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import materialise
-from .common import broadcast, slices
+from .common import broadcast, session_for_texts, slices
 from .components import components
 from .filters import FILTER_BITS, maybe, seen_twice
 
@@ -194,6 +194,7 @@ def _row_keys(id: str, text: str) -> list[Column]:
 
 def _labelled(docs: DataFrame, words: int, percent: int, id: str, text: str, filter_bits: int) -> DataFrame:
     """(id, k1, k2, n, component_id, kept) of every row."""
+    session_for_texts(docs)
     k1, k2 = _row_keys(id, text)
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), k1.alias("k1"), k2.alias("k2"))
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import materialise
-from .common import broadcast, by_slices
+from .common import broadcast, by_slices, session_for_texts
 from .filters import FILTER_BITS, maybe, seen_twice
 
 WINDOW = 400
@@ -183,7 +183,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id: str = "doc_id", te
     the input. All rows and other columns stay; columns named like the new ones are
     replaced. Segments are told apart by anchor and digest, 128 bits together.
     """
-    spark = docs.sparkSession
+    spark = session_for_texts(docs)
     keyed = docs.select(*_keys_of(id, text), F.col(text).alias("text")).filter(F.octet_length("text") >= window)
 
     def anchors(batch: pa.RecordBatch) -> Iterator[np.ndarray]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters
-from .common import broadcast, by_slices
+from .common import broadcast, by_slices, session_for_texts
 
 CACHED_WORDS = 200_000
 CACHED_BYTES = 64
@@ -127,7 +127,7 @@ def token_counts(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFr
     and all rows stay; columns called ``n_words`` or ``n_tokens`` are replaced.
     Work is linear in the text, also inside very long words.
     """
-    content = broadcast(docs.sparkSession, Path(vocabulary).read_bytes())
+    content = broadcast(session_for_texts(docs), Path(vocabulary).read_bytes())
 
     @F.arrow_udf("struct<n_words:bigint,n_tokens:bigint>")
     def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

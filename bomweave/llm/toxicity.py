@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import materialise
-from .common import broadcast, by_slices
+from .common import broadcast, by_slices, session_for_texts
 
 WORD = re.compile(r"[^\W\d_]+")
 TRAINING_ROWS = 8_000
@@ -156,6 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id: str
     counts as toxic if any row says so. Without two classes the model is the share
     of toxic labels.
     """
+    session_for_texts(docs)
     usable = labels.filter(F.col(id).isNotNull() & F.col(label).isNotNull())
     if learn is not None:
         usable = usable.filter(learn)
@@ -202,7 +203,7 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFram
     """Add ``toxicity`` (0 to 1) of every whole text; a null or empty text gets the
     score of no words. All rows and other columns stay; a column of that name is
     replaced."""
-    shared = broadcast(docs.sparkSession, model)
+    shared = broadcast(session_for_texts(docs), model)
 
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
