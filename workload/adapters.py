@@ -184,9 +184,17 @@ FROM events
 """
 
 UPLOAD_KEYS = """
-SELECT user_id, sha256(concat('key-', cast(user_id AS string))) AS token_hash, CASE WHEN user_id % 3 = 0 THEN 'pro' ELSE 'free' END AS subscription_tier,
+SELECT user_id, sha256(concat('key-', cast(user_id AS string), CASE WHEN user_id % 10 = 9 THEN '-renewed' ELSE '' END)) AS token_hash, CASE WHEN user_id % 3 = 0 THEN 'pro' ELSE 'free' END AS subscription_tier,
  cast(NULL AS string) AS stripe_customer_id, 0 AS scans_this_month
-FROM (SELECT DISTINCT user_id FROM events) AS u WHERE user_id % 10 <> 9
+FROM (SELECT DISTINCT user_id FROM events) AS u
+"""
+
+# Webhook bodies, one per event; every third customer is an expanded object (Spark only).
+WEBHOOKS = """
+SELECT concat('{"id":"evt_', event_id, '","type":"', event_type, '","created":', unix_timestamp(ts), ',"data":{"object":{"customer":',
+ CASE WHEN event_id % 3 = 0 THEN concat('{"id":"cus_', user_id, '","livemode":false}') ELSE concat('"cus_', user_id, '"') END,
+ ',"attempt_count":', event_id % 5, ',"metadata":{"user_id":"', user_id, '"}}}}') AS value
+FROM events
 """
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",

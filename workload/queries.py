@@ -15,6 +15,7 @@ from bomweave.functions.storage import materialise
 from bomweave.operators.assembly import document_hashes
 from bomweave.operators.skew import numbered, salted_join
 from bomweave.plans import documents, intake
+from bomweave.sources.events import parsed_events
 from bomweave.plans.scan_report import Branding, scan_report
 
 from . import adapters as A
@@ -345,9 +346,9 @@ def risk_badges(spark, sf):
         "project", "name", "location", measures.risk_badge(F.col("risk_level")).alias("badge"))
 
 
-@query("run_overrides", O.with_([O.BASE], "SELECT CASE WHEN p.source IS NULL THEN v.project ELSE 'org/' || v.project END AS project, coalesce(p.sha, v.commit_sha) AS commit_sha, scanned_files FROM (SELECT project, commit_sha, count(*) AS scanned_files FROM vis GROUP BY ALL) v LEFT JOIN (SELECT source, CASE WHEN length(source) = 4 THEN md5('run' || source) END AS sha FROM documents WHERE lang <> 'en' GROUP BY source) p ON p.source = v.project"))
+@query("run_overrides", O.with_([O.BASE], "SELECT CASE WHEN v.project LIKE '%3' THEN v.project ELSE 'org/' || v.project END AS project, coalesce(p.sha, v.commit_sha) AS commit_sha, scanned_files FROM (SELECT project, commit_sha, count(*) AS scanned_files FROM vis GROUP BY ALL) v LEFT JOIN (SELECT source, CASE WHEN length(source) = 4 THEN md5('run' || source) END AS sha FROM documents GROUP BY source) p ON p.source = v.project"))
 def run_overrides(spark, sf):
-    runs = A.frame(spark, sf, "SELECT source AS project, concat('org/', source) AS ci_project, CASE WHEN length(source) = 4 THEN md5(concat('run', source)) ELSE '' END AS ci_commit_sha FROM documents WHERE lang <> 'en' GROUP BY source")
+    runs = A.frame(spark, sf, "SELECT source AS project, CASE WHEN source LIKE '%3' THEN '' ELSE concat('org/', source) END AS ci_project, CASE WHEN length(source) = 4 THEN md5(concat('run', source)) ELSE '' END AS ci_commit_sha FROM documents GROUP BY source")
     return measures.with_run_context(scan.scanned_files(files(spark, sf)), runs)
 
 
@@ -441,11 +442,10 @@ def proof_verification(spark, sf):
     return ledger.view(ledger.verified(drills(spark, sf))).select("id", "crypto_hash", "hash_ok", "hash_prefix")
 
 
-@query("project_upsert", f"WITH p AS (SELECT * FROM ({A.PROJECTS}) WHERE id < '8'), n AS (SELECT DISTINCT project_name AS name FROM ({A.ATTEMPTS})) SELECT id, name, repository_url, created_at FROM p UNION ALL SELECT sha256(name), name, NULL, TIMESTAMP '2024-06-01 00:00:00' FROM n WHERE name NOT IN (SELECT name FROM p)")
+@query("project_upsert", f"WITH p AS (SELECT * FROM ({A.PROJECTS})), n AS (SELECT DISTINCT CASE WHEN user_id % 3 = 0 THEN project_name || '-fork' ELSE project_name END AS name FROM ({A.ATTEMPTS})) SELECT id, name, repository_url, created_at FROM p UNION ALL SELECT sha256(name), name, NULL, TIMESTAMP '2024-06-01 00:00:00' FROM n WHERE name NOT IN (SELECT name FROM p)")
 def project_upsert(spark, sf):
-    known = projects(spark, sf).filter(F.col("id") < "8")
-    names = attempts(spark, sf).select(F.col("project_name").alias("name"))
-    return ledger.upsert_projects(known, names, GENERATED_AT)
+    fork = F.when(F.col("user_id") % 3 == 0, F.concat("project_name", F.lit("-fork"))).otherwise(F.col("project_name"))
+    return ledger.upsert_projects(projects(spark, sf), attempts(spark, sf).select(fork.alias("name")), GENERATED_AT)
 
 
 @query("usage_as_of", f"SELECT user_id, count(*) AS recent FROM ({A.ATTEMPTS}) WHERE created_at > TIMESTAMP '{O.AS_OF}' - INTERVAL 30 DAYS AND created_at <= TIMESTAMP '{O.AS_OF}' GROUP BY user_id")
@@ -542,6 +542,11 @@ def account_view(spark, sf):
     return accounts.account_view(users, A.frame(spark, sf, A.API_KEYS))
 
 
+@query("webhook_events", "SELECT 'evt_' || event_id AS event_id, event_type, CAST(user_id AS VARCHAR) AS user_id, 'cus_' || user_id AS customer_id, CAST(event_id % 5 AS BIGINT) AS attempt_count, date_trunc('second', ts) AS received_at FROM events")
+def webhook_events(spark, sf):
+    return parsed_events(A.frame(spark, sf, A.WEBHOOKS))
+
+
 def taken_in(spark, sf, known=None):
     return intake.proof_intake(
         A.frame(spark, sf, A.UPLOADS), A.frame(spark, sf, A.UPLOAD_KEYS),
