@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,13 +45,24 @@ def parsed_policy(content: Column) -> Column:
     return F.transform(pieces, entry)
 
 
+ROOT_YAML = r"^\.[^/]+\.ya?ml$"
+
+
+def may_be_policy(path: Column) -> Column:
+    """Hidden YAML files at the root of the tree: policies have such names."""
+    return path.rlike(ROOT_YAML)
+
+
 def policies(files: DataFrame, policy_file: str = POLICY_FILE) -> DataFrame:
     """One policy per scan, read from the file at the root of the tree only.
 
-    ``path`` is compared before the content is looked at. A scan without such a
+    ``path`` is compared before the content is looked at; of a landed table only the
+    part with such files is read. A scan without such a
     file has no row. Should a corpus hold the same root path twice for a scan,
     the greatest content wins, so that the result does not depend on the order.
     """
+    if "part" in files.columns and re.match(ROOT_YAML, policy_file):
+        files = files.filter(F.col("part") == "policy")
     entries = F.col("_entries")
 
     def items(key):

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dims as D
+from ..operators import policy
 from ..operators.policy import POLICY_FILE
 from ..operators.scan import kind_tests
 from ..schemas import FILES
@@ -114,10 +115,13 @@ def spread(table: DataFrame, *keys: str) -> DataFrame:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """A landed ``files`` table."""
-    return spread(spark.read.schema(FILES).parquet(path), "project", "path")
+    """A landed ``files`` table, with its ``part``."""
+    return spread(spark.read.schema(FILES + ", part string").parquet(path), "project", "path")
 
 
 def land_files(files: DataFrame, target: str) -> None:
-    """Append to a landed ``files`` table, which batch and stream scans read."""
-    files.write.mode("append").parquet(target)
+    """Append to a landed ``files`` table, which batch and stream scans read. Files that
+    can be policies lie in a part of their own, so that reading policies does not
+    read the corpus."""
+    files.withColumn("part", F.when(policy.may_be_policy(F.col("path")), "policy").otherwise("other")).write.mode(
+        "append").partitionBy("part").parquet(target)

@@ -36,7 +36,9 @@ def test_ingest_of_a_tree(spark, tmp_path):
     assert rows["w/model.PT"] is None and rows["README.md"] is None and rows[".aibom.yml"] == tree[".aibom.yml"]
     landed = str(tmp_path / "landed")
     file_source.land_files(files, landed)
-    report = scan_report(spark.read.schema(FILES).parquet(landed)).materialised()
+    stored = file_source.read_files(spark, landed)
+    assert "PartitionFilters: [isnotnull(part" in policy.policies(stored)._jdf.queryExecution().executedPlan().toString()
+    report = scan_report(stored).materialised()
     assert report.postures().first()["compliance_status"] == "Blocked by Policy"
     assert report.scans.first()["scanned_files"] == 9
     assert {(r["name"], r["location"]) for r in report.dependencies.collect()} == {
