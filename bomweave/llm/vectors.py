@@ -1,11 +1,12 @@
 """Near-duplicate vectors by product quantisation with an exact cosine rerank.
 
 Vectors are dealt to coarse lists by nearest centroid and stored as codes of their
-residual, one byte per subspace. Each vector probes the lists whose border it is close
-to; inside a list, a table of its products with all codewords gives approximate
-products by lookup. The known reconstruction error of a code bounds the true product
-from above, so no link inside a probed list is missed; what passes is reranked with
-the exact cosine in double precision.
+residual, one byte per subspace. Each vector probes the lists whose border is at most
+half the length of the longest link away: of two linked vectors in different lists, one
+is that close to the border between them, so every link is found. Inside a list, a
+table of products with all codewords gives approximate products by lookup. The known
+reconstruction error of a code bounds the true product from above, so no link is missed
+there either; what passes is reranked with the exact cosine in double precision.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ MAX_LISTS = 8_192
 FIT_ROWS = 16_384  # sample for centroids and codewords
 SUBSPACE = 8  # components coded by one byte
 CODEWORDS = 256
-BORDER = 0.1  # lists are probed up to this distance from their border; a link is found from either side
+SLACK = 1e-6  # added to the distance up to which lists are probed, for rounding
 BLOCK_ROWS = 1_024
 PAIRS_AT_ONCE = 1 << 16
 
@@ -65,32 +66,29 @@ class Codebooks:
         return Codebooks(centroids, np.stack(words))
 
     def encode(self, x: np.ndarray, border: float):
-        """List, codes, own product with the error, length of the error, and probed lists."""
-        near = (self.centroids ** 2).sum(1) - 2 * x @ self.centroids.T  # squared distance less a constant
+        """List, codes, own product with the error, length of the error, and the lists whose
+        border is at most ``border`` away."""
+        centroids = self.centroids.astype(np.float64)
+        squares = (centroids ** 2).sum(1)
+        near = squares - 2 * x @ centroids.T  # squared distance less a constant
         own = near.argmin(1)
+        gap = np.sqrt(np.maximum(squares[own][:, None] + squares - 2 * centroids[own] @ centroids.T, 1e-12))
+        beyond = (near - near[np.arange(len(x)), own][:, None]) / (2 * gap)
+        beyond[np.arange(len(x)), own] = 0
+        x = x.astype(np.float32)
         rest = x - self.centroids[own]
         codes = np.stack([_nearest(rest[:, m * SUBSPACE:(m + 1) * SUBSPACE], w) for m, w in enumerate(self.words)], 1)
         error = rest - self.decoded(codes)
-        gap = np.sqrt(np.maximum(((self.centroids[own][:, None] - self.centroids[None]) ** 2).sum(2), 1e-12)) if len(
-            self.centroids) <= 64 else self._gaps(own)
-        beyond = (near - near[np.arange(len(x)), own][:, None]) / (2 * gap)
-        beyond[np.arange(len(x)), own] = 0
         return own, codes.astype(np.uint8), (x * error).sum(1), np.sqrt((error ** 2).sum(1)), beyond <= border
 
-    def _gaps(self, own: np.ndarray) -> np.ndarray:
-        squares = (self.centroids ** 2).sum(1)
-        return np.sqrt(np.maximum(
-            squares[own][:, None] + squares[None] - 2 * self.centroids[own] @ self.centroids.T, 1e-12))
-
     def decoded(self, codes: np.ndarray) -> np.ndarray:
         return np.concatenate([self.words[m][codes[:, m]] for m in range(len(self.words))], 1)
 
     def products(self, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Products of each ``x`` with each coded residual, by table lookup."""
-        total = np.zeros((len(x), len(codes)), np.float32)
+        """Products of each coded residual (rows) with each ``x``, by lookup of whole table rows."""
+        total = np.zeros((len(codes), len(x)), np.float32)
         for m, words in enumerate(self.words):
-            table = x[:, m * SUBSPACE:(m + 1) * SUBSPACE] @ words.T
-            total += table[:, codes[:, m]]
+            total += (words @ x[:, m * SUBSPACE:(m + 1) * SUBSPACE].T)[codes[:, m]]
         return total
 
 
@@ -105,14 +103,17 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _linked(books: Codebooks, probing: dict, members: dict, home: int, least: float):
-    """Index pairs (prober, member) with cosine of at least ``least``."""
+    """Index pairs (prober, member) with cosine of at least ``least``. Where both probe each
+    other's list, the pair is left to the prober of the smaller list, or of the smaller id."""
     x = probing["x"].astype(np.float32)
     reach = np.float32(np.sqrt(max(0.0, 2 - 2 * least)))
     bound = books.products(x, members["codes"])
-    bound += (x @ books.centroids[home])[:, None]
-    bound += (members["own"] + reach * members["error"])[None]
-    a, b = np.nonzero(bound >= least - 1e-4)
-    keep = probing["id"][a] != members["id"][b]
+    bound += x @ books.centroids[home]
+    bound += (members["own"] + reach * members["error"])[:, None]
+    b, a = np.nonzero(bound >= least - 1e-4)
+    of = probing["home"][a]
+    back = members["probes"][b, of >> 3] >> (7 - (of & 7)) & 1
+    keep = np.where(of == home, probing["id"][a] < members["id"][b], (of < home) | (back == 0))
     a, b = a[keep], b[keep]
     for start in range(0, len(a), PAIRS_AT_ONCE):
         part = slice(start, start + PAIRS_AT_ONCE)
@@ -136,8 +137,7 @@ def _lowest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.9, id: str = "vec_id", vector: str = "embedding",
-                 list_rows: int = LIST_ROWS, border: float = BORDER, fit_rows: int = FIT_ROWS,
-                 block_rows: int = BLOCK_ROWS) -> DataFrame:
+                 list_rows: int = LIST_ROWS, fit_rows: int = FIT_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per id: (id, n_links, component_id, kept).
 
     Links are pairs with a cosine of at least ``least`` (over 0); ``n_links`` counts an id's
@@ -148,11 +148,16 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, id: str = "vec_id", vec
     without an id have none.
 
     Centroids and codewords are fitted on about ``fit_rows`` rows; every row is
-    indexed. A link is found if either side probes the other's list. Lists are cut
-    into blocks of about ``block_rows``, probing rows as well, so a crowded list
-    spreads over many tasks; a task returns counts and local components, not pairs.
+    indexed. How far lists are probed follows from ``least``, so no link is missed: the
+    lower it is and the less the vectors cluster, the more lists are probed, up to all
+    of them. Lists are cut into blocks of about ``block_rows``, probing rows as well, so a
+    crowded list spreads over many tasks; a task returns counts and local components, not
+    pairs.
     """
     spark = vectors.sparkSession
+    border = np.sqrt(max(0.0, 2 - 2 * least)) / 2 + SLACK
+    # components travel as wide as they came
+    kind = np.float32 if vectors.schema[vector].dataType.simpleString() == "array<float>" else np.float64
     named = vectors.filter(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.transform(
         F.col(vector), lambda v: v.cast("double")).alias("v"))
     usable = named.filter((F.size("v") > 0) & F.forall(
@@ -166,13 +171,16 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, id: str = "vec_id", vec
     width = -(-width // SUBSPACE) * SUBSPACE
 
     def matrix(column: pa.Array) -> np.ndarray:
-        x = np.zeros((len(column), width))
+        x = np.zeros((len(column), width), kind)
         for i, row in enumerate(column.to_pylist()):
             x[i, : len(row)] = row
-        return _unit(x) if len(x) else x
+        return x
+
+    def units(x: np.ndarray) -> np.ndarray:
+        return _unit(x.astype(np.float64)) if len(x) else x.astype(np.float64)
 
     sample = usable.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, fit_rows / n) * (1 << 30)))
-    fitted = matrix(sample.orderBy("id").toArrow().column("v").combine_chunks()) if n > 1 else np.eye(1, width)
+    fitted = units(matrix(sample.orderBy("id").toArrow().column("v").combine_chunks())) if n > 1 else np.eye(1, width)
     lists = min(MAX_LISTS, max(1, len(fitted) // 8), -(-n // list_rows))
     books = broadcast(spark, Codebooks.fit((fitted if len(fitted) else np.eye(1, width)).astype(np.float32), lists))
 
@@ -181,16 +189,17 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, id: str = "vec_id", vec
             for start in range(0, batch.num_rows, block_rows):
                 part = batch.slice(start, block_rows)
                 x = matrix(part.column("v"))
-                home, codes, own, error, probed = books.value.encode(x.astype(np.float32), border)
+                home, codes, own, error, probed = books.value.encode(units(x), border)
                 probes = [np.flatnonzero(p).astype(np.int32) for p in probed]
                 yield pa.RecordBatch.from_arrays([
                     part.column("id"), pa.array(home, pa.int32()), pa.array(probes, pa.list_(pa.int32())),
+                    pa.array([b.tobytes() for b in np.packbits(probed, 1)], pa.binary()),
                     pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([r.tobytes() for r in x], pa.binary()),
                     pa.array(own, pa.float32()), pa.array(error, pa.float32()),
-                ], names=["id", "home", "probes", "codes", "x", "own", "error"])
+                ], names=["id", "home", "probes", "probe_bits", "codes", "x", "own", "error"])
 
     index = materialise(usable.mapInArrow(
-        encode, "id long, home int, probes array<int>, codes binary, x binary, own float, error float"), "vector-index")
+        encode, "id long, home int, probes array<int>, probe_bits binary, codes binary, x binary, own float, error float"), "vector-index")
     # one row per list, at most MAX_LISTS
     sizes = index.select("home", F.explode("probes").alias("list")).groupBy("list").agg(
         F.ceil(F.count("list") / block_rows).cast("int").alias("parts"),
@@ -204,27 +213,24 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, id: str = "vec_id", vec
 
     probing = spread(index.select("id", "home", F.explode("probes").alias("list"), "x"), "part", "parts", "block", "blocks")
     stored = index.select(F.col("home").alias("list"), *[F.col(c).alias(c) for c in (
-        "id", "probes", "codes", "x", "own", "error")])
+        "id", "probe_bits", "codes", "x", "own", "error")])
     members = spread(stored, "block", "blocks", "part", "parts")
 
     def compare(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         home = key[0].as_py()
-        p = {"id": left.column("id").to_numpy(), "home": left.column("home").to_numpy(), "x": _rows(left.column("x"), np.float64, width)}
+        p = {"id": left.column("id").to_numpy(), "home": left.column("home").to_numpy(),
+             "x": units(_rows(left.column("x"), kind, width))}
         m = {"id": right.column("id").to_numpy(), "codes": _rows(right.column("codes"), np.uint8, width // SUBSPACE),
-             "x": _rows(right.column("x"), np.float64, width), "own": right.column("own").to_numpy(),
+             "probes": _rows(right.column("probe_bits"), np.uint8, -(-len(books.value.centroids) // 8)),
+             "x": units(_rows(right.column("x"), kind, width)), "own": right.column("own").to_numpy(),
              "error": right.column("error").to_numpy()}
-        probed = right.column("probes").to_pylist()
-        most = max(map(len, probed), default=0)
-        probed = np.array([q + [-1] * (most - len(q)) for q in probed], np.int32).reshape(len(probed), most)
         names, at = np.unique(np.concatenate([p["id"], m["id"]]), return_inverse=True)
         of_p, of_m = at[: len(p["id"])], at[len(p["id"]):]
         count = np.zeros(len(names), np.int64)
         pairs = []
         for a, b in _linked(books.value, p, m, home, least) if len(p["id"]) and len(m["id"]) else ():
             np.add.at(count, of_p[a], 1)
-            # the member counts the link here unless it finds it by a probe of its own
-            unseen = ~(probed[b] == p["home"][a][:, None]).any(1)
-            np.add.at(count, of_m[b[unseen]], 1)
+            np.add.at(count, of_m[b], 1)
             pairs.append((of_p[a], of_m[b]))
         a, b = (np.concatenate([np.zeros(0, np.int64), *(q[k] for q in pairs)]) for k in (0, 1))
         low = names[_lowest(len(names), a, b)]

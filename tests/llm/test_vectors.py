@@ -84,3 +84,14 @@ def test_few_and_none(spark):
     assert sorted(map(tuple, got)) == [(1, 0, 1, True), (2, 0, 2, True)]
     got = vectors.near_vectors(spark.createDataFrame([(2, [1.0, 0.1]), (1, [1.0, 0.0])], kind)).collect()
     assert sorted(map(tuple, got)) == [(1, 1, 1, True), (2, 1, 1, False)]
+
+
+def test_every_link_across_lists(spark):
+    """On a subspace of 4 dimensions many links cross the border between two lists."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(3000, 4)) @ rng.normal(size=(4, 24))
+    rows = [(i, [float(v) for v in row]) for i, row in enumerate(x.astype(np.float32))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_vectors(
+        df, list_rows=50).collect()}
+    assert got == plain(rows, 0.9)
