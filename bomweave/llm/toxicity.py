@@ -4,13 +4,16 @@ A logistic regression over the distinct words of a text and over word beginnings
 (inflected insults share their stem, so it also counts how many distinct words have
 it). Identity terms in labelled texts are swapped for others of their group, and the
 squared change of the logit is added to the loss, so that a group's mention alone
-moves no score.
+moves no score. All features that differ significantly between the labels compete for
+a place in the model; the driver holds the best of them only, and has these replaced
+from all the others as long as any feature explains what is left.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +27,7 @@ from .common import broadcast, by_slices, session_for_texts
 
 WORD = re.compile(r"[^\W\d_]+")
 TRAINING_ROWS = 8_000
-MAX_FEATURES = 256
+AT_ONCE = 256  # candidates the driver holds at a time; all others wait on the executors
 LEAST_DOCUMENTS = 3
 LEAST_GAIN = 4.0
 STEMS = (3, 4, 5, 6)  # lengths of word beginnings
@@ -65,7 +68,7 @@ def features_of(words: set[str]) -> set[int]:
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Weights of at most ``MAX_FEATURES`` features and of the identity terms, by hash."""
+    """Weights of the selected features and of the identity terms, by hash."""
 
     bias: float
     weights: dict[int, float]
@@ -92,31 +95,80 @@ class Swaps:
         return (words - terms) | {self.other(t, step) for t in terms} if terms else None
 
 
-def _candidates(found: DataFrame, n1: float, n0: float, always: list[int]) -> list[int]:
-    """Hashes of the features whose document frequency differs most between the labels,
-    and by more than chance alone would make it with so many features; and those of
-    ``always`` that occur. ``found`` has (_label, words)."""
+def _candidates(found: DataFrame, n1: float, n0: float, always: list[int], rows: np.ndarray) -> DataFrame:
+    """(h, at, swapped, always): features with the numbers of the rows whose words have them,
+    and of those whose swapped words do.
+
+    These are all features whose document frequency differs between the labels by more than
+    chance alone would make it with so many features, one of those in the very same rows,
+    and those of ``always`` that occur. ``found`` has (_row, _label, words, swapped),
+    ``rows`` its rows in the order they are numbered."""
+    spark = found.sparkSession
     counts = materialise(found.select("_label", F.explode("words").alias("h")).groupBy("h").agg(
         F.count("h").alias("both"), F.sum("_label").alias("d1")), "toxicity-counts")
     least = float(np.sqrt(2 * np.log(max(2, counts.count()))))
     share = F.col("both") / (n1 + n0)
     spread = F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
     z = F.abs(F.col("d1") / n1 - (F.col("both") - F.col("d1")) / n0) / spread
-    best = counts.filter((F.col("both") >= LEAST_DOCUMENTS) & (F.col("both") < n1 + n0)).withColumn("z", z).filter(
-        F.col("z") >= least).orderBy(F.desc("z"), "h").limit(MAX_FEATURES)
-    present = counts.filter(F.col("h").isin(always))
-    return sorted({r["h"] for r in best.select("h").collect()} | {r["h"] for r in present.select("h").collect()})
-
-
-def _incidence(rows: list[list[int]], features: np.ndarray) -> np.ndarray:
-    """0/1 matrix with a leading column of ones."""
-    x = np.zeros((len(rows), len(features) + 1), np.float64)
-    x[:, 0] = 1
-    for i, row in enumerate(rows):
-        x[i, 1 + np.searchsorted(features, np.array(row, np.int64))] = 1
+    differs = (F.col("both") >= LEAST_DOCUMENTS) & (F.col("both") < n1 + n0) & (z >= least)
+    passed = materialise(counts.select("h", F.col("h").isin(always).alias("always"), differs.alias("differs")).filter(
+        "always or differs").select("h", "always"), "toxicity-passed")
+    sorted_rows, number = np.sort(rows), np.argsort(rows).astype(np.int32)
+    shared = broadcast(spark, (sorted_rows, number))
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, numbers = shared.value
+        for batch in batches:
+            lists = [[np.sort(numbers[np.searchsorted(names, np.array(r, np.int64))]) for r in batch.column(c).to_pylist()]
+                     for c in ("at", "swapped")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("h"), batch.column("always"), *[pa.array(r, pa.list_(pa.int32())) for r in lists]],
+                names=["h", "always", "at", "swapped"])
+
+    both = found.select("_row", F.explode("words").alias("h"), F.lit(True).alias("plain")).unionByName(
+        found.select("_row", F.explode("swapped").alias("h"), F.lit(False).alias("plain")))
+    columns = both.join(passed, "h").groupBy("h", "always").agg(
+        F.collect_list(F.when(F.col("plain"), F.col("_row"))).alias("at"),
+        F.collect_list(F.when(~F.col("plain"), F.col("_row"))).alias("swapped"),
+    ).select("h", "always", "at", "swapped").mapInArrow(numbered, "h long, always boolean, at array<int>, swapped array<int>")
+    # identity terms stay, whatever else is in their rows
+    return materialise(columns.groupBy("at", F.when(F.col("always"), F.col("h")).alias("term")).agg(
+        F.min(F.struct("h", "swapped", "always")).alias("c")).select("c.h", "at", "c.swapped", "c.always"), "toxicity-candidates")
+
+
+def _best(candidates: DataFrame, y: np.ndarray, p: np.ndarray, taken: set[int]) -> tuple[pa.Table, float]:
+    """The ``AT_ONCE`` candidates that explain most of what the scores ``p`` leave of the
+    labels, by ``LEAST_GAIN`` at least, and the gain of the first one after them."""
+    shared = broadcast(candidates.sparkSession, (y - p, p * (1 - p), taken))
+
+    def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, spread, used = shared.value
+        for batch in batches:
+            gain = np.array([_gain(rest[r].sum(), spread[r].sum()) for r in (
+                np.array(r, np.int64) for r in batch.column("at").to_pylist())], np.float64)
+            good = [h not in used and g >= LEAST_GAIN for h, g in zip(batch.column("h").to_pylist(), gain)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("h", "at", "swapped")], pa.array(gain)], names=[
+                "h", "at", "swapped", "gain"]).filter(pa.array(good, pa.bool_()))
+
+    best = candidates.select("h", "at", "swapped").mapInArrow(
+        gains, "h long, at array<int>, swapped array<int>, gain double").orderBy(F.desc("gain"), "h").limit(AT_ONCE + 1).toArrow()
+    shared.destroy()
+    return best.slice(0, AT_ONCE), best.column("gain")[AT_ONCE].as_py() if best.num_rows > AT_ONCE else LEAST_GAIN
+
+
+def _incidence(n: int, columns: list[list[int]]) -> np.ndarray:
+    """0/1 matrix of ``n`` rows with a column for each list of row numbers."""
+    x = np.zeros((n, len(columns)), np.float64)
+    for k, rows in enumerate(columns):
+        x[rows, k] = 1
     return x
 
 
+def _gain(rest, spread):
+    """How far a column's residual differs from 0, in standard deviations."""
+    return np.abs(rest) / np.sqrt(0.25 + spread)
+
+
 def _newton(x: np.ndarray, y: np.ndarray, penalty: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weights that minimise log loss + quadratic penalty, and the fitted scores."""
     w = np.zeros(x.shape[1])
@@ -129,29 +181,56 @@ def _newton(x: np.ndarray, y: np.ndarray, penalty: np.ndarray) -> tuple[np.ndarr
     return w, 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
 
 
-def _fit(x: np.ndarray, y: np.ndarray, change: np.ndarray, strength: float, use: list[int]):
-    """Forward selection: as long as some word explains what is left of the labels,
-    take it in. Words that merely accompany others (copies) stay out. Returns the
-    columns taken and their weights; ``use`` are taken from the start."""
+def _fit(x: np.ndarray, y: np.ndarray, change: np.ndarray, strength: float, taken: int, least: float):
+    """Forward selection: as long as some word explains what is left of the labels by
+    ``least``, take it in. Words that merely accompany others (copies) stay out. Returns the
+    columns taken, their weights and the scores; the first ``taken`` are taken from the start."""
     squares = change.T @ change * strength
+    use = list(range(taken))
     while True:
         penalty = squares[np.ix_(use, use)] + np.diag([1e-9] + [RIDGE] * (len(use) - 1))
         w, p = _newton(x[:, use], y, penalty)
-        gain = np.abs(x.T @ (y - p)) / np.sqrt(0.25 + (x * x).T @ (p * (1 - p)))
+        gain = _gain(x.T @ (y - p), (x * x).T @ (p * (1 - p)))
         gain[use] = 0
         best = int(gain.argmax())
-        if gain[best] < LEAST_GAIN:
-            return use, w
+        if gain[best] < least:
+            return use, w, p
         use = [*use, best]
 
 
+def _select(candidates: DataFrame, y: np.ndarray, swappable: np.ndarray, strength: float):
+    """Bias, and weights by hash. The driver's candidates are replaced when none of them is
+    ahead of those left out, until no candidate at all explains what is left. ``swappable``
+    are the rows with an identity term."""
+    n = len(y)
+
+    def matrices(table: pa.Table):
+        x = _incidence(n, table.column("at").to_pylist())
+        return x, (x - _incidence(n, table.column("swapped").to_pylist()))[swappable]
+
+    start = candidates.filter("always").select("h", "at", "swapped").orderBy("h").toArrow()
+    names = start.column("h").to_pylist()
+    x, change = matrices(start)
+    x, change = np.hstack([np.ones((n, 1)), x]), np.hstack([np.zeros((len(change), 1)), change])
+    use, w, p = _fit(x, y, change, strength, x.shape[1], LEAST_GAIN)
+    while True:
+        best, after = _best(candidates, y, p, set(names))
+        more, moved = matrices(best)
+        x, change, taken = np.hstack([x, more]), np.hstack([change, moved]), x.shape[1]
+        use, w, p = _fit(x, y, change, strength, taken, max(LEAST_GAIN, after * (1 - 1e-9)))
+        x, change = x[:, use], change[:, use]
+        names += [best.column("h")[k - taken].as_py() for k in use[taken:]]
+        if len(use) == taken:
+            return float(w[0]), dict(zip(names, w[1:].tolist()))
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id: str = "doc_id", text: str = "text",
         label: str = "toxic", max_rows: int = TRAINING_ROWS, groups=IDENTITY_TERMS,
         strength: float = COUNTERFACTUAL) -> ToxicityModel:
     """Learn from the labelled documents.
 
     ``max_rows`` bounds the sample: where more rows carry a label, the hash of the
-    id admits about that many. ``learn`` restricts the labels (a condition on their
+    id admits about that many. Features are not bounded. ``learn`` restricts the labels (a condition on their
     columns). Rows without id or label are ignored; an id labelled more than once
     counts as toxic if any row says so. Without two classes the model is the share
     of toxic labels.
@@ -179,24 +258,18 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id: str
 
     # bounded by max_rows, so the texts stay where they are
     sample = docs.join(F.broadcast(usable), F.col(id) == F.col("_id")).select(
-        "_label", featurised(F.xxhash64("_id"), F.col(text)).alias("f"))
-    found = materialise(sample.select("_label", "f.words", "f.swapped"), "toxicity-sample")
+        "_label", F.xxhash64("_id").alias("_key"), featurised(F.xxhash64("_id"), F.col(text)).alias("f"))
+    found = materialise(sample.select("_label", "_key", "f.words", "f.swapped", F.monotonically_increasing_id().alias("_row")),
+                        "toxicity-sample")
     n, positive = found.agg(F.count("_label"), F.coalesce(F.sum("_label"), F.lit(0.0))).first()
     if positive in (0, n):
         rate = (positive + 0.5) / (n + 2)  # without labels nothing counts as toxic
         return ToxicityModel(float(np.log(rate / (1 - rate))), {})
     terms = [int(np.uint64(word_hash(t)).astype(np.int64)) for t in swaps.group]
-    features = _candidates(found, positive, n - positive, terms)
-    chosen = F.array(*[F.lit(h) for h in features]).cast("array<bigint>")
-    table = found.select("_label", *[F.array_intersect(c, chosen).alias(c) for c in ("words", "swapped")]).toArrow()
-    y = table.column("_label").to_numpy()
-    rows, swapped = (table.column(c).to_pylist() for c in ("words", "swapped"))
-    features = np.array(features, np.int64)
-    pairs = [(r, s) for r, s in zip(rows, swapped) if s is not None]
-    change = _incidence([r for r, _ in pairs], features) - _incidence([s for _, s in pairs], features)
-    start = [0, *(1 + np.flatnonzero(np.isin(features, terms)))]
-    use, w = _fit(_incidence(rows, features), y, change, strength, start)
-    return ToxicityModel(float(w[0]), {int(features[k - 1].view(np.uint64)): float(v) for k, v in zip(use[1:], w[1:])})
+    rows = found.select("_row", "_label", F.col("swapped").isNotNull().alias("swappable"), "_key").orderBy("_key", "_row").toArrow()
+    candidates = _candidates(found, positive, n - positive, terms, rows.column("_row").to_numpy())
+    bias, weights = _select(candidates, rows.column("_label").to_numpy(), rows.column("swappable").to_numpy(), strength)
+    return ToxicityModel(bias, {int(np.int64(h).view(np.uint64)): v for h, v in weights.items()})
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:

@@ -80,3 +80,17 @@ def test_sample_bound(frames):
     docs, labels, truth = frames
     model = toxicity.fit(docs, labels, max_rows=100)
     assert model.weights or model.bias < 0
+
+
+def test_rare_insult_beside_many_frequent_ones(spark):
+    """Sixty frequent insults, each with several word beginnings, leave a rare one its place."""
+    rng = random.Random(5)
+    insults = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(61)]
+    bad = [w for w in insults[1:] for _ in range(15)] + insults[:1] * 10
+    rows = [(i, " ".join(rng.choices(PLAIN, k=8)) + (f" {bad[i]}" if i < len(bad) else ""), int(i < len(bad)))
+            for i in range(3600)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert all(model.score(toxicity.words_of(f"the river {w}")) > 0.5 for w in insults)
+    assert model.score(toxicity.words_of("the river stone")) < 0.5
