@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, lines, mixing, near, repeats, token_counts, topk, toxicity, vectors
+from . import bpe, importance, language, lines, manifest, mixing, near, quality, repeats, token_counts, topk, toxicity, vectors
 from .common import fold_of, read, sha256_hex
 
 QUERIES: dict = {}
@@ -204,3 +204,126 @@ SELECT doc_id, source, CAST(unnest(range(copies)) AS INTEGER) AS mix_pass, n_tok
 @query
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), words=2, percent=80)
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    hit = fold_of(F.col("doc_id"), 2) == 0  # those rows lose their line feeds
+    fields = [F.replace(F.col(c), F.lit("\n"), F.lit("")) if c == "text" else F.col(c) for c in manifest.FIELDS]
+    made = manifest.manifest(docs, carry={"tampered": F.when(hit, manifest.leaf_of(fields))})
+    root = manifest.folded(F.coalesce("carried.tampered", "leaf"), F.col("proof"))
+    return made.select(
+        "doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("proof")).alias("proof_sha256"),
+        root.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+# unsigned CRC-32 of a text's UTF-8 bytes; ``tab`` is the table of all bytes
+_CRC_TABLE = ("SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: "
+              "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS tab")
+_CRC = ("xor(list_reduce(list_transform(range(strlen({x})), lambda i: CAST('0x' || substr(hex({x}), 2 * i + 1, 2) AS BIGINT)), "
+        "lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295)")
+
+
+def _merkle_leaf(text: str) -> str:
+    fields = [f"CAST({c} AS VARCHAR)" for c in ("doc_id", "source", "lang", "n_chars")] + [text]
+    return "sha256(concat(" + ", ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + "))"
+
+
+def _merkle_up(nodes: str) -> str:
+    """Digests one level up of a list of digests."""
+    return (f"list_transform(range(0, len({nodes}), 3), "
+            f"lambda i: sha256(array_to_string(list_slice({nodes}, i + 1, least(i + 3, len({nodes}))), '')))")
+
+
+SQL["op11_merkle_manifest"] = rf"""
+WITH RECURSIVE crc AS ({_CRC_TABLE}), leaves AS (
+  SELECT doc_id, coalesce('=' || source, '') AS key, {_merkle_leaf("text")} AS leaf,
+         CASE WHEN {_CRC.format(x="CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN {_merkle_leaf("replace(text, chr(10), '')")} END AS tampered
+  FROM documents, crc
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, leaf) - 1 AS rank FROM leaves
+), low AS (
+  SELECT key, 0 AS level, list(leaf ORDER BY rank) AS nodes FROM ranked GROUP BY key
+  UNION ALL
+  SELECT key, level + 1, {_merkle_up("nodes")} FROM low WHERE len(nodes) > 1
+), sources AS (
+  SELECT key, nodes[1] AS subroot, row_number() OVER (ORDER BY key) - 1 AS rank FROM low WHERE len(nodes) = 1
+), high AS (
+  SELECT 0 AS level, list(subroot ORDER BY rank) AS nodes FROM sources
+  UNION ALL
+  SELECT level + 1, {_merkle_up("nodes")} FROM high WHERE len(nodes) > 1
+), steps AS (
+  SELECT r.key, r.rank, r.doc_id, 0 AS tree, level, nodes, r.rank // CAST(pow(3, level) AS BIGINT) AS place
+  FROM ranked r JOIN low USING (key) WHERE len(nodes) > 1
+  UNION ALL
+  SELECT r.key, r.rank, r.doc_id, 1, level, nodes, s.rank // CAST(pow(3, level) AS BIGINT)
+  FROM ranked r JOIN sources s USING (key), high WHERE len(nodes) > 1
+), proofs AS (
+  SELECT key, rank,
+         list(array_to_string(list_slice(nodes, place // 3 * 3 + 1, place), '') || '|'
+              || array_to_string(list_slice(nodes, place + 2, least(place // 3 * 3 + 3, len(nodes))), '') ORDER BY tree, level) AS proof
+  FROM steps GROUP BY key, rank
+), found AS (
+  SELECT r.doc_id, r.leaf, s.subroot, (SELECT nodes[1] FROM high WHERE len(nodes) = 1) AS root,
+         coalesce(p.proof, []) AS proof, coalesce(r.tampered, r.leaf) AS given
+  FROM ranked r JOIN sources s USING (key) LEFT JOIN proofs p ON r.key = p.key AND r.rank = p.rank
+), folded AS (
+  SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(proof, ''), '|', '')) AS proof_sha256,
+         list_reduce(proof, lambda h, x: sha256(split_part(x, '|', 1) || h || split_part(x, '|', 2)), given) AS folded_root
+  FROM found
+)
+SELECT *, folded_root = root AS verified FROM folded
+"""
+
+
+IMPORTANCE_PERCENT = 10
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return importance.ranked(docs, read(spark, sf_dir, "benchmark"), percent=IMPORTANCE_PERCENT)
+
+
+SQL["op12_importance_resampling"] = rf"""
+WITH crc AS ({_CRC_TABLE}), spread AS (
+  SELECT doc_id, 1 AS mine, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM documents
+  UNION ALL
+  SELECT NULL, 0, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark
+), counted AS (
+  SELECT doc_id, mine, word, count(*) AS n FROM spread GROUP BY ALL
+), vocabulary AS (
+  SELECT word, {_CRC.format(x="word")} % 10000 AS bucket FROM (SELECT DISTINCT word FROM counted), crc
+), features AS (
+  SELECT doc_id, mine, bucket, n FROM counted JOIN vocabulary USING (word)
+), totals AS (
+  SELECT coalesce(sum(n) FILTER (WHERE mine = 1), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (WHERE mine = 0), 0)::DOUBLE AS t FROM features
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(sum(n) FILTER (WHERE mine = 0), 0) + 1) * (any_value(s) + 10000)
+                                      / ((coalesce(sum(n) FILTER (WHERE mine = 1), 0) + 1) * (any_value(t) + 10000)))) AS BIGINT) AS gain
+  FROM features, totals GROUP BY bucket
+), weights AS (
+  SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(floor(sum(n * gain) / sum(n)) AS BIGINT) AS weight
+  FROM features JOIN gains USING (bucket) WHERE mine = 1 GROUP BY doc_id
+), scored AS (
+  SELECT d.doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('{importance.SEED}:' || d.doc_id), 1, 8) AS BIGINT) + 0.5)::DOUBLE
+                                                         / 4294967296))) AS BIGINT) AS score
+  FROM documents d LEFT JOIN weights w ON d.doc_id = w.doc_id
+), drawn AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= {importance.LEAST_WORDS}
+  QUALIFY row_number() OVER (ORDER BY score DESC, doc_id) <= {IMPORTANCE_PERCENT} * count(*) OVER () // 100
+)
+SELECT s.doc_id, n_features, weight, score, rank FROM scored s LEFT JOIN drawn d ON s.doc_id = d.doc_id
+"""
+
+
+@query
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return quality.judged(docs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity",
+        "lowest", "highest")
