@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from collections import deque
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.storage import materialise
-from .skew import running, salted_join
+from .skew import running
 
 FREE_TIER = "free"
 QUOTA = 10
 WINDOW_DAYS = 30
-# Identity and order of an attempt inside the replay: ids may repeat.
-ATTEMPT = ["_user", "_row", "attempt_id", "created_at"]
-IN_ORDER = ["created_at", "attempt_id", "_row"]
 
 
 def usage_as_of(ledger: DataFrame, as_of, days: int = WINDOW_DAYS, user="user_id", time="created_at") -> DataFrame:
@@ -31,13 +32,12 @@ def usage_as_of(ledger: DataFrame, as_of, days: int = WINDOW_DAYS, user="user_id
     )
 
 
-def rolling_usage(ledger: DataFrame, days: int = WINDOW_DAYS, user="user_id", time="created_at",
-                  chunk: str = "day") -> DataFrame:
+def rolling_usage(ledger: DataFrame, days: int = WINDOW_DAYS, user="user_id", time="created_at") -> DataFrame:
     """``recent`` per (user, time): rows of the user in the window that ends there.
 
     Every row counts +1 when it enters and -1 ``days`` later, when it leaves; the
     rolling count is the running sum. Changes are pre-aggregated per instant, and
-    the running sum is cut at time chunks, so a hot user is not one task.
+    the running sum is cut at measured ranges, so a hot user is not one task.
     """
     enters = ledger.select(user, time, F.lit(1).alias("change"), F.lit(1).alias("attempts"))
     leaves = ledger.select(
@@ -48,7 +48,7 @@ def rolling_usage(ledger: DataFrame, days: int = WINDOW_DAYS, user="user_id", ti
         F.sum("change").alias("change"), F.sum("attempts").alias("attempts")
     )
     return (
-        running(changes, [user], time, [time], {"recent": (F.col("change"), "sum")}, chunk)
+        running(changes, [user], [time], {"recent": (F.col("change"), "sum")})
         .filter(F.col("attempts") > 0)
         .select(user, time, "attempts", "recent")
     )
@@ -61,93 +61,59 @@ def admit(attempts: DataFrame, days: int = WINDOW_DAYS, quota: int = QUOTA) -> D
     ``quota`` accepted attempts of the user lie in the last ``days``. Refused
     attempts do not count; accepted ones of any tier do. A missing tier is the free
     one, a missing user is a user of its own, ids may repeat, and a free attempt
-    without a time is refused.
-
-    The replay goes one quota window at a time, for all users at once. What is
-    accepted in one window of ``days`` cannot expire before the next one begins.
-    Inside a window the free tier therefore sees a capacity that is known up front:
-    the quota, less the rolling count of attempts of other tiers (always accepted,
-    see ``_capacity``), less the occupants of the previous window that have not
-    expired yet. An accepted attempt is then always among the first ``quota``
-    attempts, after one of the at most ``quota + 1`` expiry times, whose capacity
-    reaches some level. A top-k per (user, expiry, level), which Spark limits
-    map-side, finds these candidates; only they are replayed, a bounded number per
-    user. There is a round per window that has attempts.
-    """
-    table = materialise(attempts.withColumns({
-        "_user": F.coalesce(F.concat(F.lit("="), F.col("user_id").cast("string")), F.lit("")),
-        "_row": F.monotonically_increasing_id(),
-        "_free": F.coalesce(F.col("tier"), F.lit(FREE_TIER)) == FREE_TIER,
-    }), "attempts")
-    free = materialise(_capacity(table, days, quota), "quota-capacity")
-    seconds = days * 86_400
-    number = F.floor(F.unix_timestamp("created_at") / seconds)
-    windows = [r["w"] for r in free.select(number.alias("w")).distinct().orderBy("w").collect()]
-    chosen, held, before = free.select("_row").limit(0), None, None
-    for window in windows:
-        part = free.filter(number == window)
-        won = materialise(_window_round(
-            part, held if before == window - 1 else None, F.timestamp_seconds(F.lit(window * seconds)), days, quota), "quota-window")
-        chosen = chosen.unionByName(won.select("_row"))
-        held = won.select("_user", (F.col("created_at") + F.expr(f"INTERVAL {days} DAYS")).alias("opens"))
-        before = window
-    return (
-        table.join(chosen.withColumn("_won", F.lit(True)), "_row", "left")
-        .withColumn("accepted", ~F.col("_free") | F.coalesce("_won", F.lit(False)))
-        .select(*attempts.columns, "accepted")
-    )
+    without a time is refused. Attempts at the same time with the same id go by tier.
 
-
-def _capacity(attempts: DataFrame, days: int, quota: int) -> DataFrame:
-    """Free-tier attempts with ``cap``: quota less other-tier attempts in the window."""
-    timed = attempts.filter(F.col("created_at").isNotNull())
-    here = timed.select(
-        *ATTEMPT, F.col("_free").alias("free"), F.lit(1).alias("turn"), F.when(F.col("_free"), 0).otherwise(1).alias("change"),
-    )
-    leaves = timed.filter(~F.col("_free")).withColumn(
-        "created_at", F.col("created_at") + F.expr(f"INTERVAL {days} DAYS")).select(
-        *ATTEMPT, F.lit(False).alias("free"), F.lit(0).alias("turn"), F.lit(-1).alias("change"))
-    counted = running(
-        here.unionByName(leaves), ["_user"], "created_at", ["created_at", "turn", "attempt_id", "_row"],
-        {"used": (F.col("change"), "sum")},
-    )
-    return counted.filter("free").select(
-        *ATTEMPT, F.greatest(F.lit(0), F.lit(quota) - F.col("used")).cast("int").alias("cap")
-    ).filter(F.col("cap") > 0)
-
-
-def _window_round(part: DataFrame, held: DataFrame | None, start, days: int, quota: int) -> DataFrame:
-    """Accepted free-tier attempts of one window."""
-    kind = part.schema["created_at"].dataType
-    users = part.select("_user").distinct().withColumn("opens", start.cast(kind))
-    # At most quota + 1 openings per user: at once, and as occupants expire.
-    openings = users if held is None else users.unionByName(held)
-    per_user = openings.groupBy("_user").agg(F.sort_array(F.collect_set("opens")).alias("openings"))
-    # Without other tiers the capacity is always the full quota: one level does.
-    mixed = part.groupBy("_user").agg((F.min("cap") < quota).alias("mixed"))
-    rows = salted_join(part, per_user.join(mixed, "_user"), ["_user"], ["_row"], how="inner")
-    levels = F.when(F.col("mixed"), F.sequence(F.lit(1), F.col("cap"))).otherwise(F.array("cap"))
-    rows = rows.withColumn("opens", F.explode("openings")).filter(F.col("created_at") >= F.col("opens"))
-    rows = rows.withColumn("level", F.explode(levels))
-    first = Window.partitionBy("_user", "opens", "level").orderBy(*IN_ORDER)
-    candidates = (
-        rows.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= quota)
-        .select(*ATTEMPT, "cap").distinct().withColumn("opens", F.lit(None).cast(kind))
+    One shuffle by user and one sort; the sorted rows then stream through a fold whose state
+    is the last ``quota`` accepted times of one user. A user's decisions depend on each
+    other in order, so they are made by one task. It holds a batch of rows, sorts
+    with spilling, and steps over refused attempts by binary search. All columns of
+    ``attempts`` take part in the shuffle: pass ids and times, not documents.
+    """
+    columns = [c for c in attempts.columns if c != "accepted"]
+    rows = attempts.select(
+        F.struct(*columns).alias("row"),
+        F.coalesce(F.concat(F.lit("="), F.col("user_id").cast("string")), F.lit("")).alias("user"),
+        (F.coalesce(F.col("tier"), F.lit(FREE_TIER)) == FREE_TIER).alias("free"),
     )
-    if held is not None:
-        candidates = candidates.unionByName(held.select(
-            "_user", *[F.lit(None).cast(part.schema[c].dataType).alias(c) for c in (*ATTEMPT[1:], "cap")], "opens"))
-
-    def assign(group: pd.DataFrame) -> pd.DataFrame:
-        # At most quota occupants and (quota + 1) * quota * quota candidates.
-        occupied = list(group["opens"].dropna())
-        tries = group[group["_row"].notna()].sort_values(IN_ORDER, kind="stable")
-        won = []
-        for row in tries.itertuples(index=False, name=None):
-            cap, now = row[4], row[3]
-            if len(won) + sum(1 for t in occupied if t > now) < cap:
-                won.append(row[:4])
-        return pd.DataFrame(won, columns=ATTEMPT)
-
-    schema = T.StructType([part.schema[c] for c in ATTEMPT])
-    return candidates.groupBy("_user").applyInPandas(assign, schema)
+    in_order = rows.repartition("user").sortWithinPartitions(
+        "user", "row.created_at", "row.attempt_id", F.col("row.tier").asc_nulls_first())
+    window = days * 86_400_000_000
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, held = None, deque(maxlen=quota)
+        for batch in batches:
+            users, attempt = batch.column("user"), batch.column("row")
+            times = attempt.field(attempt.type.get_field_index("created_at")).cast(pa.int64())
+            timed = times.is_valid().to_numpy(zero_copy_only=False)
+            times, free = times.fill_null(0).to_numpy(), batch.column("free").to_numpy(zero_copy_only=False)
+            accepted = ~free
+            changes = pc.not_equal(users.slice(1), users.slice(0, len(users) - 1)).to_numpy(zero_copy_only=False)
+            bounds = [0, *(np.flatnonzero(changes) + 1).tolist(), len(users)]
+            for start, stop in zip(bounds[:-1], bounds[1:]):
+                if start < stop:
+                    if users[start].as_py() != user:
+                        user = users[start].as_py()
+                        held.clear()
+                    start += int((~timed[start:stop]).sum())  # those without a time come first
+                    accepted[start:stop] = _accepted(times[start:stop], free[start:stop], held, quota, window)
+            yield pa.RecordBatch.from_arrays([attempt, pa.array(accepted)], names=["row", "accepted"])
+
+    schema = T.StructType([rows.schema["row"], T.StructField("accepted", T.BooleanType())])
+    return in_order.select("row", "user", "free").mapInArrow(folded, schema).select(
+        *[F.col("row")[c].alias(c) for c in columns], "accepted")
+
+
+def _accepted(times: np.ndarray, free: np.ndarray, held: deque, quota: int, window: int) -> np.ndarray:
+    """Decisions for attempts of one user in order. ``held`` has the last ``quota``
+    accepted times before them, and after them on return."""
+    accepted, paid, i = ~free, np.flatnonzero(~free), 0
+    while i < len(times):
+        if not free[i] or len(held) < quota or quota and held[0] <= times[i] - window:
+            accepted[i] = True
+            held.append(times[i])
+            i += 1
+        else:  # refused until the oldest one leaves, or a tier without a quota comes
+            leaves = np.searchsorted(times, held[0] + window) if quota else len(times)
+            after = np.searchsorted(paid, i)
+            i = int(min(leaves, paid[after] if after < len(paid) else len(times)))
+    return accepted
