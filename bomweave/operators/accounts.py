@@ -2,7 +2,7 @@
 
 The account table changes with every event, in event order. Instead of replaying
 the events of an account in one task, the fold is expressed with aggregates and
-chunked running values (``skew.running``):
+running values in measured ranges (``skew.running``):
 
 * a checkout makes the account ``pro`` and names its customer;
 * the first cancellation of that customer after a checkout removes the account,
@@ -62,7 +62,7 @@ def key_requests(events: DataFrame) -> DataFrame:
     )
 
 
-def removals(events: DataFrame, chunk: str = "day") -> DataFrame:
+def removals(events: DataFrame) -> DataFrame:
     """``user_id, removed``: the step (time, event) of every effective removal.
 
     Looked up from the checkouts: the next cancellation of the customer removes
@@ -79,12 +79,10 @@ def removals(events: DataFrame, chunk: str = "day") -> DataFrame:
         )
     )
     ahead = running(
-        by_customer, ["customer_id"], "received_at", STEP, {"removed": (F.col("cancel"), "min")}, chunk,
-        exclusive=True, backward=True,
+        by_customer, ["customer_id"], STEP, {"removed": (F.col("cancel"), "min")}, exclusive=True, backward=True,
     ).filter(F.col("user_id").isNotNull()).select("user_id", *STEP, "removed")
     placed = running(
-        ahead, ["user_id"], "received_at", STEP, {"next_checkout": (step, "min")}, chunk,
-        exclusive=True, backward=True,
+        ahead, ["user_id"], STEP, {"next_checkout": (step, "min")}, exclusive=True, backward=True,
     )
     return placed.filter(
         F.col("removed").isNotNull()
@@ -92,11 +90,11 @@ def removals(events: DataFrame, chunk: str = "day") -> DataFrame:
     ).select("user_id", "removed")
 
 
-def account_state(events: DataFrame, chunk: str = "day") -> DataFrame:
+def account_state(events: DataFrame) -> DataFrame:
     """``api_keys`` after all (deduplicated) events: ``user_id, token_hash,
     subscription_tier, stripe_customer_id``."""
     step = F.struct(*STEP)
-    last_removed = removals(events, chunk).groupBy("user_id").agg(F.max("removed").alias("removed"))
+    last_removed = removals(events).groupBy("user_id").agg(F.max("removed").alias("removed"))
     actions = checkouts(events).withColumn("event_type", F.lit(CHECKOUT)).withColumn(
         "token_hash", F.lit(None).cast("string")
     ).unionByName(
@@ -122,7 +120,7 @@ def account_state(events: DataFrame, chunk: str = "day") -> DataFrame:
     )
 
 
-def key_outcomes(events: DataFrame, chunk: str = "day") -> DataFrame:
+def key_outcomes(events: DataFrame) -> DataFrame:
     """Outcome of every key request: ``issued``, ``conflict`` or ``rotated``.
 
     A generation conflicts when a key request came after the latest removal
@@ -130,7 +128,7 @@ def key_outcomes(events: DataFrame, chunk: str = "day") -> DataFrame:
     """
     step = F.struct(*STEP)
     requests = key_requests(events)
-    gone = removals(events, chunk)
+    gone = removals(events)
     step_type = gone.schema["removed"].dataType
     timeline = requests.select(
         "user_id", "event_type", *STEP, step.alias("asked"), F.lit(None).cast(step_type).alias("removed")
@@ -139,9 +137,8 @@ def key_outcomes(events: DataFrame, chunk: str = "day") -> DataFrame:
         F.lit(None).cast(step_type).alias("asked"), "removed",
     ))
     seen = running(
-        timeline, ["user_id"], "received_at", STEP,
-        {"last_asked": (F.col("asked"), "max"), "last_removed": (F.col("removed"), "max")},
-        chunk, exclusive=True,
+        timeline, ["user_id"], STEP,
+        {"last_asked": (F.col("asked"), "max"), "last_removed": (F.col("removed"), "max")}, exclusive=True,
     ).filter(F.col("event_type").isNotNull())
     has_key = F.col("last_asked").isNotNull() & (
         F.col("last_removed").isNull() | (F.col("last_asked") > F.col("last_removed"))

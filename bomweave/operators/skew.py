@@ -5,37 +5,56 @@ engine's needs without ever collecting such a group into one task:
 
 * ``salted_join``    - per-key facts joined to many rows of a hot key;
 * ``placed``         - positions in ordered groups, from which bounded pages are cut;
-* ``running``        - ordered running aggregates, cut at time chunks.
+* ``running``        - ordered running aggregates, cut at measured ranges.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.storage import materialise
 
-SALTS_SETTING = "bomweave.join.salts"
-DEFAULT_SALTS = 16
+CELLS = 4096  # of the sketch of key frequencies
+COPIES = 8  # sub-keys of a key for each task's worth of rows
 PAGE_BYTES = 8 << 20
 
 
-def salts_of(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get(SALTS_SETTING, str(DEFAULT_SALTS)))
+def key_salts(many: DataFrame, keys) -> dict[int, int]:
+    """Sub-keys by cell for the keys that hold much of ``many``.
+
+    A sketch counts rows per cell of the keys' hash: ``CELLS`` numbers, whatever the data.
+    A cell is hot when it holds more than half of what a task gets on average; its rows are then
+    dealt to as many sub-keys as its share asks for. All other cells are left out.
+    """
+    tasks = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = {r["cell"]: r["n"] for r in many.groupBy(_cell(keys).alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = sum(counts.values())
+    return {cell: math.ceil(COPIES * tasks * n / total) for cell, n in counts.items() if 2 * tasks * n > total and tasks > 1}
+
 
+def _cell(keys) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(CELLS)).cast("int")
 
-def salted_join(many: DataFrame, facts: DataFrame, keys, spread_by, how="left", salts=None) -> DataFrame:
+
+def salted_join(many: DataFrame, facts: DataFrame, keys, spread_by, how="left") -> DataFrame:
     """Join ``facts`` (at most a few rows per key) to ``many`` rows per key.
 
-    The many side is spread over ``salts`` sub-keys by a hash of ``spread_by``;
-    the facts are repeated once per salt. Nothing is broadcast by hand: if the
-    facts turn out small, adaptive execution switches to a broadcast by itself,
-    from measured sizes. The salt depends on the row's values only, so a
-    recomputed task puts the row in the same place.
+    Rows of measured hot keys (``key_salts``) are spread over sub-keys by a hash of
+    ``spread_by``, and their facts are repeated once per sub-key; all other facts are copied
+    once. Nothing is broadcast by hand: if the facts turn out small, adaptive execution
+    switches to a broadcast by itself, from measured sizes. The salt depends on the
+    row's values only, so a recomputed task puts the row in the same place. Only the keys
+    are read for the sketch.
     """
-    n = salts or salts_of(many)
-    salted = many.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(n)).cast("int"))
-    repeated = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    salts = key_salts(many, keys)
+    if not salts:
+        return many.join(facts, list(keys), how)
+    number = F.coalesce(F.create_map(*[F.lit(x) for pair in sorted(salts.items()) for x in pair])[_cell(keys)], F.lit(1))
+    salted = many.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), number).cast("int"))
+    repeated = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), number - 1)))
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
@@ -89,40 +108,41 @@ def numbered(df: DataFrame, keys, order, name: str = "position") -> DataFrame:
     return placed(df, keys, order, F.lit(1), name).withColumn(name, F.col(name) + 1)
 
 
-def running(df: DataFrame, keys, time, order, aggregates: dict[str, tuple[Column, str]],
-            chunk: str = "day", exclusive: bool = False, backward: bool = False) -> DataFrame:
+def running(df: DataFrame, keys, order, aggregates: dict[str, tuple[Column, str]], exclusive: bool = False,
+            backward: bool = False) -> DataFrame:
     """Running ``sum`` / ``max`` / ``min`` per key in ``order``, in two levels.
 
-    Rows are grouped in (key, time chunk). The chunk totals are aggregated
-    map-side and scanned per key: one row per chunk, bounded by the time span and
-    not by the data. Inside a chunk an ordinary running window completes the
-    value. A hot key is therefore spread over as many tasks as it has chunks.
+    Rows are range partitioned on key and order, by sampled boundaries: a key with most of
+    the rows, or an instant with most of a key's, is spread over as many tasks as its size
+    asks for. A part passes on its total; the totals before a part (one row per key and part)
+    complete the running value inside.
 
-    ``aggregates`` maps an output name to (column, function). ``order`` must start
-    with ``time``. With ``exclusive`` the current row is left out; ``backward``
-    runs from the end, so that values come from later rows.
+    ``aggregates`` maps an output name to (column, function). With ``exclusive`` the current
+    row is left out; ``backward`` runs from the end, so that values come from later rows.
     """
     combine = {"sum": F.sum, "max": F.max, "min": F.min}
 
     def ordered(columns):
         return [F.desc(c) for c in columns] if backward else [F.asc(c) for c in columns]
 
-    rows = df.withColumn("_chunk", F.date_trunc(chunk, F.col(time)))
-    totals = rows.groupBy(*keys, "_chunk").agg(
+    rows = materialise(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    totals = rows.groupBy(*keys, "_part").agg(
         *[combine[how](col).alias(f"_t_{name}") for name, (col, how) in aggregates.items()]
     )
-    before = Window.partitionBy(*keys).orderBy(*ordered(["_chunk"])).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy(*ordered(["_part"])).rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(
-        *keys, "_chunk",
-        *[combine[how](f"_t_{name}").over(before).alias(f"_c_{name}")
-          for name, (_, how) in aggregates.items()],
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_part").alias("_p"),
+        *[combine[how](f"_t_{name}").over(before).alias(f"_c_{name}") for name, (_, how) in aggregates.items()],
     )
     end = -1 if exclusive else Window.currentRow
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(*ordered(order)).rowsBetween(Window.unboundedPreceding, end)
+    inside = Window.partitionBy(*keys, "_part").orderBy(*ordered(order)).rowsBetween(Window.unboundedPreceding, end)
     local = rows.select("*", *[
         combine[how](col).over(inside).alias(f"_l_{name}") for name, (col, how) in aggregates.items()
     ])
-    joined = local.join(carried, [*keys, "_chunk"], "left")
+    same = F.col("_part") == F.col("_p")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    joined = local.join(carried, same, "left")
     for name, (_, how) in aggregates.items():
         carry, here = F.col(f"_c_{name}"), F.col(f"_l_{name}")
         value = {
@@ -131,4 +151,4 @@ def running(df: DataFrame, keys, time, order, aggregates: dict[str, tuple[Column
             "min": lambda: F.least(carry, here),
         }[how]()
         joined = joined.withColumn(name, value).drop(f"_c_{name}", f"_l_{name}")
-    return joined.drop("_chunk")
+    return joined.drop("_part", "_p", *[f"_k_{k}" for k in keys])

@@ -131,11 +131,10 @@ def test_account_fold(spark, seed):
     rnd.shuffle(delivered)
     table = accounts.intake(spark.createDataFrame(delivered, EVENT))
     assert table.count() == len(rows)
-    for chunk in ("day", "hour"):
-        got = {r["user_id"]: {"hash": r["token_hash"], "tier": r["subscription_tier"], "cust": r["stripe_customer_id"]}
-               for r in accounts.account_state(table, chunk).collect()}
-        assert got == want
-        assert {r["event_id"]: r["outcome"] for r in accounts.key_outcomes(table, chunk).collect()} == outcomes
+    got = {r["user_id"]: {"hash": r["token_hash"], "tier": r["subscription_tier"], "cust": r["stripe_customer_id"]}
+           for r in accounts.account_state(table).collect()}
+    assert got == want
+    assert {r["event_id"]: r["outcome"] for r in accounts.key_outcomes(table).collect()} == outcomes
 
 
 def test_key_reveal_rotate_and_tier_kept(spark):
