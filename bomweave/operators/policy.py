@@ -105,6 +105,14 @@ def misses_license_list(license: Column, allowed: Column) -> Column:
     return (F.size(allowed) > 0) & (value != "") & ~F.exists(allowed, lambda a: F.lower(a) == F.lower(value))
 
 
+def blocks() -> Column:
+    """Whether some rule blocks a dependency joined with its policy (all NULL without one)."""
+    name, version, ecosystem = F.col("name"), F.col("version"), F.col("ecosystem")
+    hit = (F.size(blocked_entries(name, version, F.col("blocked_models"))) > 0) | misses_model_list(
+        name, version, ecosystem, F.col("allowed_models")) | (F.col("block_on_high_risk") & (F.col("risk_level") == "High"))
+    return F.coalesce(hit, F.lit(False))
+
+
 def violation_array(policy_file: str = POLICY_FILE) -> Column:
     """All violations of one dependency row joined with its policy, in rule order."""
     name, version, ecosystem = F.col("name"), F.col("version"), F.col("ecosystem")

@@ -17,6 +17,7 @@ from bomweave.operators.skew import numbered, salted_join
 from bomweave.plans import documents, intake
 from bomweave.sources.events import parsed_events
 from bomweave.plans.scan_report import Branding, scan_report
+from bomweave.plans.scan_report import posture as posture_plan
 
 from . import adapters as A
 from . import oracles as O
@@ -185,6 +186,11 @@ def significant_lines(spark, sf):
 
 @query("scan_posture", O.report("SELECT project, commit_sha, scanned_files, compliance_status FROM stats"))
 def scan_posture(spark, sf):
+    return posture_plan(files(spark, sf), branding=BRANDING)
+
+
+@query("report_postures", O.report("SELECT project, commit_sha, scanned_files, compliance_status FROM stats"))
+def report_postures(spark, sf):
     return report(spark, sf).postures().select(*KEYS, "scanned_files", "compliance_status")
 
 
