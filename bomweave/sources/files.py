@@ -2,7 +2,7 @@
 
 Spark's file sources skip names that start with a dot or an underscore, and these
 must be seen (``.env``, the policy file). So the paths are listed by tasks and
-read by tasks: one row per tree comes in, listings are spread by path, and only
+read by tasks: one row per tree comes in, folders are listed level by level, and only
 files that some detector looks into are opened. Weight files never are.
 """
 
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dims as D
+from ..functions.storage import materialise
 from ..operators import policy
 from ..operators.policy import POLICY_FILE
 from ..operators.scan import kind_tests
@@ -28,33 +29,24 @@ def _hidden(name: str) -> bool:
     return name.startswith(".") and name not in (".", "..")
 
 
-def _top_level(batches):
-    for batch in batches:
-        for tree in batch.itertuples(index=False):
-            with os.scandir(tree.root) as entries:
-                rows = [
-                    (tree.project, tree.commit_sha, tree.root, e.name, e.is_dir(follow_symlinks=False))
-                    for e in entries
-                ]
-            yield _frame([r for r in rows if not (r[4] and _hidden(r[3]))])
-
-
-def _below(batches):
+def _level(batches):
+    """The entries of folders, without hidden folders; a linked folder counts as a file."""
     for batch in batches:
         rows = []
         for item in batch.itertuples(index=False):
-            if not item.is_dir:
-                rows.append(tuple(item))
-                continue
-            for folder, subfolders, names in os.walk(os.path.join(item.root, item.path)):
-                links = [d for d in subfolders if os.path.islink(os.path.join(folder, d))]
-                subfolders[:] = [d for d in subfolders if not _hidden(d) and d not in links]
-                for name in names + links:
-                    path = os.path.relpath(os.path.join(folder, name), item.root).replace(os.sep, "/")
-                    rows.append((item.project, item.commit_sha, item.root, path, False))
-                    if len(rows) >= 10_000:
-                        yield _frame(rows)
-                        rows = []
+            try:
+                with os.scandir(os.path.join(item.root, item.path)) as entries:
+                    for e in entries:
+                        is_dir = e.is_dir(follow_symlinks=False)
+                        if not (is_dir and _hidden(e.name)):
+                            path = f"{item.path}/{e.name}" if item.path else e.name
+                            rows.append((item.project, item.commit_sha, item.root, path, is_dir))
+                        if len(rows) >= 10_000:
+                            yield _frame(rows)
+                            rows = []
+            except OSError:
+                if not item.path:  # a folder below that can't be read is left out, a root must be readable
+                    raise
         yield _frame(rows)
 
 
@@ -81,11 +73,31 @@ def _read(path: str) -> str:
         return ""
 
 
+def _tasks(df: DataFrame) -> int:
+    """Listing and reading take time by the file, not by the byte: a fixed number of tasks, which
+    adaptive execution does not merge."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def list_trees(trees: DataFrame) -> DataFrame:
-    """Paths below each tree, hidden directories left out. The first level is
-    listed per tree, the rest per first-level entry, so one huge tree is shared."""
-    top = trees.mapInPandas(_top_level, LISTING)
-    return top.repartition("project", "path").mapInPandas(_below, LISTING).drop("is_dir")
+    """Paths below each tree, hidden directories left out.
+
+    One level a round: the folders found are dealt to all tasks again, so a deep or crowded
+    folder is shared however the tree is shaped. Each round is a written table; a lost
+    executor repeats its part of one round. There are as many rounds as the deepest tree has levels.
+    """
+    tasks, rounds = _tasks(trees), []
+    frontier = trees.select("project", "commit_sha", "root", F.lit("").alias("path"))
+    while True:
+        level = materialise(frontier.repartition(tasks, "root", "path").mapInPandas(_level, LISTING), "listing")
+        rounds.append(level.filter("not is_dir"))
+        frontier = level.filter("is_dir").drop("is_dir")
+        if frontier.isEmpty():
+            break
+    found = rounds[0]
+    for level in rounds[1:]:
+        found = found.unionByName(level)
+    return found.drop("is_dir")
 
 
 def read_trees(trees: DataFrame, dims: D.Dictionaries = D.DEFAULT, policy_file: str = POLICY_FILE) -> DataFrame:
@@ -97,7 +109,7 @@ def read_trees(trees: DataFrame, dims: D.Dictionaries = D.DEFAULT, policy_file:
         if kind != "weights":
             wanted = wanted | test
     listed = list_trees(trees).withColumn("wanted", wanted)
-    return listed.repartition("project", "commit_sha", "path").mapInPandas(
+    return listed.repartition(_tasks(trees), "project", "commit_sha", "path").mapInPandas(
         _contents, "project string, commit_sha string, path string, content string"
     )
 
