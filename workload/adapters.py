@@ -119,7 +119,7 @@ SELECT DISTINCT concat('proj', cast(l_orderkey % 500 AS string)) AS project,
  CASE WHEN l_orderkey % 500 % 5 = 1 THEN 'GPT-4-turbo' ELSE '' END AS blocked_too,
  l_orderkey % 500 % 5 = 3 AS block_on_high_risk, l_orderkey % 500 % 5 = 4 AS require_licenses,
  CASE WHEN l_orderkey % 500 % 5 = 4 THEN 'mit' ELSE '' END AS allowed_license
-FROM lineitem WHERE l_orderkey % 500 % 5 > 0
+FROM lineitem
 """
 
 REGISTRY = """

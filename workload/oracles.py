@@ -202,7 +202,7 @@ def violation_rules(deps: str, pol: str, keys: str, policy_file: str = ".aibom.y
     d = f"(SELECT *, lower(name) AS ln, lower(version) AS lv, coalesce(license, '') AS lc FROM {deps}) d JOIN {pol} p USING ({keys})"
     model = "(name = 'Hardcoded Model' OR starts_with(ecosystem, 'Model Weight'))"
     return f"""SELECT d.*, 0 AS rule_no, 'blocked_model' AS rule, 'Blocker' AS severity, concat('Model ''', version, ''' is explicitly blocked by {policy_file} policy') AS vdesc, b.i AS vno
-  FROM {d}, (SELECT unnest([0,1,2,3,4,5,6,7,8,9]) AS i) b WHERE b.i < len(blocked_models) AND (contains(ln, lower(blocked_models[b.i + 1])) OR contains(lv, lower(blocked_models[b.i + 1])))
+  FROM {d}, (SELECT unnest(range(len(blocked_models))) AS i) b WHERE (contains(ln, lower(blocked_models[b.i + 1])) OR contains(lv, lower(blocked_models[b.i + 1])))
 UNION ALL SELECT d.*, 1, 'allowed_model_violation', 'Blocker', concat('Model ''', version, ''' is not in the approved model allowlist defined in {policy_file}'), 100
   FROM {d} WHERE len(allowed_models) > 0 AND {model} AND NOT EXISTS (SELECT 1 FROM (SELECT unnest(allowed_models) AS a) WHERE contains(lv, lower(a)) OR contains(ln, lower(a)))
 UNION ALL SELECT d.*, 2, 'high_risk_blocked', 'Blocker', concat('High-risk dependency ''', name, ''' blocked by policy (block_on_high_risk: true)'), 200
