@@ -66,11 +66,14 @@ def canonical_json(bom: Column) -> Column:
 
 @dataclass(frozen=True)
 class Intake:
-    """Result of an intake: new ledger rows, projects and the refused uploads."""
+    """Result of an intake: new ledger rows, projects, those of them that are new, the
+    refused uploads, and the decision on every upload with a known key."""
 
     drills: DataFrame
     projects: DataFrame
+    new_projects: DataFrame
     refused: DataFrame
+    decided: DataFrame
 
 
 def proof_intake(
@@ -85,6 +88,10 @@ def proof_intake(
     ``earlier`` holds ledger rows before these uploads (``user_id, created_at``,
     the id in ``upload_id``); they occupy quota but are not written again. Within
     a batch the quota is applied in event order, so it is exact.
+
+    Refused bodies are left behind at the scan: the decisions are a written table, which Spark
+    broadcasts where it is small, and where it is not, its Bloom filter join drops rows ahead
+    of the shuffle (``spark.sql.optimizer.runtime.bloomFilter.enabled``, on by default).
     """
     light = uploads.select("upload_id", "api_key", "created_at")
     tries = accounts.resolved_keys(light, api_keys).select(
@@ -118,4 +125,4 @@ def proof_intake(
         ids.project_id(F.col("name")).alias("id"), "name",
         F.lit(None).cast("string").alias("repository_url"), "created_at",
     )
-    return Intake(drills, projects.unionByName(fresh), decided.filter(~F.col("accepted")).drop("accepted"))
+    return Intake(drills, projects.unionByName(fresh), fresh, decided.filter(~F.col("accepted")).drop("accepted"), decided)

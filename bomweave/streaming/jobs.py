@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import dims as D
-from ..operators import accounts, scan
+from ..operators import scan
 from ..operators.quota import FREE_TIER, QUOTA, WINDOW_DAYS
 from ..schemas import FILES
 
@@ -24,15 +24,6 @@ def stream_findings(spark: SparkSession, landed_files: str, dims: D.Dictionaries
     return scan.findings(spark.readStream.schema(FILES).parquet(landed_files), dims)
 
 
-def stream_intake(events: DataFrame, horizon: str = "7 days") -> DataFrame:
-    """First delivery of every event within the horizon, which bounds the state.
-
-    A replay after the horizon is admitted again and an event older than it is
-    dropped as late; the batch ``accounts.intake`` has no such limit.
-    """
-    return events.withWatermark("received_at", horizon).dropDuplicatesWithinWatermark(["event_id"])
-
-
 class QuotaProcessor(StatefulProcessor):
     """Keeps the newest accepted timestamps of a user; decides in arrival order,
     and by (created_at, attempt_id) inside a micro-batch."""
@@ -49,7 +40,9 @@ class QuotaProcessor(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         times = list(self.accepted.get()[0]) if self.accepted.exists() else []
         times = [pd.Timestamp(t) for t in times]
-        batch = pd.concat(list(rows)).sort_values(["created_at", "attempt_id"], kind="stable")
+        # light columns of one user's part of a micro-batch: bound it with the source's trigger options
+        batch = pd.concat([part[["user_id", "attempt_id", "tier", "created_at"]] for part in rows]).sort_values(
+            ["created_at", "attempt_id"], kind="stable")
         decisions = []
         for tier, now in zip(batch["tier"], batch["created_at"]):
             times = [t for t in times if t > now - self.window]
@@ -74,43 +67,3 @@ def stream_admissions(attempts: DataFrame, days: int = WINDOW_DAYS, quota: int =
         statefulProcessor=QuotaProcessor(days, quota), outputStructType=schema,
         outputMode="append", timeMode="none",
     )
-
-
-ACCOUNT_EVENT = (
-    "event_id string, event_type string, user_id bigint, customer_id string, attempt_count bigint, "
-    "received_at timestamp, token_hash string"
-)
-
-
-def compacted(state: DataFrame) -> DataFrame:
-    """Account state as the (at most two) events that would produce it."""
-    long_ago = F.timestamp_seconds(F.lit(0))
-
-    def event(kind, tag, token):
-        return (
-            F.concat(F.lit(tag), F.col("user_id").cast("string")).alias("event_id"), F.lit(kind).alias("event_type"),
-            "user_id", F.col("stripe_customer_id").alias("customer_id"),
-            F.lit(None).cast("bigint").alias("attempt_count"), long_ago.alias("received_at"),
-            token.alias("token_hash"),
-        )
-
-    paid = state.filter(F.col("subscription_tier") == accounts.PRO)
-    keyed = state.filter(F.col("token_hash").isNotNull() | (F.col("subscription_tier") != accounts.PRO))
-    return paid.select(*event(accounts.CHECKOUT, "0:", F.lit(None).cast("string"))).unionByName(
-        keyed.select(*event(accounts.KEY_ROTATE, "1:", F.col("token_hash"))))
-
-
-def account_writer(spark: SparkSession, target: str):
-    """``foreachBatch`` function that keeps account snapshots below ``target``.
-
-    Snapshot n+1 is the fold of snapshot n and the new events. Snapshots are
-    named by batch, so a batch that runs again after a failure overwrites its own
-    result from the same input.
-    """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        events = accounts.intake(batch)
-        if batch_id > 0:
-            events = compacted(spark.read.parquet(f"{target}/snapshot={batch_id - 1}")).unionByName(events)
-        accounts.account_state(events).write.mode("overwrite").parquet(f"{target}/snapshot={batch_id}")
-
-    return write
