@@ -74,6 +74,15 @@ def proofs(requests: DataFrame, drills: DataFrame, per_tenant: bool = True) -> D
     return drills.select("crypto_hash", "user_id", "annex_iv_markdown").join(wanted, keys, "left_semi")
 
 
+def proof(drills: DataFrame, crypto_hash: str, user_id: str | None = None) -> DataFrame:
+    """The document of one hash (of one tenant). The hash is a constant, so on a stored ledger
+    the statistics of its files are compared with it before any of them is read."""
+    found = drills.filter(F.col("crypto_hash") == crypto_hash)
+    if user_id is not None:
+        found = found.filter(F.col("user_id") == user_id)
+    return found.select("crypto_hash", "user_id", "annex_iv_markdown")
+
+
 def verified(drills: DataFrame) -> DataFrame:
     """Recompute every proof hash (an addition: the ledger implies this check)."""
     expected = ids.proof_hash(F.col("commit_sha"), F.col("ai_bom_json"))

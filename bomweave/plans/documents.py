@@ -105,11 +105,12 @@ def bom_json(report: ScanReport, indent: bool = False, page_bytes: int = PAGE_BY
 
 
 def dependencies_of_pages(documents: DataFrame, column: str = "bom_json") -> DataFrame:
-    """Dependencies of compact BOM documents, page by page: ``project, commit_sha, page,
-    position`` and the fields. A dependency is the only object of strings that starts with
+    """Dependencies of BOM documents, compact or indented, page by page: ``project, commit_sha,
+    page, position`` and the fields. A dependency is the only object of strings that starts with
     a name, and pages never cut one, so no document has to be put together."""
     text = r'"(?:[^"\\]|\\.)*+"'
-    objects = F.regexp_extract_all(F.col(column), F.lit(r'\{"name":' + text + r'(?:,"[a-zA-Z]++":' + text + r")*+\}"), 0)
+    more = r'(?:\s*+,\s*+"[a-zA-Z]++":\s*+' + text + r")*+"
+    objects = F.regexp_extract_all(F.col(column), F.lit(r'\{\s*+"name":\s*+' + text + more + r"\s*+\}"), 0)
     return documents.select(*KEYS, "page", F.posexplode(objects).alias("position", "_json")).select(
         *KEYS, "page", "position", F.from_json("_json", DEPENDENCY_JSON).alias("d")).select(
         *KEYS, "page", "position", "d.name", "d.version", "d.ecosystem", F.col("d.riskLevel").alias("risk_level"),

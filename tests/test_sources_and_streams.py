@@ -7,10 +7,10 @@ import random
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from bomweave.operators import accounts, policy, scan
+from bomweave.operators import accounts, ledger, policy, scan
 from bomweave.plans import documents
 from bomweave.plans.scan_report import scan_report
-from bomweave.schemas import FILES
+from bomweave.schemas import FILES, PROOF_DRILLS
 from bomweave.sources import files as file_source
 from bomweave.sources import ledger as ledger_files
 from bomweave.streaming import account_stream, commit_stream, jobs, proof_stream, seen, store
@@ -49,6 +49,19 @@ def test_ingest_of_a_tree(spark, tmp_path):
     ledger_files.write_documents(documents.bom_json(report), "bom_json", target)
     stored = spark.read.json(target).first()
     assert stored["project"] == "p" and json.loads(stored["bom_json"])["scannedFiles"] == 9
+    bom = ledger_files.read_boms(spark, target, "bom_json").first()["bom"]
+    assert bom["scannedFiles"] == 9 and len(bom["dependencies"]) == 7
+    wanted = sorted((r["name"], r["version"], r["location"]) for r in report.dependencies.collect())
+    for indent in (False, True):  # both sinks, both forms
+        target = str(tmp_path / f"boms-{indent}")
+        ledger_files.write_documents(documents.bom_json(report, indent=indent), "bom_json", target)
+        back = documents.dependencies_of_pages(ledger_files.read_documents(spark, target, "bom_json"))
+        assert sorted((r["name"], r["version"], r["location"]) for r in back.collect()) == wanted
+        assert len(ledger_files.read_boms(spark, target, "bom_json").first()["bom"]["dependencies"]) == 7
+    target = str(tmp_path / "cyclonedx")
+    ledger_files.write_documents(documents.cyclonedx_json(report, F.lit(START)), "cyclonedx_json", target)
+    (page,) = ledger_files.read_documents(spark, target, "cyclonedx_json").collect()
+    assert len(json.loads(page["cyclonedx_json"])["components"]) == 7
 
 
 def test_deep_folder_is_listed_by_many_tasks(spark, tmp_path, monkeypatch):
@@ -221,5 +234,24 @@ def test_stream_of_proofs(spark, tmp_path):
     assert sorted(map(str, proofs.projects().drop(*drop).collect())) == sorted(map(str, whole.projects.drop(*drop).collect()))
 
 
+def test_ledger_files_follow_size_and_hash(spark, tmp_path):
+    rows = [(str(i), "p", "u", f"c{i}", "{}", None, "# " + "x" * 2000, sha(str(i)), START + dt.timedelta(days=i % 10 // 9))
+            for i in range(400)]
+    target = str(tmp_path / "ledger")
+    ledger_files.append_drills(spark.createDataFrame(rows, PROOF_DRILLS), target, file_bytes=1 << 17)
+    stored = ledger_files.read_drills(spark, target)
+    assert sorted(r["id"] for r in stored.collect()) == sorted(r[0] for r in rows)
+    files = stored.groupBy("created_date", F.input_file_name().alias("f")).agg(
+        F.count("*").alias("n"), F.min("crypto_hash").alias("lo"), F.max("crypto_hash").alias("hi")).collect()
+    first = sorted((r["lo"], r["hi"]) for r in files if r["created_date"] == START.date())
+    assert len(first) >= 3 and len([r for r in files if r["created_date"] != START.date()]) == 1
+    found = ledger.proof(stored, sha("7"), "u")
+    assert [r["annex_iv_markdown"][:2] for r in found.collect()] == ["# "]
+    assert "EqualTo(crypto_hash" in found._jdf.queryExecution().executedPlan().toString()
+    for path in {r["f"] for r in files}:  # row groups are in order of the hash
+        hashes = [r["crypto_hash"] for r in spark.read.parquet(path).collect()]
+        assert hashes == sorted(hashes)
+
+
 def test_policy_needs_the_root_file(corpus):
     assert policy.policies(corpus({"a/.aibom.yml": "block_on_high_risk: true"})).count() == 0

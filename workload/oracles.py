@@ -422,3 +422,19 @@ k AS (SELECT *, coalesce(nullif(b->>'$.commitSha', ''), 'local-dev-uncommitted')
 DRILLS_SELECT = "SELECT sha256(cast(upload_id AS string)) AS id, sha256(coalesce(b->>'$.projectName', '')) AS project_id, cast(user_id AS string) AS user_id, commit AS commit_sha, doc AS ai_bom_json, sha256(commit || doc) AS crypto_hash, created_at FROM k"
 REFUSED_SELECT = "SELECT a.upload_id, a.user_id, a.tier, a.created_at FROM a JOIN r USING (upload_id) WHERE NOT accepted"
 NEW_PROJECTS_SELECT = "SELECT sha256(name) AS id, name, created_at FROM (SELECT coalesce(b->>'$.projectName', '') AS name, min(created_at) AS created_at FROM k GROUP BY 1)"
+
+
+def drills_with_markdown() -> str:
+    """The ledger rows with their documents, which are written by ``annex_select`` for scans whose
+    project is marked with the upload."""
+    mark = "chr(31) || upload_id || chr(31)"
+    scans = f"""stats AS (SELECT coalesce(b->>'$.projectName', '') || {mark} AS project, coalesce(b->>'$.commitSha', '') AS commit_sha, coalesce(CAST(b->>'$.scannedFiles' AS BIGINT), 0) AS scanned_files,
+  CASE WHEN (b->'$.dependencies') IS NULL THEN 0 ELSE 1 END AS components, 0 AS licensed, CASE WHEN (b->'$.dependencies') IS NULL THEN 0 ELSE 1 END AS unl,
+  CASE WHEN (b->'$.dependencies') IS NULL THEN 0 ELSE 1 END AS register_rows, 0 AS secrets, 0 AS cost_findings, 0 AS blockers, 0 AS warnings, coalesce(b->>'$.complianceStatus', '') AS compliance_status FROM k),
+deps AS (SELECT coalesce(b->>'$.projectName', '') || {mark} AS project, coalesce(b->>'$.commitSha', '') AS commit_sha, b->>'$.dependencies[0].name' AS name, '' AS version, '' AS ecosystem, 'High' AS risk_level,
+  'a <b> & c' AS description, '' AS location, CAST(NULL AS VARCHAR) AS license, [''] AS pk, 0 AS detector, 0 AS line_no, 0 AS seq FROM k WHERE (b->'$.dependencies') IS NOT NULL),
+fins AS (SELECT project, commit_sha, name AS resource, description, risk_level AS severity, pk, detector, line_no, seq FROM deps WHERE false),
+vios AS (SELECT project, commit_sha, risk_level AS severity, name AS rule, description AS vdesc, location, pk, detector, line_no, seq, 0 AS vno FROM deps WHERE false)"""
+    rows = DRILLS_SELECT.replace("created_at FROM k", f"created_at, coalesce(b->>'$.projectName', '') || {mark} AS marked, {mark} AS mark FROM k")
+    return uploads_sql(f"""SELECT d.* EXCLUDE (marked, mark), replace(replace(m.markdown, mark, ''), '{STAMP}', strftime(created_at, '%Y-%m-%dT%H:%M:%SZ')) AS annex_iv_markdown
+FROM ({rows}) d JOIN (WITH {scans} {annex_select()}) m ON m.project = d.marked""")

@@ -6,15 +6,18 @@ whole tables and whole texts.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bomweave.functions import ids
 from bomweave.operators import accounts, enrich, ledger, measures, policy, quota, scan
-from bomweave.functions.storage import materialise
+from bomweave.functions.storage import materialise, shared_folder
 from bomweave.operators.assembly import document_hashes
 from bomweave.operators.skew import numbered, salted_join
 from bomweave.plans import documents, intake
+from bomweave.sources import ledger as ledger_files
 from bomweave.sources.events import parsed_events
 from bomweave.plans.scan_report import Branding, scan_report
 from bomweave.plans.scan_report import posture as posture_plan
@@ -443,6 +446,15 @@ def proof_lookup(spark, sf):
     return ledger.proofs(requests, drills(spark, sf))
 
 
+@query("stored_ledger", f"SELECT id, project_id, user_id, commit_sha, crypto_hash, created_at, CAST(created_at AS DATE) AS created_date FROM ({A.DRILLS})")
+def stored_ledger(spark, sf):
+    """Written by day and hash range, and read back."""
+    target = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    ledger_files.append_drills(drills(spark, sf).withColumn("created_at", F.col("created_at").cast("timestamp")), target, file_bytes=1 << 18)
+    return ledger_files.read_drills(spark, target).select(
+        "id", "project_id", "user_id", "commit_sha", "crypto_hash", F.col("created_at").cast("timestamp_ntz").alias("created_at"), "created_date")
+
+
 @query("proof_verification", f"SELECT id, crypto_hash, crypto_hash = sha256(commit_sha || ai_bom_json) AS hash_ok, substr(crypto_hash, 1, 8) AS hash_prefix FROM ({A.DRILLS})")
 def proof_verification(spark, sf):
     return ledger.view(ledger.verified(drills(spark, sf))).select("id", "crypto_hash", "hash_ok", "hash_prefix")
@@ -559,9 +571,10 @@ def taken_in(spark, sf, known=None):
         projects(spark, sf) if known is None else known, branding=BRANDING)
 
 
-@query("proof_intake", O.uploads_sql(O.DRILLS_SELECT))
+@query("proof_intake", O.drills_with_markdown())
 def proof_intake(spark, sf):
-    return taken_in(spark, sf).drills.select("id", "project_id", "user_id", "commit_sha", "ai_bom_json", "crypto_hash", "created_at")
+    return taken_in(spark, sf).drills.select(
+        "id", "project_id", "user_id", "commit_sha", "ai_bom_json", "annex_iv_markdown", "crypto_hash", "created_at")
 
 
 @query("intake_refused", O.uploads_sql(O.REFUSED_SELECT))
