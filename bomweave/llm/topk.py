@@ -91,11 +91,12 @@ class SlicedBlock:
         return np.concatenate([above, ties[: max(0, k - len(above))]])
 
     def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and exact scores of the best rows other than the query's own."""
+        """Ids and exact scores of the best rows other than the query's own: one row of its
+        id and values, all of which are in one block."""
         slices, constant = self.scores(query)
-        at = int(np.searchsorted(self.ids, query_id))
-        own = at if at < len(self.ids) and self.ids[at] == query_id else None
-        best = self.top(slices, k, own)
+        named = np.arange(*np.searchsorted(self.ids, [query_id, query_id + 1]))
+        same = named[(self.values[named] == query).all(1)]  # equal rows of an id are interchangeable
+        best = self.top(slices, k, int(same[0]) if len(same) else None)
         score = np.full(len(best), constant, np.int64)
         for i, bits in enumerate(slices):
             score += ((bits[best >> 6] >> (best & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << i
@@ -123,20 +124,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256
           vector: str = "embedding", block_rows: int = BLOCK_ROWS, chunk_queries: int = CHUNK_QUERIES) -> DataFrame:
     """The ``k`` largest inner products of each query with all other rows, as
     (query_id, rank from 1, vec_id, score); ties go to the smaller id, and there are
-    fewer rows where there are fewer candidates.
+    fewer rows where there are fewer candidates. Only the query's own row is left out.
 
     Components x become floor(scale * x). Vectors that are null, empty, or hold a null
     or non-finite component take no part, nor do rows without an id. Shorter vectors
-    count as filled up with zeros. An id that occurs more than once keeps its largest
-    vector (as arrays are ordered). Scores must stay below 2^61; larger vectors fail.
+    count as filled up with zeros. Rows with the same id are rows of their own, as queries
+    (with ranks of their own) and as candidates. Scores must stay below 2^61; larger
+    vectors raise a ``ValueError``, as they would have no exact score.
 
     Rows are dealt into blocks and queries into chunks by hash; a pair of block and
     chunk is one task's work, so neither side is ever held whole.
     """
-    index = materialise(
-        quantised(vectors, scale, id, vector).groupBy("id").agg(F.max("value").alias("value")), "top-k-rows")
-    asked = materialise(
-        quantised(queries, scale, id, vector).groupBy("id").agg(F.max("value").alias("value")), "top-k-queries")
+    index = materialise(quantised(vectors, scale, id, vector), "top-k-rows")
+    asked = materialise(quantised(queries, scale, id, vector).withColumn("ask", F.monotonically_increasing_id()), "top-k-queries")
     size = F.max(F.size("value")), F.max(F.greatest(F.abs(F.array_max("value")), F.abs(F.array_min("value"))))
     rows, width, most = index.agg(F.count("id"), *size).first()
     n_queries, query_width, query_most = asked.agg(F.count("id"), *size).first()
@@ -148,24 +148,25 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256
     def dealt(rows: DataFrame, own: str, parts: int, other: str, copies: int) -> DataFrame:
         return rows.select(
             F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias(own),
-            F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias(other), "id", "value")
+            F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias(other), *rows.columns)
 
     def search(table: pa.Table, chunk: pa.Table) -> pa.Table:
         found = []
         if table.num_rows and chunk.num_rows:
             block = SlicedBlock(table.column("id").to_numpy(), _matrix(table.column("value"), width))
-            ask = zip(chunk.column("id").to_pylist(), _matrix(chunk.column("value"), width))
-            found = [(q, *block.search(q, x, k)) for q, x in ask]
-        counts = [len(ids) for _, ids, _ in found]
+            ask = zip(chunk.column("ask").to_pylist(), chunk.column("id").to_pylist(), _matrix(chunk.column("value"), width))
+            found = [(n, q, *block.search(q, x, k)) for n, q, x in ask]
+        counts = [len(ids) for _, _, ids, _ in found]
         none = np.zeros(0, np.int64)
         return pa.table({
-            "query_id": pa.array(np.repeat(np.array([q for q, _, _ in found], np.int64), counts)),
-            "vec_id": pa.array(np.concatenate([none, *(ids for _, ids, _ in found)])),
-            "score": pa.array(np.concatenate([none, *(scores for _, _, scores in found)]))})
+            "ask": pa.array(np.repeat(np.array([n for n, _, _, _ in found], np.int64), counts)),
+            "query_id": pa.array(np.repeat(np.array([q for _, q, _, _ in found], np.int64), counts)),
+            "vec_id": pa.array(np.concatenate([none, *(ids for _, _, ids, _ in found)])),
+            "score": pa.array(np.concatenate([none, *(scores for _, _, _, scores in found)]))})
 
     pairs = dealt(index, "block", blocks, "chunk", chunks).groupBy("block", "chunk").cogroup(
         dealt(asked, "chunk", chunks, "block", blocks).groupBy("block", "chunk"))
-    partial = pairs.applyInArrow(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    partial = pairs.applyInArrow(search, "ask long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("ask").orderBy(F.desc("score"), "vec_id")
     return partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")

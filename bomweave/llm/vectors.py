@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import materialise
+from ..operators.skew import salted_join
 from .common import broadcast
 from .components import components
 
@@ -138,14 +139,13 @@ def _lowest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def near_vectors(vectors: DataFrame, least: float = 0.9, id: str = "vec_id", vector: str = "embedding",
                  list_rows: int = LIST_ROWS, fit_rows: int = FIT_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row per id: (id, n_links, component_id, kept).
+    """One row per vector: (id, n_links, component_id, kept).
 
-    Links are pairs with a cosine of at least ``least`` (over 0); ``n_links`` counts an id's
-    links, ``component_id`` is the smallest id it reaches, ``kept`` marks these. Vectors
-    that are null, empty, zero, or hold a null or non-finite component link with
-    nothing. Shorter vectors count as filled up with zeros. An id that occurs more than
-    once has one row, for its largest usable vector (as arrays are ordered); rows
-    without an id have none.
+    Links are pairs of vectors with a cosine of at least ``least`` (over 0); ``n_links`` counts a
+    vector's links, ``component_id`` is the smallest id it reaches, ``kept`` marks vectors with
+    that id. Vectors that are null, empty, zero, or hold a null or non-finite component
+    link with nothing. Shorter vectors count as filled up with zeros. Vectors with the same id
+    are told apart by their row; rows without an id are left out.
 
     Centroids and codewords are fitted on about ``fit_rows`` rows; every row is
     indexed. How far lists are probed follows from ``least``, so no link is missed: the
@@ -158,16 +158,17 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, id: str = "vec_id", vec
     border = np.sqrt(max(0.0, 2 - 2 * least)) / 2 + SLACK
     # components travel as wide as they came
     kind = np.float32 if vectors.schema[vector].dataType.simpleString() == "array<float>" else np.float64
-    named = vectors.filter(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.transform(
-        F.col(vector), lambda v: v.cast("double")).alias("v"))
-    usable = named.filter((F.size("v") > 0) & F.forall(
+    # rows are numbered once, in a written table; from here on ``id`` is a row's number
+    named = materialise(vectors.filter(F.col(id).isNotNull()).select(
+        F.monotonically_increasing_id().alias("id"), F.col(id).cast("long").alias("name"), F.transform(
+            F.col(vector), lambda v: v.cast("double")).alias("v")), "named-vectors")
+    usable = named.select("id", "v").filter((F.size("v") > 0) & F.forall(
         "v", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("v", lambda v: v != 0))
-    usable = materialise(usable.groupBy("id").agg(F.max("v").alias("v")), "vectors")
+    usable = materialise(usable, "vectors")
     n, width = usable.agg(F.count("id"), F.max(F.size("v"))).first()
-    ids = named.select("id").distinct()
     if not n:
-        return ids.select(F.col("id").alias(id), F.lit(0).cast("long").alias("n_links"),
-                          F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+        return named.select(F.col("name").alias(id), F.lit(0).cast("long").alias("n_links"),
+                            F.col("name").alias("component_id"), F.lit(True).alias("kept"))
     width = -(-width // SUBSPACE) * SUBSPACE
 
     def matrix(column: pa.Array) -> np.ndarray:
@@ -241,8 +242,10 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, id: str = "vec_id", vec
     found = materialise(probing.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInArrow(
         compare, "id long, n long, low long"), "vector-links")
     counts = found.groupBy("id").agg(F.sum("n").alias("n_links"))
-    reached = components(found.select("id", "low"), "id", "low")
-    return ids.join(counts, "id", "left").join(reached, "id", "left").select(
-        F.col("id").alias(id), F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        F.coalesce("component_id", "id").alias("component_id"),
-        (F.coalesce("component_id", "id") == F.col("id")).alias("kept"))
+    reached = components(found.select("id", "low"), "id", "low").withColumnRenamed("component_id", "group")
+    rows = named.select("id", "name").join(counts, "id", "left").join(reached, "id", "left")
+    rows = materialise(rows.withColumn("group", F.coalesce("group", "id")), "vector-groups")
+    lowest = rows.groupBy("group").agg(F.min("name").alias("component_id"))
+    return salted_join(rows, lowest, ["group"], ["id"], how="inner").select(
+        F.col("name").alias(id), F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id",
+        (F.col("component_id") == F.col("name")).alias("kept"))

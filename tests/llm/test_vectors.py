@@ -33,23 +33,27 @@ def test_components(spark):
 
 
 def plain(rows, least):
-    keep = {}
-    for i, v, *_ in rows:
-        if i is not None and v and None not in v and np.isfinite(v).all() and any(v):
-            keep[i] = max(keep.get(i, v), v)
-    names = sorted(keep)
-    width = max(map(len, keep.values()))
-    x = np.array([keep[i] + [0.0] * (width - len(keep[i])) for i in names])
+    """Rows (id, links, component, kept), one per vector with an id."""
+    named = [(i, v) for i, v, *_ in rows if i is not None]
+    usable = [n for n, (_, v) in enumerate(named) if v and None not in v and np.isfinite(v).all() and any(v)]
+    width = max(len(named[n][1]) for n in usable)
+    x = np.array([named[n][1] + [0.0] * (width - len(named[n][1])) for n in usable])
     x /= np.abs(x).max(1, keepdims=True)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     a, b = np.nonzero(np.triu(x @ x.T >= least, 1))
-    pairs = [(names[i], names[j]) for i, j in zip(a, b)]
-    root = plain_components(pairs)
-    links = dict.fromkeys({i for i, *_ in rows if i is not None}, 0)
+    pairs = [(usable[i], usable[j]) for i, j in zip(a, b)]
+    root, links = plain_components(pairs), [0] * len(named)
     for p in pairs:
-        for i in p:
-            links[i] += 1
-    return {i: (n, root.get(i, i), root.get(i, i) == i) for i, n in links.items()}
+        for n in p:
+            links[n] += 1
+    low = {}
+    for n, (i, _) in enumerate(named):
+        low[root.get(n, n)] = min(i, low.get(root.get(n, n), i))
+    return sorted((i, links[n], low[root.get(n, n)], low[root.get(n, n)] == i) for n, (i, _) in enumerate(named))
+
+
+def found(df, **options):
+    return sorted(tuple(r) for r in vectors.near_vectors(df, **options).collect())
 
 
 def rows_of(n=1500, width=20, seed=1):
@@ -65,16 +69,16 @@ def test_links(spark, list_rows, block_rows):
     rows = rows_of() + [
         (9001, None, ""), (9002, [], ""), (9003, [0.0] * 20, ""), (9004, [None] * 20, ""), (9005, [float("nan")] * 20, ""),
         (None, [1.0] * 20, ""), (9006, [1e-200] * 20, ""), (9007, [1e200] * 20, ""), (9008, [3.0], ""), (9009, [7.0], "")]
-    rows += rows[:2]
+    rows += rows[:2] + [(rows[0][0], rows[1][1], ""), (rows[2][0], [-v for v in rows[2][1]], "")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, n_links string")
-    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_vectors(
-        df, list_rows=list_rows, block_rows=block_rows).collect()}
-    want = plain(rows, 0.9)
-    assert got.keys() == want.keys()
-    total, found = (sum(v[0] for v in x.values()) for x in (want, got))
-    assert all(got[i][0] <= want[i][0] for i in want) and found >= 0.99 * total > 1000
-    if found == total:
-        assert got == want
+    got, want = found(df, list_rows=list_rows, block_rows=block_rows), plain(rows, 0.9)
+    assert got == want and sum(r[1] for r in want) > 1000
+
+
+def test_other_vector_under_the_same_id(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0])]
+    assert found(spark.createDataFrame(rows, "vec_id long, embedding array<double>")) == [
+        (1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False)]
 
 
 def test_few_and_none(spark):
@@ -92,6 +96,4 @@ def test_every_link_across_lists(spark):
     x = rng.normal(size=(3000, 4)) @ rng.normal(size=(4, 24))
     rows = [(i, [float(v) for v in row]) for i, row in enumerate(x.astype(np.float32))]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_vectors(
-        df, list_rows=50).collect()}
-    assert got == plain(rows, 0.9)
+    assert found(df, list_rows=50) == plain(rows, 0.9)
