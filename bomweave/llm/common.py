@@ -59,6 +59,17 @@ def by_slices(array: pa.Array, fn, limit: int = SLICE_BYTES) -> pa.Array:
     return pa.concat_arrays([fn(part) for part in slices(array, limit)])
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores behind them as long as a column of ``df`` has that name."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        found.append(name)
+        taken.add(name.lower())
+    return found
+
+
 def fold_of(key: Column, folds: int) -> Column:
     """crc32 of the key as text, modulo ``folds``; null for a null key."""
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(folds))

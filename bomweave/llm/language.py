@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast, by_slices, session_for_texts
+from .common import broadcast, by_slices, session_for_texts, unused
 
 UNKNOWN = "und"
 TRAINING_ROWS = 500  # per language
@@ -198,5 +198,6 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
 
         return by_slices(texts, part)
 
-    return docs.withColumn("_language", predicted(F.col(text))).withColumns(
-        {"lang_pred": F.col("_language.lang"), "lang_score": F.col("_language.score")}).drop("_language")
+    (found,) = unused(docs, "_language")
+    return docs.withColumn(found, predicted(F.col(text))).withColumns(
+        {"lang_pred": F.col(found)["lang"], "lang_score": F.col(found)["score"]}).drop(found)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import materialise
-from .common import broadcast, by_slices, session_for_texts, slices
+from .common import broadcast, by_slices, session_for_texts, slices, unused
 from .filters import FILTER_BITS, maybe, seen_twice
 
 WHITE_SPACE = b" \t\n\x0b\x0c\r"
@@ -85,8 +85,9 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, id: str = "doc_id", text: s
     confirmed = suspects.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter(
         "first < last").select("key", "first")
     confirmed = materialise(confirmed, "line-repeats")
-    dropped = suspects.join(confirmed, "key").filter("doc > first").groupBy(F.col("doc").alias("_doc")).agg(
-        F.collect_set("key").alias("_dropped"))  # bounded by the document's own lines
+    d, g, kept = unused(docs, "_doc", "_dropped", "_left")
+    dropped = suspects.join(confirmed, "key").filter("doc > first").groupBy(F.col("doc").alias(d)).agg(
+        F.collect_set("key").alias(g))  # bounded by the document's own lines
 
     @F.arrow_udf("struct<n_lines:bigint,n_dropped:bigint,kept:string>")
     def without(texts: pa.Array, gone: pa.Array) -> pa.Array:
@@ -109,8 +110,8 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, id: str = "doc_id", text: s
 
         return by_slices(texts.cast(pa.binary()), part)
 
-    joined = docs.join(dropped, docs[id].cast("long") == dropped["_doc"], "left").drop("_doc")
-    result = joined.withColumn("_left", without(F.col(text), F.col("_dropped")))
+    joined = docs.join(dropped, F.col(id).cast("long") == F.col(d), "left").drop(d)
+    result = joined.withColumn(kept, without(F.col(text), F.col(g))).drop(g)
     return result.withColumns({
-        "kept_text": F.col("_left.kept"), "n_lines": F.col("_left.n_lines"), "n_dropped": F.col("_left.n_dropped"),
-    }).drop("_left", "_dropped")
+        "kept_text": F.col(kept)["kept"], "n_lines": F.col(kept)["n_lines"], "n_dropped": F.col(kept)["n_dropped"],
+    }).drop(kept)

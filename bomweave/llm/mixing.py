@@ -145,18 +145,17 @@ def mix(docs: DataFrame, entropy: float = 0.95, limit: float = 2.0, budget: int
     rows, and sources without any token, come once. Rows with equal id and source are
     taken together. All other columns stay; a column called ``mix_pass`` is replaced.
     """
-    def placed(rows: DataFrame) -> DataFrame:
-        return rows.withColumns({
-            "_source": F.col(source), "_id": F.col(id), "_tokens": tokens_of(F.col(text)),
-            "_place": _hash(F.lit(seed), F.col(id))})
-
-    sized = materialise(placed(docs).select("_source", "_id", "_tokens", "_place").filter("_tokens > 0"), "mix-sizes")
+    columns = [c for c in docs.columns if c != "mix_pass"]
+    placed = docs.select(  # the row as one column: its names meet none of ours
+        F.struct(*columns).alias("_row"), F.col(source).alias("_source"), F.col(id).alias("_id"),
+        tokens_of(F.col(text)).alias("_tokens"), _hash(F.lit(seed), F.col(id)).alias("_place"))
+    sized = materialise(placed.select("_source", "_id", "_tokens", "_place").filter("_tokens > 0"), "mix-sizes")
     ends = materialise(plan(sized, entropy, limit, budget, seed), "mix-plan")
-    joined = _beside(placed(docs), ends, "left")
+    joined = _beside(placed, ends, "left")
     rank = _rank(F.col("_place") % BLOCKS)
     drawn = (rank < F.col("_cut")) | ((rank == F.col("_cut")) & (_order() <= F.col("_last")))
     copies = F.when((F.col("_tokens") == 0) | F.col("_whole").isNull(), F.lit(1)).otherwise(
         F.col("_whole") + F.coalesce(drawn, F.lit(False)).cast("long")).cast("int")
     return joined.withColumn("_copies", copies).filter("_copies > 0").withColumn(
         "mix_pass", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).select(
-        *[c for c in docs.columns if c != "mix_pass"], "mix_pass")
+        *[F.col("_row")[c].alias(c) for c in columns], "mix_pass")

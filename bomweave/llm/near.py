@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import materialise
-from .common import broadcast, session_for_texts, slices
+from .common import broadcast, session_for_texts, slices, unused
 from .components import components
 from .filters import FILTER_BITS, maybe, seen_twice
 
@@ -38,7 +38,7 @@ REGISTERS = BAND_ROWS * BANDS
 BASE = 1.001  # ratio of neighbouring register values
 RATE = 20.0  # of the exponential distribution
 LARGEST = (1 << 16) - 1
-ESTIMATE_SLACK = 0.12  # over four and a half standard deviations of the estimate
+ESTIMATE_SLACK = 0.15  # over five and a half standard deviations of the estimate
 MOST_BROADCAST_ROWS = 1_000_000
 PROBE_BLOCK, TARGET_BLOCK = 128, 1_024
 AT_ONCE = 1 << 11
@@ -183,8 +183,10 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id:
     """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns. Rows with
     equal id and text are one document and stay or go together."""
     kept = _labelled(docs, words, percent, id, text, filter_bits).filter("kept").select("k1", "k2")
-    keyed = docs.withColumns(dict(zip(("_k1", "_k2"), _row_keys(id, text))))
-    return keyed.join(kept, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left_semi").drop("_k1", "_k2")
+    k1, k2, n1, n2 = unused(docs, "_k1", "_k2", "_n1", "_n2")
+    keyed = docs.withColumns(dict(zip((k1, k2), _row_keys(id, text))))
+    kept = kept.select(F.col("k1").alias(n1), F.col("k2").alias(n2))
+    return keyed.join(kept, (F.col(k1) == F.col(n1)) & (F.col(k2) == F.col(n2)), "left_semi").drop(k1, k2)
 
 
 def _row_keys(id: str, text: str) -> list[Column]:

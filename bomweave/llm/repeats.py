@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import materialise
-from .common import broadcast, by_slices, session_for_texts
+from .common import broadcast, by_slices, session_for_texts, unused
 from .filters import FILTER_BITS, maybe, seen_twice
 
 WINDOW = 400
@@ -238,14 +238,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id: str = "doc_id", te
 
         return by_slices(texts.cast(pa.binary()), part)
 
-    k1, k2 = _keys_of(id, text)
-    joined = docs.withColumns({"_k1": k1, "_k2": k2}).join(
-        removed, (F.col("_k1") == removed["k1"]) & (F.col("_k2") == removed["k2"]), "left")
-    result = joined.withColumn("_cut", without(F.col(text), F.col("_parts"))).drop("k1", "k2", "_k1", "_k2", "_parts")
+    k1, k2, r1, r2, parts, cut = unused(docs, "_k1", "_k2", "_r1", "_r2", "_parts", "_cut")
+    removed = removed.select(F.col("k1").alias(r1), F.col("k2").alias(r2), F.col("_parts").alias(parts))
+    joined = docs.withColumns(dict(zip((k1, k2), _keys_of(id, text)))).join(
+        removed, (F.col(k1) == F.col(r1)) & (F.col(k2) == F.col(r2)), "left")
+    result = joined.withColumn(cut, without(F.col(text), F.col(parts))).drop(k1, k2, r1, r2, parts)
     return result.withColumns({
-        "n_bytes": F.col("_cut.n_bytes"), "n_removed": F.col("_cut.n_removed"),
-        "n_spans": F.size("_cut.spans").cast("long"), "spans": F.col("_cut.spans"), "kept_bytes": F.col("_cut.kept"),
-    }).drop("_cut")
+        "n_bytes": F.col(cut)["n_bytes"], "n_removed": F.col(cut)["n_removed"],
+        "n_spans": F.size(F.col(cut)["spans"]).cast("long"), "spans": F.col(cut)["spans"], "kept_bytes": F.col(cut)["kept"],
+    }).drop(cut)
 
 
 def merged(parts: list[dict]) -> list[tuple[int, int]]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters
-from .common import broadcast, by_slices, session_for_texts
+from .common import broadcast, by_slices, session_for_texts, unused
 
 CACHED_WORDS = 200_000
 CACHED_BYTES = 64
@@ -143,6 +143,7 @@ def token_counts(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFr
         counter.counts.clear()  # the worker lives on for other tasks
         pa.default_memory_pool().release_unused()
 
-    result = docs.withColumn("_counted", counted(F.col(text)))
+    (c,) = unused(docs, "_counted")
+    result = docs.withColumn(c, counted(F.col(text)))
     return result.withColumns(
-        {"n_words": F.col("_counted.n_words"), "n_tokens": F.col("_counted.n_tokens")}).drop("_counted")
+        {"n_words": F.col(c)["n_words"], "n_tokens": F.col(c)["n_tokens"]}).drop(c)
