@@ -100,19 +100,28 @@ def _candidates(found: DataFrame, n1: float, n0: float, always: list[int], rows:
     and of those whose swapped words do.
 
     These are all features whose document frequency differs between the labels by more than
-    chance alone would make it with so many features, one of those in the very same rows,
-    and those of ``always`` that occur. ``found`` has (_row, _label, words, swapped),
-    ``rows`` its rows in the order they are numbered."""
+    chance alone would make it with so many features, and those of ``always`` that occur. Of
+    features in the very same rows, swapped ones too, one is looked up: a signature of
+    the rows (xor of two hashes each) tells them apart before any row list is made.
+    ``found`` has (_row, _label, _weight, words, swapped), ``rows`` its rows in the order they
+    are numbered."""
     spark = found.sparkSession
-    counts = materialise(found.select("_label", F.explode("words").alias("h")).groupBy("h").agg(
-        F.count("h").alias("both"), F.sum("_label").alias("d1")), "toxicity-counts")
+    both = found.select("_row", "_label", "_weight", F.explode("words").alias("h"), F.lit(True).alias("plain")).unionByName(
+        found.select("_row", "_label", "_weight", F.explode("swapped").alias("h"), F.lit(False).alias("plain")))
+    marks = [F.bit_xor(F.when(F.col("plain") == plain, F.xxhash64(F.lit(seed), "_row"))).alias(f"{name}{seed}")
+             for plain, name in ((True, "s"), (False, "t")) for seed in (1, 2)]
+    counts = materialise(both.groupBy("h").agg(
+        F.coalesce(F.sum(F.when(F.col("plain"), F.col("_weight"))), F.lit(0)).alias("both"),
+        F.sum(F.when(F.col("plain"), F.col("_weight") * F.col("_label"))).alias("d1"), *marks).filter("both > 0"), "toxicity-counts")
     least = float(np.sqrt(2 * np.log(max(2, counts.count()))))
     share = F.col("both") / (n1 + n0)
     spread = F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
-    z = F.abs(F.col("d1") / n1 - (F.col("both") - F.col("d1")) / n0) / spread
-    differs = (F.col("both") >= LEAST_DOCUMENTS) & (F.col("both") < n1 + n0) & (z >= least)
-    passed = materialise(counts.select("h", F.col("h").isin(always).alias("always"), differs.alias("differs")).filter(
-        "always or differs").select("h", "always"), "toxicity-passed")
+    differs = (F.col("both") >= LEAST_DOCUMENTS) & (F.col("both") < n1 + n0)
+    z = F.when(differs, F.abs(F.col("d1") / n1 - (F.col("both") - F.col("d1")) / n0) / spread)
+    # identity terms stay, whatever else is in their rows
+    passed = counts.withColumn("always", F.col("h").isin(always)).filter(F.col("always") | (z >= least)).groupBy(
+        "s1", "s2", "t1", "t2", "always", F.when(F.col("always"), F.col("h")).alias("term")).agg(F.min("h").alias("h"))
+    passed = materialise(passed.select("h", "always"), "toxicity-passed")
     sorted_rows, number = np.sort(rows), np.argsort(rows).astype(np.int32)
     shared = broadcast(spark, (sorted_rows, number))
 
@@ -125,21 +134,17 @@ def _candidates(found: DataFrame, n1: float, n0: float, always: list[int], rows:
                 [batch.column("h"), batch.column("always"), *[pa.array(r, pa.list_(pa.int32())) for r in lists]],
                 names=["h", "always", "at", "swapped"])
 
-    both = found.select("_row", F.explode("words").alias("h"), F.lit(True).alias("plain")).unionByName(
-        found.select("_row", F.explode("swapped").alias("h"), F.lit(False).alias("plain")))
     columns = both.join(passed, "h").groupBy("h", "always").agg(
         F.collect_list(F.when(F.col("plain"), F.col("_row"))).alias("at"),
         F.collect_list(F.when(~F.col("plain"), F.col("_row"))).alias("swapped"),
-    ).select("h", "always", "at", "swapped").mapInArrow(numbered, "h long, always boolean, at array<int>, swapped array<int>")
-    # identity terms stay, whatever else is in their rows
-    return materialise(columns.groupBy("at", F.when(F.col("always"), F.col("h")).alias("term")).agg(
-        F.min(F.struct("h", "swapped", "always")).alias("c")).select("c.h", "at", "c.swapped", "c.always"), "toxicity-candidates")
+    ).select("h", "always", "at", "swapped")
+    return materialise(columns.mapInArrow(numbered, "h long, always boolean, at array<int>, swapped array<int>"), "toxicity-candidates")
 
 
-def _best(candidates: DataFrame, y: np.ndarray, p: np.ndarray, taken: set[int]) -> tuple[pa.Table, float]:
+def _best(candidates: DataFrame, y: np.ndarray, p: np.ndarray, weight: np.ndarray, taken: set[int]) -> tuple[pa.Table, float]:
     """The ``AT_ONCE`` candidates that explain most of what the scores ``p`` leave of the
     labels, by ``LEAST_GAIN`` at least, and the gain of the first one after them."""
-    shared = broadcast(candidates.sparkSession, (y - p, p * (1 - p), taken))
+    shared = broadcast(candidates.sparkSession, (weight * (y - p), weight * p * (1 - p), taken))
 
     def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest, spread, used = shared.value
@@ -169,28 +174,27 @@ def _gain(rest, spread):
     return np.abs(rest) / np.sqrt(0.25 + spread)
 
 
-def _newton(x: np.ndarray, y: np.ndarray, penalty: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weights that minimise log loss + quadratic penalty, and the fitted scores."""
+def _newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients that minimise weighted log loss + quadratic penalty, and the fitted scores."""
     w = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (p - y) + penalty @ w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + penalty, x.T @ (weight * (p - y)) + penalty @ w)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
     return w, 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
 
 
-def _fit(x: np.ndarray, y: np.ndarray, change: np.ndarray, strength: float, taken: int, least: float):
+def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, squares: np.ndarray, taken: int, least: float):
     """Forward selection: as long as some word explains what is left of the labels by
     ``least``, take it in. Words that merely accompany others (copies) stay out. Returns the
     columns taken, their weights and the scores; the first ``taken`` are taken from the start."""
-    squares = change.T @ change * strength
     use = list(range(taken))
     while True:
         penalty = squares[np.ix_(use, use)] + np.diag([1e-9] + [RIDGE] * (len(use) - 1))
-        w, p = _newton(x[:, use], y, penalty)
-        gain = _gain(x.T @ (y - p), (x * x).T @ (p * (1 - p)))
+        w, p = _newton(x[:, use], y, weight, penalty)
+        gain = _gain(x.T @ (weight * (y - p)), (x * x).T @ (weight * p * (1 - p)))
         gain[use] = 0
         best = int(gain.argmax())
         if gain[best] < least:
@@ -198,26 +202,26 @@ def _fit(x: np.ndarray, y: np.ndarray, change: np.ndarray, strength: float, take
         use = [*use, best]
 
 
-def _select(candidates: DataFrame, y: np.ndarray, swappable: np.ndarray, strength: float):
+def _select(candidates: DataFrame, y: np.ndarray, weight: np.ndarray, swappable: np.ndarray, strength: float):
     """Bias, and weights by hash. The driver's candidates are replaced when none of them is
-    ahead of those left out, until no candidate at all explains what is left. ``swappable``
-    are the rows with an identity term."""
-    n = len(y)
+    ahead of those left out, until no candidate at all explains what is left. ``weight`` is
+    how often each row occurs, ``swappable`` are the rows with an identity term."""
+    n, often = len(y), np.sqrt(weight[swappable])[:, None]
 
     def matrices(table: pa.Table):
         x = _incidence(n, table.column("at").to_pylist())
-        return x, (x - _incidence(n, table.column("swapped").to_pylist()))[swappable]
+        return x, (x - _incidence(n, table.column("swapped").to_pylist()))[swappable] * often
 
     start = candidates.filter("always").select("h", "at", "swapped").orderBy("h").toArrow()
     names = start.column("h").to_pylist()
     x, change = matrices(start)
     x, change = np.hstack([np.ones((n, 1)), x]), np.hstack([np.zeros((len(change), 1)), change])
-    use, w, p = _fit(x, y, change, strength, x.shape[1], LEAST_GAIN)
+    use, w, p = _fit(x, y, weight, change.T @ change * strength, x.shape[1], LEAST_GAIN)
     while True:
-        best, after = _best(candidates, y, p, set(names))
+        best, after = _best(candidates, y, p, weight, set(names))
         more, moved = matrices(best)
         x, change, taken = np.hstack([x, more]), np.hstack([change, moved]), x.shape[1]
-        use, w, p = _fit(x, y, change, strength, taken, max(LEAST_GAIN, after * (1 - 1e-9)))
+        use, w, p = _fit(x, y, weight, change.T @ change * strength, taken, max(LEAST_GAIN, after * (1 - 1e-9)))
         x, change = x[:, use], change[:, use]
         names += [best.column("h")[k - taken].as_py() for k in use[taken:]]
         if len(use) == taken:
@@ -236,39 +240,42 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id: str
     of toxic labels.
     """
     session_for_texts(docs)
-    usable = labels.filter(F.col(id).isNotNull() & F.col(label).isNotNull())
-    if learn is not None:
-        usable = usable.filter(learn)
-    usable = usable.groupBy(F.col(id).alias("_id")).agg(F.max(label).cast("double").alias("_label"))
+    usable = labels if learn is None else labels.filter(learn)
+    usable = usable.select(F.col(id).alias("id"), F.col(label).cast("double").alias("label")).dropna().groupBy("id").agg(
+        F.max("label").alias("label"))
     n = usable.count()
     if n > max_rows:
-        usable = usable.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(max_rows / n * (1 << 30)))
+        usable = usable.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(max_rows / n * (1 << 30)))
     swaps = Swaps(groups)
 
     @F.arrow_udf("struct<words:array<bigint>,swapped:array<bigint>>")
-    def featurised(ids: pa.Array, texts: pa.Array) -> pa.Array:
+    def featurised(texts: pa.Array) -> pa.Array:
         rows = []
-        for i, t in zip(ids.to_pylist(), texts.to_pylist()):
+        for t in texts.to_pylist():
             words = words_of(t)
-            other = swaps.swapped(words, int(i))
+            other = swaps.swapped(words, xxhash.xxh3_64_intdigest((t or "").encode()) >> 1)  # copies are swapped alike
             rows.append([None if w is None else np.sort(np.array(list(features_of(w)), np.uint64)).view(np.int64)
                          for w in (words, other)])
         return pa.StructArray.from_arrays(
             [pa.array([r[k] for r in rows], pa.list_(pa.int64())) for k in (0, 1)], names=["words", "swapped"])
 
     # bounded by max_rows, so the texts stay where they are
-    sample = docs.join(F.broadcast(usable), F.col(id) == F.col("_id")).select(
-        "_label", F.xxhash64("_id").alias("_key"), featurised(F.xxhash64("_id"), F.col(text)).alias("f"))
-    found = materialise(sample.select("_label", "_key", "f.words", "f.swapped", F.monotonically_increasing_id().alias("_row")),
-                        "toxicity-sample")
-    n, positive = found.agg(F.count("_label"), F.coalesce(F.sum("_label"), F.lit(0.0))).first()
+    sample = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(usable), "id").select(
+        "label", F.xxhash64("id").alias("key"), featurised(F.col("text")).alias("f"))
+    # copies are one row with a weight
+    found = materialise(sample.groupBy(F.col("label").alias("_label"), "f.words", "f.swapped").agg(
+        F.count(F.lit(1)).cast("double").alias("_weight"), F.min("key").alias("_key")).withColumn(
+        "_row", F.monotonically_increasing_id()), "toxicity-sample")
+    n, positive = found.agg(F.coalesce(F.sum("_weight"), F.lit(0.0)),
+                            F.coalesce(F.sum(F.col("_weight") * F.col("_label")), F.lit(0.0))).first()
     if positive in (0, n):
         rate = (positive + 0.5) / (n + 2)  # without labels nothing counts as toxic
         return ToxicityModel(float(np.log(rate / (1 - rate))), {})
     terms = [int(np.uint64(word_hash(t)).astype(np.int64)) for t in swaps.group]
-    rows = found.select("_row", "_label", F.col("swapped").isNotNull().alias("swappable"), "_key").orderBy("_key", "_row").toArrow()
+    rows = found.select("_row", "_label", "_weight", F.col("swapped").isNotNull().alias("swappable"), "_key").orderBy(
+        "_key", "_label", "_row").toArrow()
     candidates = _candidates(found, positive, n - positive, terms, rows.column("_row").to_numpy())
-    bias, weights = _select(candidates, rows.column("_label").to_numpy(), rows.column("swappable").to_numpy(), strength)
+    bias, weights = _select(candidates, *[rows.column(c).to_numpy() for c in ("_label", "_weight", "swappable")], strength)
     return ToxicityModel(bias, {int(np.int64(h).view(np.uint64)): v for h, v in weights.items()})
 
 
