@@ -2,8 +2,12 @@
 
 A word is an array of part ids and an array of the ranks of adjacent pairs. The
 minimum rank is found by scanning, its boundary is deleted, and the two
-neighbouring ranks are refreshed. Scanning is quadratic in the word, so words over
-``SHORT_WORD`` symbols keep their ranks in a heap and give the same parts.
+neighbouring ranks are refreshed. All new short words of a slice of text go through
+these steps together, as rows of two matrices. Scanning is quadratic in the word, so words
+over ``SHORT_WORD`` symbols keep their ranks in a heap and give the same parts.
+
+A slice's runs between white space are encoded once each; the ids of its texts are
+gathered from them, and decoded by taking the ids' entries and joining them.
 """
 
 from __future__ import annotations
@@ -14,15 +18,18 @@ import unicodedata
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast, by_slices, session_for_texts, texts_of
+from .common import broadcast, by_slices, session_for_texts, texts_of, unused
 
 SHORT_WORD = 96
-CACHED_WORDS = 150_000
+WIDTHS = (6, 10, 16, 32, SHORT_WORD)  # words of about the same size share a matrix
+CACHED_CHUNKS = 200_000
 ID_BITS = 20  # a pair is two ids in one int, a merge its rank and the merged id
 ID_MASK = (1 << ID_BITS) - 1
 NO_MERGE = 1 << 62
@@ -63,9 +70,15 @@ class WordBpe:
         self.blanks = regex.compile(r"\s+")
         # str.split() also cuts at these, the vocabulary's white space does not
         self.separators = regex.compile(r"[\x1c-\x1f]")
-        self.chunks: dict[str, list[int]] = {}
+        # ids of runs without white space as bytes; special tokens have a blank in front
+        self.fixed = {" " + t: np.array([i], np.int32).tobytes() for t, i in self.special.items()}
+        self.chunks = dict(self.fixed)
         self.inner = [self._id(x) for x in self.letters]
         self.last = [self._id(x + self.end) for x in self.letters]
+        self.whole = None not in self.inner and None not in self.last
+        self.pairs = np.array(sorted(self.merges), np.int64)
+        self.merged = np.array([self.merges[p] for p in self.pairs.tolist()], np.int64)
+        self.entries = pa.array([self.names.get(i, "").encode() for i in range(max(self.names) + 1)], pa.binary())
 
     def _id(self, symbol: str) -> int | None:
         return self.vocab.get(symbol)
@@ -113,45 +126,120 @@ class WordBpe:
                     heapq.heappush(queue, (merge, a, parts[a] << ID_BITS | parts[b]))
         return [p for p, kept in zip(parts, alive) if kept]
 
-    def chunk(self, chunk: str) -> list[int]:
-        """Ids of a run without white space."""
-        words = self.pattern.findall(chunk)
-        result = self.word(words[0]) if words else []
-        for word in words[1:]:
-            result += self.word(word)
-        if len(chunk) <= SHORT_WORD:
-            if len(self.chunks) >= CACHED_WORDS:
-                self.chunks.clear()
-            self.chunks[chunk] = result
-        return result
-
-    def normal(self, text: str) -> str:
-        # final sigma is lowered like any other
-        return self.blanks.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
-
-    def encode(self, text: str) -> tuple[list[int], str]:
-        """Ids and decoded text. Special tokens are recognised in the raw text."""
-        ids: list[int] = []
-        start = 0
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Merges of pairs of parts, ``NO_MERGE`` where there is none."""
+        pair = left << ID_BITS | right
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == pair, self.merged[at], NO_MERGE)
+
+    def _together(self, words: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of at most ``width`` bytes one after the other, and how many each has."""
+        size = np.array([len(w) for w in words])
+        data = np.frombuffer(b"".join([w.ljust(width, b"\0") for w in words]), np.uint8).reshape(-1, width)
+        parts, every = np.array(self.inner, np.int64)[data], np.arange(len(words))
+        parts[every, size - 1] = np.array(self.last, np.int64)[data[every, size - 1]]
+        column = np.arange(width)
+        ranks = np.full((len(words), width), NO_MERGE, np.int64)
+        ranks[:, :-1] = np.where(column[None, 1:] < size[:, None], self._ranks(parts[:, :-1], parts[:, 1:]), NO_MERGE)
+        left = every
+        while len(left):
+            at = ranks[left].argmin(1)
+            best = ranks[left, at]
+            more = best != NO_MERGE
+            left, at, best = left[more], at[more], best[more]
+            # delete the boundary: what lies behind it moves up by one
+            behind, p, r = column[None, :-1] > at[:, None], parts[left], ranks[left]
+            p[:, :-1] = np.where(behind, p[:, 1:], p[:, :-1])
+            r[:, :-1] = np.where(behind | (column[None, :-1] == at[:, None]), r[:, 1:], r[:, :-1])
+            r[:, -1] = NO_MERGE
+            size[left] -= 1
+            here = np.arange(len(left))
+            p[here, at] = best & ID_MASK
+            some = np.flatnonzero(at + 1 < size[left])
+            r[some, at[some]] = self._ranks(p[some, at[some]], p[some, at[some] + 1])
+            some = np.flatnonzero(at > 0)
+            r[some, at[some] - 1] = self._ranks(p[some, at[some] - 1], p[some, at[some]])
+            parts[left], ranks[left] = p, r
+        return parts[column[None, :] < size[:, None]].astype(np.int32), size
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of pre-tokens, as bytes."""
+        symbols = [w.encode() for w in words]
+        found: list[bytes] = [b""] * len(words)
+        size = np.array([len(w) for w in symbols], np.int64)
+        group = np.searchsorted(WIDTHS, size) if self.whole else np.full(len(words), len(WIDTHS))
+        for k in np.unique(group):
+            chosen = np.flatnonzero(group == k).tolist()
+            if k == len(WIDTHS):
+                for i in chosen:
+                    found[i] = np.array(self.word(words[i]), np.int32).tobytes()
+                continue
+            ids, counts = self._together([symbols[i] for i in chosen], WIDTHS[k])
+            data, ends = ids.tobytes(), (np.cumsum(counts) * 4).tolist()
+            for i, start, end in zip(chosen, [0, *ends], ends):
+                found[i] = data[start:end]
+        return found
+
+    def runs(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct runs without white space, as bytes."""
+        known = self.chunks
+        found = [known.get(c) for c in chunks]
+        new = [i for i, ids in enumerate(found) if ids is None]
+        split = [[c] if c.isascii() and c.isalpha() else self.pattern.findall(c) for c in (chunks[i] for i in new)]
+        place: dict[str, int] = {}
+        places = [[place.setdefault(w, len(place)) for w in words] for words in split]
+        ids = self.words(list(place))
+        for i, words in zip(new, places):
+            found[i] = ids[words[0]] if len(words) == 1 else b"".join([ids[w] for w in words])
+        if len(known) + len(new) > CACHED_CHUNKS:  # the older half goes
+            self.chunks = known = self.fixed | dict(list(known.items())[len(known) // 2:])
+        room = CACHED_CHUNKS - len(known)
+        known.update((chunks[i], found[i]) for i in new[:max(0, room)] if len(chunks[i]) <= SHORT_WORD)
+        return found
+
+    def _chunks(self, text: str) -> list[str]:
+        """Runs without white space in normal form, without special tokens."""
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # final sigma is lowered like any other
+        text = text.lower()
+        if self.separators.search(text):
+            return [c for c in self.blanks.sub(" ", text).split(" ") if c]
+        return text.split()
+
+    def pieces(self, text: str) -> list[str]:
+        """Runs of a text. Special tokens are recognised in the raw text."""
+        if "<" not in text and not any(m[0] != "<" for m in self.special):
+            return self._chunks(text)
+        found, start = [], 0
         for mark in self.marks.finditer(text):
-            self._plain(text[start:mark.start()], ids)
-            ids.append(self.special[mark[0]])
+            found += self._chunks(text[start:mark.start()])
+            found.append(" " + mark[0])
             start = mark.end()
-        self._plain(text[start:], ids)
-        return ids, self.decode(ids)
+        return found + self._chunks(text[start:])
 
-    def _plain(self, text: str, ids: list[int]) -> None:
-        if not text:
-            return
-        text = self.normal(text)
-        known = self.chunks.get
-        for chunk in filter(None, text.split(" ")) if self.separators.search(text) else text.split():
-            ids += known(chunk) or self.chunk(chunk)
+    def encode(self, texts: list[str]) -> tuple[pa.Array, pa.Array]:
+        """Ids and decoded texts of some texts."""
+        place: dict[str, int] = {}
+        numbers: list[int] = []
+        ends = [0]
+        for text in texts:
+            numbers += [place.setdefault(c, len(place)) for c in self.pieces(text)]
+            ends.append(len(numbers))
+        found = self.runs(list(place))
+        flat, size = np.frombuffer(b"".join(found), np.int32), np.array([len(ids) // 4 for ids in found], np.int64)
+        number = np.array(numbers, np.int64)
+        counts = size[number] if len(number) else number
+        begin = (np.cumsum(size) - size)[number] if len(number) else number
+        until = np.cumsum(counts)
+        ids = flat[np.arange(int(counts.sum())) + np.repeat(begin - until + counts, counts)]
+        offsets = pa.array(np.concatenate([[0], until])[ends], pa.int32())
+        rows = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
+        return rows, self.decode(rows)
 
-    def decode(self, ids) -> str:
-        """The vocabulary has no decoder: its entries are joined by blanks, and
-        unknown ids are left out."""
-        return " ".join(filter(None, map(self.names.get, ids)))
+    def decode(self, rows: pa.ListArray) -> pa.Array:
+        """The vocabulary has no decoder: its entries are joined by blanks."""
+        entries = self.entries.take(rows.values)
+        return pc.binary_join(pa.ListArray.from_arrays(rows.offsets, entries), b" ").cast(pa.string())
 
 
 def load(content: bytes) -> WordBpe:
@@ -179,16 +267,12 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
         bpe = load(content.value)
 
         def part(values: pa.Array) -> pa.Array:
-            rows = [bpe.encode(t) for t in texts_of(values)]
-            return pa.StructArray.from_arrays(
-                [pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.string())],
-                fields=list(kind))
+            return pa.StructArray.from_arrays(list(bpe.encode(texts_of(values))), fields=list(kind))
 
         for texts in batches:
             yield by_slices(texts, part)
-        # the worker lives on for other tasks
-        bpe.chunks.clear()
-        pa.default_memory_pool().release_unused()
+        pa.default_memory_pool().release_unused()  # the worker lives on for other tasks
 
-    result = docs.withColumn("_encoded", encoded(F.col(text)))
-    return result.withColumns({"ids": F.col("_encoded.ids"), "decoded": F.col("_encoded.decoded")}).drop("_encoded")
+    (e,) = unused(docs, "_encoded")
+    result = docs.withColumn(e, encoded(F.col(text)))
+    return result.withColumns({"ids": F.col(e)["ids"], "decoded": F.col(e)["decoded"]}).drop(e)

@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -39,9 +40,9 @@ def test_encode_equals_library(spark, library):
 @given(text=st.text(alphabet=st.sampled_from("abcdeEs't 0éß\n\t̀!?-İΣ<|>中\x1c"), max_size=60))
 def test_encode_property(library, text):
     word_bpe = bpe.load(open(tokenizer_path("word_bpe_49k.json"), "rb").read())
-    ids, decoded = word_bpe.encode(text)
+    ids, decoded = word_bpe.encode(["x", text, ""])
     want = library.encode(text, add_special_tokens=False).ids
-    assert ids == want and decoded == library.decode(want, skip_special_tokens=False)
+    assert ids[1].as_py() == want and decoded[1].as_py() == library.decode(want, skip_special_tokens=False)
 
 
 @settings(max_examples=200, deadline=None)
@@ -49,7 +50,22 @@ def test_encode_property(library, text):
 def test_heap_equals_scan(word):
     word_bpe = bpe.load(open(tokenizer_path("word_bpe_49k.json"), "rb").read())
     parts = [word_bpe.vocab[c] for c in word]
-    assert word_bpe._heap(list(parts)) == word_bpe._scan(list(parts))
+    parts[-1] = word_bpe.vocab[word[-1] + word_bpe.end]
+    want = word_bpe._scan(list(parts))
+    assert word_bpe._heap(list(parts)) == want
+    assert [np.frombuffer(ids, np.int32).tolist() for ids in word_bpe.words(["in", word, "there"])][1] == want
+
+
+def test_eviction_changes_nothing(monkeypatch):
+    word_bpe = bpe.WordBpe(open(tokenizer_path("word_bpe_49k.json"), "rb").read())
+    texts = [" ".join(f"w{i}x{j}," for i in range(40)) for j in range(30)] * 2
+    want = word_bpe.encode(texts)
+    monkeypatch.setattr(bpe, "CACHED_CHUNKS", 50)
+    small = bpe.WordBpe(open(tokenizer_path("word_bpe_49k.json"), "rb").read())
+    for text, ids, decoded in zip(texts, *want):
+        one = small.encode([text + " <|endoftext|>"])
+        assert one[0][0].as_py() == ids.as_py() + [49407] and one[1][0].as_py() == decoded.as_py() + " <|endoftext|>"
+        assert len(small.chunks) <= 50
 
 
 def longest_match(first, rest, word):
