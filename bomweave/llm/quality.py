@@ -150,7 +150,7 @@ def _grams(codes: np.ndarray) -> pa.Array:
 
 def _sorted_groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order that sorts the keys, and where each distinct one starts in it."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     ordered = keys[order]
     return order, np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]) if len(keys) else [])
 
@@ -221,6 +221,12 @@ class Model:
     rows: int
 
 
+def _small(languages: DataFrame) -> DataFrame:
+    """A table with a row per language, to be broadcast where it is counted to be small: one
+    language may hold most rows on the other side."""
+    return F.broadcast(languages) if languages.count() <= MOST_BROADCAST_LANGUAGES else languages
+
+
 def train(docs: DataFrame, order: int = ORDER, lang: str = "lang", text: str = "text") -> Model:
     """Modified Kneser-Ney model of every language in ``docs``, from all their texts.
 
@@ -243,7 +249,7 @@ def train(docs: DataFrame, order: int = ORDER, lang: str = "lang", text: str = "
     parts = [lower.select("lang", "gram", F.lit(0).alias("order"), F.lit(False).alias("context"), F.log("p").alias("value"))]
     for k in range(1, order + 1):
         same = Window.partitionBy("lang", "ctx")  # as many rows as characters follow the context
-        gone = _discounts(tables[k])
+        gone = _small(materialise(_discounts(tables[k]), "lm-discounts"))
         below = lower.select(F.col("lang").alias("l2"), F.col("gram").alias("g2"), F.col("p").alias("q"))
         counted = tables[k].withColumns({"ctx": F.substring("gram", 1, k - 1), "rest": F.substring("gram", 2, k - 1)}).join(
             gone, F.col("lang") == F.col("l"))
@@ -457,9 +463,7 @@ def judged(docs: DataFrame, model: Model | None = None, id: str = "doc_id", lang
     scored = _with_entropy(rows, model) if model.rows <= model_rows else _joined_entropy(rows, model)
     light = materialise(scored.select("id", "lang", measures(F.col("text")).alias("m"), "e"), "quality-measures")
     light = light.withColumn("failed", base_failed(F.col("m")))
-    found = materialise(bands(light.filter(~F.col("failed"))), "quality-bands")
-    if found.count() <= MOST_BROADCAST_LANGUAGES:
-        found = F.broadcast(found)
+    found = _small(materialise(bands(light.filter(~F.col("failed"))), "quality-bands"))
     allowed = F.col("scatter") / F.sqrt(F.greatest(F.col("e.n_chars"), F.lit(1)).cast("double"))
     low, high = F.col("low") - allowed, F.col("high") + allowed
     inside = F.coalesce(F.col("e.entropy").between(low, high), F.lit(True))
