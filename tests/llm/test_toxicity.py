@@ -2,7 +2,9 @@
 
 import random
 
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from bomweave.llm import toxicity
@@ -94,3 +96,63 @@ def test_rare_insult_beside_many_frequent_ones(spark):
     model = toxicity.fit(docs, labels)
     assert all(model.score(toxicity.words_of(f"the river {w}")) > 0.5 for w in insults)
     assert model.score(toxicity.words_of("the river stone")) < 0.5
+
+
+def plain_fit(docs, labels, strength=toxicity.COUNTERFACTUAL):
+    """The same model from dense matrices: every text a row, every feature a column."""
+    swaps, truth = toxicity.Swaps(), dict(labels)
+    rows = [(text, truth[i]) for i, text, *_ in docs if i in truth]
+    y, found, other = np.array([t for _, t in rows], float), [], []
+    for text, _ in rows:
+        words = toxicity.words_of(text)
+        found.append(toxicity.features_of(words))
+        swapped = swaps.swapped(words, xxhash.xxh3_64_intdigest(text.encode()) >> 1)
+        other.append(found[-1] if swapped is None else toxicity.features_of(swapped))
+    names = sorted(set().union(*found), key=lambda h: int(np.uint64(h).astype(np.int64)))
+    terms = {toxicity.word_hash(t) for t in swaps.group}
+    x = np.array([[h in f for h in names] for f in found], float)
+    x2 = np.array([[h in f for h in names] for f in other], float)
+    n, n1 = len(y), y.sum()
+    both, d1 = x.sum(0), y @ x
+    spread = np.sqrt(both / n * (1 - both / n) * (1 / n1 + 1 / (n - n1)))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        z = np.abs(d1 / n1 - (both - d1) / (n - n1)) / spread
+    good = (both >= toxicity.LEAST_DOCUMENTS) & (both < n) & (z >= np.sqrt(2 * np.log(len(names))))
+    seen, columns = set(), []
+    for k, h in enumerate(names):
+        key = (x[:, k].tobytes(), x2[:, k].tobytes())
+        if h in terms or good[k] and key not in seen:
+            columns.append(k)
+            if h not in terms:
+                seen.add(key)
+    columns.sort(key=lambda k: names[k] not in terms)
+    fixed = sum(names[k] in terms for k in columns)
+    X = np.hstack([np.ones((n, 1)), x[:, columns]])
+    change = np.hstack([np.zeros((n, 1)), (x - x2)[:, columns]])
+    use = list(range(fixed + 1))
+    while True:
+        w = np.zeros(len(use))
+        for _ in range(50):  # Newton steps on log loss, ridge and score changes
+            p = 1 / (1 + np.exp(-X[:, use] @ w))
+            ridge = np.diag([1e-9] + [toxicity.RIDGE] * (len(use) - 1))
+            quadratic = ridge + strength * change[:, use].T @ change[:, use]
+            w -= np.linalg.solve(X[:, use].T @ np.diag(p * (1 - p)) @ X[:, use] + quadratic, X[:, use].T @ (p - y) + quadratic @ w)
+        p = 1 / (1 + np.exp(-X[:, use] @ w))
+        gain = np.abs(X.T @ (y - p)) / np.sqrt(0.25 + (X ** 2).T @ (p * (1 - p)))
+        gain[use] = 0
+        if gain.max() < toxicity.LEAST_GAIN:
+            return toxicity.ToxicityModel(float(w[0]), {names[columns[k - 1]]: float(v) for k, v in zip(use[1:], w[1:])})
+        use.append(int(gain.argmax()))
+
+
+def test_equals_plain_fit(spark):
+    docs, labels = corpus(160, seed=9)
+    docs += [(1000 + i, docs[0][1], 0) for i in range(30)]  # copies
+    labels += [(1000 + i, labels[0][1]) for i in range(30)]
+    want = plain_fit(docs, labels)
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string, toxicity int").repartition(5),
+                         spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert model.weights.keys() == want.weights.keys() and len(want.weights) >= 3
+    for _, text, *_ in docs:
+        words = toxicity.words_of(text)
+        assert model.score(words) == pytest.approx(want.score(words), abs=1e-4)
