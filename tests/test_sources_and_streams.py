@@ -15,6 +15,8 @@ from bomweave.sources import files as file_source
 from bomweave.sources import ledger as ledger_files
 from bomweave.streaming import account_stream, commit_stream, jobs, proof_stream, seen, store
 
+from workload import streams
+
 from test_ledger_and_accounts import ATTEMPT, EVENT, KEYS, PROJECTS, START, fold, made_attempts, made_events, proof_intake, replay, sha
 
 
@@ -211,6 +213,20 @@ def test_stream_of_commits_equals_batch(spark, tmp_path, corpus):
     assert [(r["project"], r["landed"], r["expected"]) for r in commits.open_commits().collect()] == [("open", 1, 2)]
 
 
+def test_pieces_land_by_all_tasks_and_come_whole(spark):
+    rows = spark.range(400).select(F.col("id"), F.col("id").cast("string").alias("path")).repartition(4, "id")
+    taken = []
+
+    def write(batch, n):
+        files = batch.select("id", F.input_file_name().alias("file")).collect()
+        taken.append((n, sorted(r["id"] for r in files), {r["file"] for r in files}))
+
+    streams.streamed(spark, rows, "pieces", F.col("id") % streams.PIECES, write)
+    assert [n for n, _, _ in taken] == list(range(streams.PIECES))
+    for n, ids, files in taken:
+        assert ids == list(range(n, 400, streams.PIECES)) and len(files) == 4
+
+
 def test_stream_of_proofs(spark, tmp_path):
     keys = spark.createDataFrame([(1, sha("k1"), None, None, None), (2, sha("k2"), "pro", None, 0)], KEYS)
     body = '{"projectName":"%s","commitSha":"%s","scannedFiles":1,"dependencies":[],"finOps":[],"complianceStatus":"Passed"}'

@@ -14,6 +14,7 @@ from bomweave.streaming.commit_stream import CommitStream
 from bomweave.streaming.proof_stream import ProofStream
 from bomweave.streaming.seen import SeenIds
 from bomweave.operators.scan import KEYS, visible_files
+from bomweave.operators.skew import salted_join
 
 from . import adapters as A
 from . import oracles as O
@@ -28,14 +29,16 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 
 def streamed(spark: SparkSession, rows: DataFrame, name: str, piece, write) -> None:
-    """Land ``rows`` piece after piece (0 to ``PIECES - 1``) and run ``write`` on each as a micro-batch."""
-    landed = _folder(spark, f"{name}-landed")
+    """Land ``rows`` piece after piece (0 to ``PIECES - 1``) and run ``write`` on each as a micro-batch.
+
+    All tasks write files of a piece. The job runs after each landing and goes on from its
+    checkpoint: without a limit of files, its next micro-batch is all that is new, the whole piece."""
+    landed, checkpoint = _folder(spark, f"{name}-landed"), _folder(spark, f"{name}-checkpoint")
     for n in range(PIECES):
-        rows.filter(piece == n).coalesce(1).write.mode("append").parquet(landed)
-    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(landed)
-    run = source.writeStream.foreachBatch(write).option("checkpointLocation", _folder(spark, f"{name}-checkpoint")).trigger(
-        availableNow=True).start()
-    run.awaitTermination()
+        rows.filter(piece == n).write.mode("append").parquet(landed)
+        source = spark.readStream.schema(rows.schema).parquet(landed)
+        run = source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        run.awaitTermination()
 
 
 def _timed(rows: DataFrame, time: str) -> DataFrame:
@@ -76,7 +79,7 @@ def stream_commit_postures(spark, sf):
     """Files of a commit land in all pieces; its visible files are what it announces."""
     landed = visible_files(files(spark, sf))
     number = landed.groupBy(*KEYS).agg(F.count(F.lit(1)).cast("int").alias("expected_files"))
-    rows = landed.join(number, KEYS).select(*KEYS, "path", "content", "expected_files")
+    rows = salted_join(landed, number, KEYS, ["path"], "inner").select(*KEYS, "path", "content", "expected_files")
     stream = CommitStream(spark, _folder(spark, "commits"), registry(spark, sf), branding=BRANDING, buckets=BUCKETS)
     streamed(spark, rows, "files", F.pmod(F.xxhash64("path"), F.lit(PIECES)), stream.write)
     return stream.postures()
