@@ -1,8 +1,14 @@
 """Components against a plain version; vector links against brute force."""
 
+import os
+import threading
+from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
+
 import numpy as np
 import pytest
 
+from bomweave.functions import storage
 from bomweave.llm import vectors
 from bomweave.llm.components import components
 
@@ -97,3 +103,58 @@ def test_every_link_across_lists(spark):
     rows = [(i, [float(v) for v in row]) for i, row in enumerate(x.astype(np.float32))]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert found(df, list_rows=50) == plain(rows, 0.9)
+
+
+def test_disk_follows_the_vectors(spark):
+    """Vectors without clusters: every list is near every other, and none is copied to the others."""
+    x = np.random.default_rng(5).normal(size=(6000, 64))
+    x[5000:] = x[:1000] + np.random.default_rng(6).normal(0, 0.1, (1000, 64))
+    rows = [(i, [float(v) for v in row]) for i, row in enumerate(x.astype(np.float32))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    folders = [spark.conf.get("spark.checkpoint.dir").removeprefix("file:"), *local]
+    seen, over = [], threading.Event()
+
+    def size(path):
+        try:
+            return os.lstat(path).st_size
+        except FileNotFoundError:  # gone meanwhile
+            return 0
+
+    def watch():
+        while not over.wait(0.05):
+            seen.append(sum(size(f"{d}/{x}") for f in folders for d, _, names in os.walk(f) for x in names))
+
+    with ThreadPoolExecutor() as pool:
+        pool.submit(watch)
+        try:
+            got = found(df, list_rows=50)
+        finally:
+            over.set()
+    assert max(seen) - seen[0] < 8 * x.size * 4  # shuffle files and tables together; 14 with copies
+    assert got == plain(rows, 0.9) and sum(r[1] for r in got) >= 2000
+
+
+@pytest.mark.parametrize("block_rows", [100, 8192])
+def test_a_crowd(spark, block_rows):
+    """A third of the vectors links with each other, in lists and blocks of its own and across them."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 16))
+    x[::3] = x[0] + rng.normal(0, 0.2, (300, 16))
+    x[3:60:3] = x[0]
+    rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = found(df, list_rows=40, block_rows=block_rows)
+    assert got == plain(rows, 0.9) and max(r[1] for r in got) > 200
+
+
+def test_kept_tables_outlive_their_block(spark):
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    with storage.scratch(spark):
+        with storage.scratch(spark):
+            storage.materialise(spark.range(3), "scratch-inner")
+            kept = storage.materialise(spark.range(4), "scratch-kept", keep=1)
+            stays = storage.materialise(spark.range(5), "scratch-stays", keep=2)
+        assert not list(shared.glob("scratch-inner-*")) and kept.count() == 4
+        storage.materialise(spark.range(3), "scratch-outer")
+    assert [p.name[:13] for p in shared.glob("scratch-*")] == ["scratch-stays"] and stays.count() == 5
