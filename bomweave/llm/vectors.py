@@ -1,7 +1,7 @@
 """Near-duplicate vectors by product quantisation with an exact cosine rerank.
 
 Vectors are dealt to coarse lists by nearest centroid and stored as codes of their
-residual, one byte per subspace, in blocks of neighbouring lists. Any two blocks meet in
+residual, one byte per subspace, in blocks of consecutive lists. Any two blocks meet in
 one task, straight from the written table: blocks are never copied, so disk and shuffle
 follow the input whatever the number of pairs. Between two lists, the components of two
 linked vectors along the line of the centroids differ by at most the length of the
@@ -35,7 +35,7 @@ CODEWORDS = 256
 SLACK = 1e-4  # for rounding in single precision
 BLOCK_ROWS = 8_192
 BLOCK_BYTES = 1 << 22  # components in a block
-KEPT_BLOCKS = 16  # unpacked blocks that a task holds
+KEPT_BLOCKS = 8  # unpacked blocks that a task holds
 ROWS_AT_ONCE = 1_024
 STRIP = 128  # rows of a list compared at once
 DENSE = 16  # from one candidate in so many pairs on, all cosines of a strip are taken
@@ -322,7 +322,7 @@ def _index(usable: DataFrame, books, shape: Shape) -> DataFrame:
 
 
 def _blocks(index: DataFrame, shape: Shape, block_rows: int) -> DataFrame:
-    """The index, in rows of up to ``block_rows`` vectors of neighbouring lists."""
+    """The index, in rows of up to ``block_rows`` vectors of consecutive lists."""
     size = max(1, min(block_rows, BLOCK_BYTES // (shape.width * np.dtype(shape.kind).itemsize)))
 
     def packed(rows: pa.Table) -> pa.RecordBatch:
